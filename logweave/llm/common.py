@@ -46,14 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[pa.Array]]) -> DataFrame:
+def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[pa.Array]], rows: int = ARROW_ROWS) -> DataFrame:
     """A map-only pass: ``f`` gets the Arrow arrays of ``columns`` batch by batch and returns those of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for at in range(0, batch.num_rows, ARROW_ROWS):
-                    part = batch.slice(at, ARROW_ROWS)
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
                     yield pa.RecordBatch.from_arrays(f(*part.columns), names=names)
 
     from pyspark.sql.types import _parse_datatype_string
