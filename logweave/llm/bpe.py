@@ -191,26 +191,29 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     return map_columns(docs, [id_col, text_col], f"{id_col} {kind}, ids array<int>, decoded binary", encode)
 
 
-def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every document.
+def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every document, and ``ids`` if asked for.
 
     The same encoding and decoding as :func:`encode_documents`, digested where it is made, so that
-    neither ids nor bytes leave the Python worker.
+    bytes never leave the Python worker.
     """
 
     def digest(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
         own = codec(path, pattern)
         names = decimals(len(own.bytes_of))
-        counts, of_ids, of_bytes = [], [], []
+        counts, of_ids, of_bytes, all_ids = [], [], [], []
         for text in texts.to_pylist():
             ids = own.encode(text or "")
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
-        return [keys, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            if with_ids:
+                all_ids.append(ids)
+        columns = [keys, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+        return [*columns, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else columns
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_columns(docs, [id_col, text_col], schema, digest)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, langid, minhash, secrets
+from logweave.llm import bpe, langid, minhash, mixing, secrets
 from logweave.llm.common import table
 
 
@@ -38,6 +38,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    taken = (F.col("_copies") * F.col("_size")).alias("taken")
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on 3-word shingles at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_secrets": op2_secrets,
         "op5_language": op5_language,
+        "op7_mixing": op7_mixing,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
