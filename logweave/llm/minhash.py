@@ -41,7 +41,7 @@ DEVIATIONS = 4.7
 BLOCK, BLOCK_WORDS = 512, 1_000_000
 MEMO = 200_000
 
-_ODD = np.random.default_rng(20_011).integers(1, 2**63, ROWS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20_011).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -57,6 +57,21 @@ class _WordHashes(dict):
 _hash_of = _WordHashes()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; words repeat, so hashes are memoised."""
+    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, given the hashes of the words."""
+    total = np.zeros(len(hashes) - width + 1, np.uint64)
+    for i in range(width):
+        part = hashes[i : len(hashes) - width + 1 + i]
+        turn = np.uint64(1 + 21 * i % 63)
+        total += ((part << turn) | (part >> (np.uint64(64) - turn))) * _ODD[i % len(_ODD)]
+    return _mix(total)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,15 +83,10 @@ def shingle_set(text: str | None, width: int = 3) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    hashes = word_hashes(words)
     if len(words) < width:
         return _mix(np.add.reduce(hashes * _ODD[: len(words)], keepdims=True, dtype=np.uint64) + np.uint64(len(words)))
-    total = np.zeros(len(words) - width + 1, np.uint64)
-    for i in range(width):
-        part = hashes[i : len(words) - width + 1 + i]
-        turn = np.uint64(1 + 21 * i % 63)
-        total += ((part << turn) | (part >> (np.uint64(64) - turn))) * _ODD[i % len(_ODD)]
-    return np.unique(_mix(total))
+    return np.unique(window_hashes(hashes, width))
 
 
 @lru_cache(maxsize=1)

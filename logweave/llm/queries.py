@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, langid, minhash, mixing, secrets, token_output, topk
+from logweave.llm import bpe, langid, minhash, mixing, quality, secrets, token_output, topk
 from logweave.llm.common import table, written
 
 
@@ -56,6 +56,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit_quality(docs, table(spark, sf_dir, "labels"), where=~langid.held_out("id"))
+    found = quality.quality_scores(docs, forest)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -71,6 +79,13 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(spark, folder, written(files, "files"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether the base rules and then the trees keep it."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit_quality(docs, table(spark, sf_dir, "labels"), monotone=quality.MONOTONE)
+    return quality.quality_rules(docs, forest)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on 3-word shingles at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
@@ -106,8 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secrets": op2_secrets,
         "op4_topk": op4_topk,
         "op5_language": op5_language,
+        "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op8_token_output": op8_token_output,
+        "op9_quality_rules": op9_quality_rules,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
