@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, langid, minhash, mixing, quality, secrets, token_output, topk
+from logweave.llm import bpe, html_extract, langid, minhash, mixing, quality, secrets, token_output, topk
 from logweave.llm.common import table, written
 
 
@@ -31,6 +31,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector with all others, in integers."""
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_secrets": op2_secrets,
+        "op3_main_text": op3_main_text,
         "op4_topk": op4_topk,
         "op5_language": op5_language,
         "op6_quality": op6_quality,
