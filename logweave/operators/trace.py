@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def infer_pairs(insns: DataFrame) -> DataFrame:
         first = F.col(name)[0]
         # 64-bit wrap-around, which a sum of longs would refuse
         wide = first["addr"].cast("decimal(20,0)") + F.col("pair_reg_size")
-        wrapped = F.when(wide > 2**63 - 1, wide - 2**64).otherwise(wide).cast("long")
+        wrapped = F.when(wide > 2**63 - 1, wide - F.lit(Decimal(2**64))).otherwise(wide).cast("long")
         return F.when(one, F.array(first, F.struct(wrapped.alias("addr"), F.lit(None).cast("long").alias("val"), F.lit(True).alias("inferred")))).otherwise(F.col(name))
 
     return insns.withColumns({"reads": filled("reads", "Load"), "writes": filled("writes", "Store")})
