@@ -47,17 +47,14 @@ class BytePairCodec:
             self.bytes_of[rank] = token
         #: token -> the two tokens that its last merge joins; a single byte stands for itself
         self.halves: dict[int, tuple[int, int]] = {}
-        #: (left, right) -> the token that this merge makes
-        self.merged: dict[tuple[int, int], int] = {}
         self.automaton = ahocorasick.Automaton()
         reachable = set()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            parts = self._parts(token, rank)
+            parts = self._merged(token, rank, 2)
             if len(parts) == 1:
                 self.halves[rank] = (rank, rank)
             elif len(parts) == 2:
                 self.halves[rank] = (parts[0], parts[1])
-                self.merged[(parts[0], parts[1])] = rank
             else:  # no sequence of merges makes it inside a longer piece
                 continue
             reachable.add(token)
@@ -75,14 +72,14 @@ class BytePairCodec:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, list[int]] = {}
 
-    def _parts(self, token: bytes, rank: int) -> list[int]:
-        """What the merges of a lower rank make of the bytes of ``token``."""
+    def _merged(self, token: bytes, bound: int, least: int) -> list[int]:
+        """What the merges of a rank below ``bound`` make of ``token``, down to ``least`` parts."""
         ranks = self.ranks
         parts = [token[i : i + 1] for i in range(len(token))]
-        while len(parts) > 2:
-            best, at = rank, -1
+        while len(parts) > least:
+            best, at = bound, -1
             for i in range(len(parts) - 1):
-                found = ranks.get(parts[i] + parts[i + 1], rank)
+                found = ranks.get(parts[i] + parts[i + 1], bound)
                 if found < best:
                     best, at = found, i
             if at < 0:
@@ -107,10 +104,10 @@ class BytePairCodec:
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
-        merged, halves = self.merged, self.halves
+        ranks, bytes_of, halves = self.ranks, self.bytes_of, self.halves
         bound = len(self.bytes_of) + 1
         while True:
-            across = merged.get((left, right))
+            across = ranks.get(bytes_of[left] + bytes_of[right])
             if across is not None and across < bound:
                 return False
             inner_left, inner_right = halves[left][1], halves[right][0]
@@ -149,8 +146,8 @@ class BytePairCodec:
             token = shorter[token]
             if token < 0:  # nothing fits here: give the position up and shorten what stands before it
                 alive[at] = 0
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte of the text")
+                if not out:  # a vocabulary that no sequence of merges explains: run the merges themselves
+                    return self._merged(raw, len(self.bytes_of) + 1, 1)
                 token = out.pop()
                 at -= lengths[token]
 

@@ -36,7 +36,7 @@ HEADER = struct.Struct("<8sqqqqq")  # magic, shard, first block, documents, ids,
 FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
 MEMO = 300_000
 #: Marks that often close a word; the pre-tokenizer cuts between a letter and such a mark.
-CLOSING = (".", ",")
+CLOSING = '.,:;!?#*$%&|<>()"'
 NULL_ID = -(2**63)
 
 
@@ -97,31 +97,15 @@ def unpack_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarra
 # --- the tokenizer
 
 
-class _Memo(dict):
-    """Two generations of ids by chunk: when the young one is full it becomes the old one."""
-
-    old: dict[str, list[int]] = {}
-
-    def __missing__(self, chunk: str) -> list[int]:
-        self[chunk] = found = self.old[chunk]
-        return found
-
-    def knows(self, chunk: str) -> bool:
-        return chunk in self or chunk in self.old
-
-    def make_room(self, more: int) -> None:
-        if len(self) + more > MEMO:
-            self.old = dict(self)
-            self.clear()
-
-
 class ChunkTokenizer:
     """A tokenizer of the tokenizers library with a memo of chunks.
 
-    A text is cut before each single space that has no white space beside it, and before a closing mark
-    after a letter. The library's byte-level pre-tokenizer always cuts there, so the ids of the chunks are
-    the ids of the text. For the same reason the new chunks of a batch that begin with a space go to the library as one text; the bytes
-    that each id stands for tell where its chunks end.
+    A text is cut before each single space that has no white space beside it, and between a letter and
+    closing marks. The library's byte-level pre-tokenizer always cuts there, so the ids of the chunks are
+    the ids of the text. For the same reason the new chunks of a batch that begin with a space go to the
+    library as one text; the bytes that each id stands for tell where its chunks end. Ids are kept as
+    bytes (four an id), so a text is a join. The memo has two generations: when the young one is full it
+    becomes the old one.
     """
 
     def __init__(self, path: str):
@@ -136,52 +120,64 @@ class ChunkTokenizer:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character of the byte-level alphabet is a byte
-        self.memo = _Memo()
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.uncut = re.compile(r"\s ").search
 
     def chunks(self, text: str) -> list[str]:
         if self.uncut(text):
             return [text]
         out: list[str] = []
-        lead = ""
+        add, lead = out.append, ""
         for chunk in text.split(" "):
-            if chunk[-1:] in CLOSING and chunk[-2:-1].isalpha():
-                out += (lead + chunk[:-1], chunk[-1])
+            core = chunk.rstrip(CLOSING)
+            if len(core) != len(chunk) and core[-1:].isalpha():
+                add(lead + core)
+                add(chunk[len(core) :])
             else:
-                out.append(lead + chunk)
+                add(lead + chunk)
             lead = " "
         return out
 
     def _learn(self, new: list[str]) -> None:
-        joined = [c for c in new if c[:1] == " " and not self.uncut(c) and not c[1:2].isspace()]
+        memo = self.memo
+        joined = [c for c in new if c[:1] == " " and " " not in c[1:] and not c[1:2].isspace()]
         if joined:
-            ids = self.tokenizer.encode("".join(joined), add_special_tokens=False).ids
+            text = "".join(joined)
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
             ends = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in joined]), side="left") + 1
-            at = 0
-            for chunk, to in zip(joined, cuts.tolist(), strict=True):
-                self.memo[chunk] = ids[at:to]
+            sizes = [len(c) for c in joined] if text.isascii() else [len(c.encode()) for c in joined]
+            cuts = (4 * np.searchsorted(ends, np.cumsum(sizes), side="left") + 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for chunk, to in zip(joined, cuts, strict=True):
+                memo[chunk] = raw[at:to]
                 at = to
-        alone = [c for c in new if c not in self.memo]
+        alone = [c for c in new if c not in memo]
         for chunk, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.memo[chunk] = found.ids
+            memo[chunk] = np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
         cut = [self.chunks(text) for text in texts]
-        memo = self.memo
-        new = [c for c in dict.fromkeys(chunk for chunks in cut for chunk in chunks) if not memo.knows(c)]
-        memo.make_room(len(new))
+        unknown = set().union(*cut).difference(self.memo)
+        if len(self.memo) + len(unknown) > MEMO:
+            self.old, self.memo = self.memo, {}
+            unknown = set().union(*cut)
+        memo, old = self.memo, self.old
+        new = []
+        for chunk in unknown:
+            known = old.get(chunk)
+            if known is None:
+                new.append(chunk)
+            else:
+                memo[chunk] = known
         self._learn(new)
-        out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for chunk in chunks:
-                ids += memo[chunk]
-            out.append(ids)
+        found = [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
         for chunk in new:
             if len(chunk) > 100:
                 del memo[chunk]
-        return out
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -205,28 +201,29 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<u4").tobytes()
         doc_ids: list[int] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) for x in ids], "<i8")
-            row = [shard, block, len(doc_ids), held, np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), np.concatenate(ids).astype("<u4").tobytes()]
+            lengths = np.array([len(x) // 4 + 1 for x in ids], "<i8")
+            row = [shard, block, len(doc_ids), held, np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), end.join(ids) + end]
             kinds = [pa.int64()] * 4 + [pa.binary()] * 3
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for key, found in zip(part.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
-                    if held and held + len(found) > BLOCK_IDS:
+                    n = len(found) // 4 + 1
+                    if held and held + n > BLOCK_IDS:
                         yield flush()
                         block, doc_ids, ids, held = block + 1, [], [], 0
-                    found.append(end_id)
                     doc_ids.append(key)
-                    ids.append(np.array(found, np.uint32))
-                    held += len(found)
+                    ids.append(found)
+                    held += n
         if doc_ids:
             yield flush()
 
