@@ -34,7 +34,7 @@ MAGIC = b"LWIDS1\x00\x00"
 HEADER = struct.Struct("<8sqqqqq")  # magic, shard, first block, documents, ids, data bytes
 #: Ids of a file and of a block of the table before it, about.
 FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
-MEMO = 300_000
+MEMO = 200_000
 #: Marks that often close a word; the pre-tokenizer cuts between a letter and such a mark.
 CLOSING = '.,:;!?#*$%&|<>()"'
 NULL_ID = -(2**63)
@@ -97,86 +97,108 @@ def unpack_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarra
 # --- the tokenizer
 
 
+class _Memo:
+    """Ids by text in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """What is in neither generation; what is in the old one moves to the young."""
+        unknown = wanted.difference(self.young)
+        if len(self.young) + len(unknown) > MEMO:
+            self.old, self.young = self.young, {}
+            unknown = wanted
+        out = []
+        for text in unknown:
+            known = self.old.get(text)
+            if known is None:
+                out.append(text)
+            else:
+                self.young[text] = known
+        return out
+
+
 class ChunkTokenizer:
-    """A tokenizer of the tokenizers library with a memo of chunks.
-
-    A text is cut before each single space that has no white space beside it, and between a letter and
-    closing marks. The library's byte-level pre-tokenizer always cuts there, so the ids of the chunks are
-    the ids of the text. For the same reason the new chunks of a batch that begin with a space go to the
-    library as one text; the bytes that each id stands for tell where its chunks end. Ids are kept as
-    bytes (four an id), so a text is a join. The memo has two generations: when the young one is full it
-    becomes the old one.
+    """A tokenizer of the tokenizers library with memos.
+
+    A text is cut before each single space that has no white space beside it, and there between a letter
+    and closing marks. The library's byte-level pre-tokenizer always cuts at these places, so the ids of
+    the parts are the ids of the text. A part of letters only is one piece for the pre-tokenizer: it goes
+    straight to the library's merges. Ids are kept as bytes, four an id, so a text is a join.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = len(token)  # a character of the byte-level alphabet is a byte
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.uncut = re.compile(r"\s ").search
-
-    def chunks(self, text: str) -> list[str]:
-        if self.uncut(text):
-            return [text]
-        out: list[str] = []
-        add, lead = out.append, ""
-        for chunk in text.split(" "):
-            core = chunk.rstrip(CLOSING)
-            if len(core) != len(chunk) and core[-1:].isalpha():
-                add(lead + core)
-                add(chunk[len(core) :])
+        self.merge = self.tokenizer.model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = range(0x250)  # how the byte-level alphabet spells Latin letters and the space
+        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in letters}
+        self.space = self.alphabet[32]
+        self.octets = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=-1))]
+        self.words, self.parts = _Memo(), _Memo()
+        self.uncut = re.compile(r"\s |\x00").search
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, part: str) -> bytes:
+        """The ids of a part of letters, spelled in the byte-level alphabet, where ASCII letters stay."""
+        bare = part[1:] if part[:1] == " " else part
+        spelled = self.space * (len(part) - len(bare)) + bare if bare.isascii() else part.translate(self.alphabet)
+        octets = self.octets
+        return b"".join([octets[t.id] for t in self.merge(spelled)])
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        known = self.parts
+        plain = []
+        for part in known.missing(parts):
+            if (part.isalpha() or part[:1] == " " and part[1:].isalpha()) and max(part) < "\u0250":
+                known.young[part] = self._merged(part)
             else:
-                add(lead + chunk)
-            lead = " "
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        memo = self.memo
-        joined = [c for c in new if c[:1] == " " and " " not in c[1:] and not c[1:2].isspace()]
-        if joined:
-            text = "".join(joined)
-            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            sizes = [len(c) for c in joined] if text.isascii() else [len(c.encode()) for c in joined]
-            cuts = (4 * np.searchsorted(ends, np.cumsum(sizes), side="left") + 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for chunk, to in zip(joined, cuts, strict=True):
-                memo[chunk] = raw[at:to]
-                at = to
-        alone = [c for c in new if c not in memo]
-        for chunk, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(found.ids, "<u4").tobytes()
+                plain.append(part)
+        for part, found in zip(plain, self._plain(plain), strict=True):
+            known.young[part] = found
+
+    def _learn(self, words: list[str]) -> None:
+        """Words as they stand between spaces; a leading NUL marks one that has no space before it."""
+        cut, marked = [], []
+        young, octets, merge, space = self.words.young, self.octets, self.merge, self.space
+        for word in words:
+            if word.isalpha() and word.isascii():  # a single piece, after its space
+                young[word] = b"".join([octets[t.id] for t in merge(space + word)])
+                continue
+            marked.append(word)
+            core = word.rstrip(CLOSING)
+            lead = core[1:] if core[:1] == "\x00" else " " + core
+            cut.append((lead, word[len(core) :]) if len(core) != len(word) and core[-1:].isalpha() else (word[1:] if word[:1] == "\x00" else " " + word, ""))
+        self._learn_parts({part for pair in cut for part in pair if part})
+        of = self.parts.young
+        for word, (part, marks) in zip(marked, cut, strict=True):
+            young[word] = (of[part] if part else b"") + (of[marks] if marks else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        cut = [self.chunks(text) for text in texts]
-        unknown = set().union(*cut).difference(self.memo)
-        if len(self.memo) + len(unknown) > MEMO:
-            self.old, self.memo = self.memo, {}
-            unknown = set().union(*cut)
-        memo, old = self.memo, self.old
-        new = []
-        for chunk in unknown:
-            known = old.get(chunk)
-            if known is None:
-                new.append(chunk)
-            else:
-                memo[chunk] = known
+        whole = [i for i, text in enumerate(texts) if self.uncut(text)]
+        cut = [("\x00" + text).split(" ") for text in texts]
+        for i in whole:
+            cut[i] = []
+        new = self.words.missing(set().union(*cut))
         self._learn(new)
-        found = [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
-        for chunk in new:
-            if len(chunk) > 100:
-                del memo[chunk]
+        get = self.words.young.__getitem__
+        found = [b"".join(map(get, words)) for words in cut]
+        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+            found[i] = ids
+        for word in new:
+            if len(word) > 100:
+                del self.words.young[word]
         return found
 
 
