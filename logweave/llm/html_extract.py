@@ -5,8 +5,10 @@ like, by tag or by the words of class and id, is no block at all. The first pass
 length, its density of stop words and its share of linked text; short or unclear blocks stay open. In the
 second pass an open block takes the label of its nearest decided neighbours: that of both if they agree,
 else that of the closer one, of two equally close ones the later; with no decided neighbour it is text.
-List items that are links are menus, wherever they stand, and give no label to others. A page with an
-article is judged by its articles alone; within them only menus and what is left out by its place is lost.
+List items that are links are menus, wherever they stand, and give no label to others. An article is
+evidence, no verdict. Inside, blocks of links are rejected, blocks poor in stop words stay open, and an open
+block falls only between rejected ones. Outside, on a page that has one, only long blocks are text by
+themselves, neighbours count on that side only, and open blocks without any are no text.
 
 Defined cases: a null or empty page has an empty text; broken and unclosed markup is read as far as it
 goes; long pages are read whole; repeated rows are extracted each; other columns are not read.
@@ -52,7 +54,6 @@ KEPT_TAGS = frozenset("html body article main".split())
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
 LINKED = 0.5
-
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)""", re.DOTALL)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -150,21 +151,24 @@ def _linked(block: Block, text: str) -> bool:
     return block.linked > LINKED * max(1, len(text))
 
 
-def first_pass(block: Block, text: str) -> bool | None:
+def first_pass(block: Block, text: str, has_article: bool) -> bool | None:
     """True for text, False for boilerplate, None if open."""
     if _linked(block, text):
-        return None if block.article else False
+        return False
     words = [word.lower() for word in WORD.findall(text)]
     density = sum(word in STOP_WORDS for word in words) / max(1, len(words))
     if len(text) < SHORT:
         return None
-    if density >= MANY_STOPS or (len(text) >= LONG and density >= FEW_STOPS):
+    if len(text) >= LONG and density >= FEW_STOPS:
         return True
+    if density >= MANY_STOPS:
+        return True if block.article or not has_article else None
     return None if block.article or density >= FEW_STOPS else False
 
 
-def second_pass(labels: list[bool | None]) -> list[bool]:
-    """Open blocks take the label of their nearest decided neighbours; without any they are text."""
+def second_pass(labels: list[bool | None], default: bool = True, article: bool = False) -> list[bool]:
+    """Open blocks take the label of their nearest decided neighbours, without any the ``default``; of an
+    article only those between two rejected blocks are rejected."""
     before: list[int | None] = []
     last = None
     for i, label in enumerate(labels):
@@ -174,8 +178,10 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     for i in range(len(labels) - 1, -1, -1):
         if labels[i] is not None:
             after = i
+        elif article:
+            out[i] = before[i] is None or after is None or labels[before[i]] or labels[after]
         elif before[i] is None and after is None:
-            out[i] = True
+            out[i] = default
         elif before[i] is None or after is None:
             out[i] = labels[after if before[i] is None else before[i]]
         else:
@@ -183,14 +189,20 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def labels_of(pairs: list[tuple[Block, str]]) -> list[bool]:
+    """Both passes over the blocks of a page, the second on each side of its articles."""
+    has_article = any(block.article for block, _ in pairs)
+    first = [first_pass(*pair, has_article) for pair in pairs]
+    side = lambda article: [label for (block, _), label in zip(pairs, first, strict=True) if block.article is article]
+    labels = {True: iter(second_pass(side(True), article=True)), False: iter(second_pass(side(False), not has_article))}
+    return [next(labels[block.article]) for block, _ in pairs]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line ends."""
     pairs = [(block, block.text()) for block in blocks_of(page or "")]
     pairs = [(block, text) for block, text in pairs if text and not (block.tag == "li" and _linked(block, text))]
-    if any(block.article for block, _ in pairs):
-        pairs = [(block, text) for block, text in pairs if block.article]
-    labels = second_pass([first_pass(*pair) for pair in pairs])
-    return "\n".join(text for (_, text), label in zip(pairs, labels, strict=True) if label)
+    return "\n".join(text for (_, text), label in zip(pairs, labels_of(pairs), strict=True) if label)
 
 
 def extract(pages: DataFrame, carry: list[str], html_col: str = "html") -> DataFrame:

@@ -120,6 +120,19 @@ def test_main_text():
     assert html_extract.main_text(menu).startswith("The text of this page") and "one" not in html_extract.main_text(menu)
 
 
+PROSE = "This is the text of the page that is meant to be read, and it has the words which are in all texts of the kind, so that it is not short and not poor in them. " * 2
+
+
+def test_main_text_weighs_articles():
+    links = '<p><a href="a">Ten tricks for better sleep</a> <a href="b">What doctors never say aloud</a> <a href="c">More</a></p>'
+    body = lambda inside, outside="": html_extract.main_text(f"<article><h1>Head</h1><p>{PROSE}</p>{inside}<p>{PROSE}</p></article>{outside}").split("\n")
+    kept = ["Head", PROSE.strip(), PROSE.strip()]
+    assert body(links) == kept and body(f"{links}<p>Hot offers</p>{links}") == kept
+    assert body("<p>Aside.</p>") == [*kept[:2], "Aside.", kept[2]]
+    assert body("", f"<p>Call now</p><div>{PROSE}</div>") == [*kept, "Call now", PROSE.strip()] and body("", "<p>Call now</p>") == kept
+    assert html_extract.main_text(f"<article><h1>Head</h1>{links}<p>Short.</p></article>") == "Head\nShort."
+
+
 def test_main_text_of_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
