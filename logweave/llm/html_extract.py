@@ -8,7 +8,8 @@ else that of the closer one, of two equally close ones the later; with no decide
 List items that are links are menus, wherever they stand, and give no label to others. An article is
 evidence, no verdict. Inside, blocks of links are rejected, blocks poor in stop words stay open, and an open
 block falls only between rejected ones. Outside, on a page that has one, only long blocks are text by
-themselves, neighbours count on that side only, and open blocks without any are no text.
+themselves, neighbours count on that side only, and open blocks without any are no text. Where a page's own text is poor
+in the stop words, or a block is not in their script, length, ends of sentences and links decide, an ideograph as three letters.
 
 Defined cases: a null or empty page has an empty text; broken and unclosed markup is read as far as it
 goes; long pages are read whole; repeated rows are extracted each; other columns are not read.
@@ -58,6 +59,11 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
+#: Ends of sentences.
+ENDS = tuple(".!?…。！？।။؟۔።")
+LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f]")
+#: Characters that stand for a syllable or a word.
+IDEOGRAPH = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -151,19 +157,39 @@ def _linked(block: Block, text: str) -> bool:
     return block.linked > LINKED * max(1, len(text))
 
 
-def first_pass(block: Block, text: str, has_article: bool) -> bool | None:
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(IDEOGRAPH.findall(text))
+
+
+def _density(text: str) -> tuple[float, int]:
+    """The density of stop words, and the number of words."""
+    words = [word.lower() for word in WORD.findall(text)]
+    return sum(word in STOP_WORDS for word in words) / max(1, len(words)), len(words)
+
+
+def _latin(text: str) -> bool:
+    """Whether half of the letters are of the script of the stop words."""
+    return text.isascii() or 2 * len(LATIN.findall(text)) >= sum(map(len, WORD.findall(text)))
+
+
+def in_known_language(blocks: list[tuple[float, int]]) -> bool:
+    """Whether a quarter of the words of (density, words) of a page stand in blocks rich in stop words."""
+    return 4 * sum(n for density, n in blocks if density >= MANY_STOPS) >= sum(n for _, n in blocks)
+
+
+def first_pass(block: Block, text: str, density: float, known: bool, has_article: bool) -> bool | None:
     """True for text, False for boilerplate, None if open."""
     if _linked(block, text):
         return False
-    words = [word.lower() for word in WORD.findall(text)]
-    density = sum(word in STOP_WORDS for word in words) / max(1, len(words))
-    if len(text) < SHORT:
+    if _size(text) < SHORT:
         return None
-    if len(text) >= LONG and density >= FEW_STOPS:
+    if not known and not block.linked and text.endswith(ENDS):
+        return True
+    if _size(text) >= LONG and (density >= FEW_STOPS or not known):
         return True
     if density >= MANY_STOPS:
         return True if block.article or not has_article else None
-    return None if block.article or density >= FEW_STOPS else False
+    return None if block.article or density >= FEW_STOPS or not known else False
 
 
 def second_pass(labels: list[bool | None], default: bool = True, article: bool = False) -> list[bool]:
@@ -192,7 +218,9 @@ def second_pass(labels: list[bool | None], default: bool = True, article: bool =
 def labels_of(pairs: list[tuple[Block, str]]) -> list[bool]:
     """Both passes over the blocks of a page, the second on each side of its articles."""
     has_article = any(block.article for block, _ in pairs)
-    first = [first_pass(*pair, has_article) for pair in pairs]
+    density = [_density(text) for _, text in pairs]
+    known = in_known_language([d for d, (block, text) in zip(density, pairs, strict=True) if _size(text) >= SHORT and not _linked(block, text)])
+    first = [first_pass(block, text, d, known and _latin(text), has_article) for (block, text), (d, _) in zip(pairs, density, strict=True)]
     side = lambda article: [label for (block, _), label in zip(pairs, first, strict=True) if block.article is article]
     labels = {True: iter(second_pass(side(True), article=True)), False: iter(second_pass(side(False), not has_article))}
     return [next(labels[block.article]) for block, _ in pairs]

@@ -133,6 +133,24 @@ def test_main_text_weighs_articles():
     assert html_extract.main_text(f"<article><h1>Head</h1>{links}<p>Short.</p></article>") == "Head\nShort."
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Вчера вечером жители города собрались на площади, чтобы обсудить новый план застройки старого квартала.",
+        "Wczoraj wieczorem mieszkańcy miasta zebrali się na rynku, aby omówić nowy plan zabudowy starej dzielnicy.",
+        "Gisteravond kwamen de inwoners bijeen op het plein om over het nieuwe bouwplan voor hun wijk te praten.",
+        "昨天晚上，城里的居民聚集在广场上，讨论老城区新的建设计划，许多人表示希望保留原有的街道和老房子。",
+    ],
+)
+def test_main_text_in_other_languages_without_an_article(text):
+    links = "".join(f'<a href="{i}">{text[:30]}</a> ' for i in range(5))
+    blocks = [text, " ".join([text] * 3), text[:40], text]
+    page = f"<html><body><div><p>{links}</p></div>{''.join(f'<p>{b}</p>' for b in blocks)}<p>{links}</p></body></html>"
+    assert html_extract.main_text(page).split("\n") == blocks
+    english = f"<p>{PROSE}</p><p>{text}</p><p>{' '.join([text] * 3)}</p><p>{PROSE}</p>"
+    assert html_extract._latin(text) or " ".join([text] * 3) in html_extract.main_text(english)
+
+
 def test_main_text_of_the_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
