@@ -15,6 +15,8 @@ from logweave.storage import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
+#: Queries on bytes, which DuckDB's functions on characters cannot check: tests hold them against plain Python.
+BYTE_QUERIES: dict[str, Query] = {}
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -25,6 +27,11 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
+def byte_query(f: Query) -> Query:
+    BYTE_QUERIES[f.__name__] = f
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -194,6 +201,12 @@ def match_previews(spark, sf_dir):
     return search.with_preview(found.where(F.octet_length("raw") == F.length("raw")))
 
 
+@byte_query
+def match_previews_whole(spark, sf_dir):
+    """matches with line, offset and preview, on all lines."""
+    return search.with_preview(search.matches(document_lines(spark, sf_dir), NUMBER))
+
+
 @query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset - line_start AS start, byte_offset - line_start + match_len AS \"end\" FROM matches WHERE line_number BETWEEN 1 AND 3")
 def highlights(spark, sf_dir):
     """where to mark matches in the lines on view."""
@@ -220,7 +233,17 @@ def replace_regex(spark, sf_dir):
 def edits_overlay(spark, sf_dir):
     """T-R4, T-R5: two queued edits of different lengths on every long line of one byte a character."""
     rows = document_lines(spark, sf_dir)
-    able = rows.where((F.octet_length("raw") == F.length("raw")) & (F.length("raw") >= 40))
+    return _edited(rows, rows.where((F.octet_length("raw") == F.length("raw")) & (F.length("raw") >= 40)))
+
+
+@byte_query
+def edits_overlay_whole(spark, sf_dir):
+    """T-R4, T-R5: two queued edits of different lengths on every line of 40 bytes or more."""
+    rows = document_lines(spark, sf_dir)
+    return _edited(rows, rows.where(F.octet_length("raw") >= 40))
+
+
+def _edited(rows: DataFrame, able: DataFrame) -> DataFrame:
     one = able.select("source_id", "line_number", (F.col("file_offset") + 5).alias("offset"), F.lit(3).alias("old_len"), F.lit("FIRST").alias("new_text"))
     two = able.select("source_id", "line_number", (F.col("file_offset") + 20).alias("offset"), F.lit(10).alias("old_len"), F.lit("B").alias("new_text"))
     return replace.apply_edits(rows, one.union(two)).select("source_id", "line_number", F.md5("raw").alias("digest"))
@@ -437,7 +460,7 @@ def limited_scan(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in QUERIES.items()} | BYTE_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
