@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import Pattern, match_count, match_spans, preview
@@ -88,6 +88,31 @@ def neighbour(lines: DataFrame, pattern: Pattern, at: int, source_id: object, fo
     return found.orderBy(beyond.desc(), offset.asc() if forward else offset.desc()).limit(1)
 
 
+def _asked(lines: DataFrame, pattern: Pattern, asked: DataFrame) -> DataFrame:
+    """The matches of each asked source, with the place ``origin`` asked from."""
+    return matches(lines, pattern).join(asked.select("source_id", "origin").distinct(), "source_id")
+
+
+def find_pages(lines: DataFrame, pattern: Pattern, asked: DataFrame, limit: int = PAGE) -> DataFrame:
+    """A page of matches for each row of ``asked`` (source_id, origin), from byte ``origin`` on.
+
+    Tasks cut to ``limit`` matches a place before they are dealt out by it.
+    """
+    order = Window.partitionBy("source_id", "origin").orderBy("byte_offset")
+    found = _asked(lines, pattern, asked).where("byte_offset >= origin").withColumn("place", F.row_number().over(order))
+    return found.where(F.col("place") <= limit).drop("place")
+
+
+def neighbours(lines: DataFrame, pattern: Pattern, asked: DataFrame, forward: bool = True) -> DataFrame:
+    """The next (or previous) match for each row of ``asked`` (source_id, origin), going round at the end."""
+    offset = F.col("byte_offset")
+    beyond = (offset > F.col("origin")) if forward else (offset < F.col("origin"))
+    nearest = F.struct((~beyond).alias("round"), (offset if forward else -offset).alias("offset"))
+    found = _asked(lines, pattern, asked)
+    own = F.struct(*[c for c in found.columns if c not in ("source_id", "origin")])
+    return found.groupBy("source_id", "origin").agg(F.min_by(own, nearest).alias("m")).select("source_id", "origin", "m.*")
+
+
 def with_preview(found: DataFrame) -> DataFrame:
     """Result rows for display: line, offset in hexadecimal and preview."""
     return found.select("source_id", "line_number", "byte_offset", F.lower(F.hex("byte_offset")).alias("hex_offset"), preview(F.col("raw"), F.col("byte_offset") - F.col("line_start")).alias("preview"))

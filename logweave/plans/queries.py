@@ -182,6 +182,35 @@ def previous_match(spark, sf_dir):
     return search.neighbour(document_lines(spark, sf_dir), THE, 200, 1, forward=False).drop("line_start", "raw")
 
 
+def _middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle byte of every document."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select(F.col("doc_id").alias("source_id"), F.floor(F.octet_length("text") / 2).alias("origin"))
+
+
+ASKED_SQL = f"""{matches_sql('the')}, asked AS (
+  SELECT m.source_id, origin, line_number, byte_offset, match_len FROM matches m JOIN (SELECT DISTINCT doc_id AS source_id, strlen(text) // 2 AS origin FROM documents WHERE text IS NOT NULL) d ON m.source_id = d.source_id
+)"""
+
+
+@query(f"WITH {ASKED_SQL} SELECT * FROM asked WHERE byte_offset >= origin QUALIFY row_number() OVER (PARTITION BY source_id, origin ORDER BY byte_offset) <= 20")
+def find_pages_whole(spark, sf_dir):
+    """a page of matches of every document from its middle byte on."""
+    return search.find_pages(document_lines(spark, sf_dir), THE, _middles(spark, sf_dir), 20).drop("line_start", "raw")
+
+
+@query(f"WITH {ASKED_SQL} SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY source_id, origin ORDER BY byte_offset <= origin, byte_offset) = 1")
+def next_matches_whole(spark, sf_dir):
+    """of every document the match after its middle byte, from the start again if there is none."""
+    return search.neighbours(document_lines(spark, sf_dir), THE, _middles(spark, sf_dir)).drop("line_start", "raw")
+
+
+@query(f"WITH {ASKED_SQL} SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY source_id, origin ORDER BY byte_offset >= origin, byte_offset DESC) = 1")
+def previous_matches_whole(spark, sf_dir):
+    """of every document the match before its middle byte, from the end again if there is none."""
+    return search.neighbours(document_lines(spark, sf_dir), THE, _middles(spark, sf_dir), forward=False).drop("line_start", "raw")
+
+
 @query(rf"WITH {LINES_SQL} SELECT source_id, CAST(sum(len(regexp_extract_all(regexp_replace(raw, '[^A-Za-z0-9_]', '  ', 'g'), '(?:^| )the(?: |$)'))) AS BIGINT) AS n_words FROM lines GROUP BY source_id")
 def word_occurrence(spark, sf_dir):
     """whole words only."""
