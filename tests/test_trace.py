@@ -188,3 +188,15 @@ def test_replacement(spark):
     assert hi == "Hi$1 World, Hi$1 Universe"
     items = compile_pattern(r"Item (\d)", use_regex=True)
     assert replace.replace_all(rows, items, "Object $1", use_regex=True).where("id = 2").first().raw == "Object 1, Object 2, Object 3"
+
+
+def test_backward_tells_where_a_depth_cuts_it(spark):
+    n = 19  # rounds enough for what is kept apart to be put together
+    rows = [(1, i, i * 100, 50, f'lib.so!{i * 4:x} 0x{i * 4:x}: "\tmov\tx{i % 2}, x{(i + 1) % 2}" X0=0x1 => X1=0x1') for i in range(1, n + 1)]
+    text = spark.createDataFrame(rows, "source_id long, line_number long, file_offset long, line_len int, raw string").coalesce(1)
+    insns = checkpoint(dataflow.with_rules(trace.parse_trace(text, dense=False)))
+    query = spark.createDataFrame([(1, 1, f"r{n % 2}", n, False)], "query_id long, source_id long, loc string, start_idx long, skip_start boolean")
+    trail, _ = dataflow.backward(insns, query, checkpoint, max_depth=2)
+    assert {(r.idx, r.truncated) for r in trail.collect()} == {(n, True), (n - 1, True)}
+    trail, _ = dataflow.backward(insns, query, checkpoint)
+    assert sorted(r.idx for r in trail.collect()) == list(range(1, n + 1))
