@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that a user may choose from.
+#: Names that a user may choose from; the last two are one encoding.
 ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE", "windows-1252", "ISO-8859-1")
 
 

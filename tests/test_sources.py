@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions.text import compile_pattern
 from logweave.operators.ordered import dense_index, last_before
-from logweave.sources import bytelog, encoding
+from logweave.sources import bytelog, encoding, rewrite
 from logweave.streaming import tail
 
 
@@ -45,6 +46,48 @@ def test_tail_reads_only_whole_lines(spark, tmp_path):
     assert sorted(r.byte_offset for r in spark.sql("SELECT byte_offset FROM grown").collect()) == [4, 18, 29]
 
 
+@pytest.mark.parametrize("name", encoding.ENCODINGS)
+def test_files_in_every_encoding(spark, tmp_path, name):
+    rows = ["häß 1", "", "two\r", "x" * 300, "ਊ" if name.startswith("UTF") else "€ä", "last"]
+    codec = "cp1252" if name in ("windows-1252", "ISO-8859-1") else name
+    feed, mark = "\n".encode(codec), bytelog.BOMS.get(name, b"")
+    cut = [row.encode(codec) for row in rows]
+    path = tmp_path / "log"
+    path.write_bytes(mark + feed.join(cut))
+    starts = [len(mark) * bool(i) + sum(len(c) + len(feed) for c in cut[:i]) for i in range(len(cut))]
+    want = [(i + 1, at, row.removesuffix("\r")) for i, (at, row) in enumerate(zip(starts, rows, strict=True))]
+    for chosen in (name, None):
+        got = bytelog.load(spark, str(path), chosen, range_bytes=64).orderBy("line_number").collect()
+        assert [(r.line_number, r.file_offset, r.raw) for r in got] == want or (chosen is None and name == "ISO-8859-1")
+    info = bytelog.source_info(spark, str(path)).first()
+    assert (info.bytes, info.total_lines, info.encoding) == (path.stat().st_size, 6, "windows-1252" if name == "ISO-8859-1" else name)
+
+
+def test_bounds_of_offsets_reach_the_source(spark, tmp_path):
+    (tmp_path / "log").write_text("".join(f"line {i}\n" for i in range(1000)))
+    rows = bytelog.scan(spark, str(tmp_path / "log"), 512)
+    few = bytelog.scan(spark, str(tmp_path / "log"), 512, max_offset=700)
+    assert few.count() == rows.where("file_offset <= 700").count() > 0
+    assert few.rdd.getNumPartitions() == 2 and rows.rdd.getNumPartitions() > 10
+
+
+@pytest.mark.parametrize("size", [16, 100, 1 << 20])
+def test_replacement_in_a_file_keeps_all_other_bytes(spark, tmp_path, size):
+    """Line ends, a missing last one, a byte-order mark, invalid bytes and blank lines stay as they are."""
+    data = b"\xef\xbb\xbfone two\r\ntwo\n\n\xff\xfe two \xc3\r\r\n" + "é two ü\n".encode() * 20 + b"the last two"
+    path, out = tmp_path / "log", tmp_path / "out"
+    path.write_bytes(data)
+    rewrite.replace_all(spark, str(path), str(out), compile_pattern("two"), "2$1", range_bytes=size)
+    parts = sorted(x for x in out.iterdir() if x.name.startswith("part-"))
+    assert b"".join(x.read_bytes() for x in parts) == data.replace(b"two", b"2$1")
+    again = bytelog.read_lines(spark, str(out), size)
+    assert again.count() == data.count(b"\n") + 1 and again.select("source_id").distinct().count() == 1
+    edits = spark.createDataFrame([(9, 3, b"ONE"), (18, 0, b"+"), (len(data) - 3, 3, b"")], "offset long, old_len long, new_bytes binary")
+    rewrite.apply_edits(spark, str(path), str(path), edits, range_bytes=size)  # in place
+    want = data[:9] + b"ONE" + data[12:18] + b"+" + data[18:-3]
+    assert b"".join(x.read_bytes() for x in sorted(path.iterdir()) if x.name.startswith("part-")) == want
+
+
 def test_encodings(spark):
     rows = [(b"\xef\xbb\xbfa", "UTF-8"), (b"\xff\xfea\0", "UTF-16LE"), (b"\xfe\xff\0a", "UTF-16BE"), (b"abc", "UTF-8"), (b"\xff\xff\xff", "windows-1252")]
     found = spark.createDataFrame([(bytearray(a), b) for a, b in rows], "data binary, want string").withColumn("got", encoding.detect(F.col("data")))
