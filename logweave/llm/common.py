@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.storage import discard, own_dir, written
+
+__all__ = ["discard", "map_columns", "own_dir", "table", "written"]
 
 #: Rows that a Python worker receives at once. Documents may be long, so batches stay small.
 ARROW_ROWS = 256
@@ -18,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a temporary folder is made and remembered in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("logweave.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="logweave-")
-        spark.conf.set("logweave.shared.dir", found)
-    return found.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: columnar, so smaller than a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/logweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[pa.Array]], rows: int = ARROW_ROWS) -> DataFrame:
     """A map-only pass: ``f`` gets the Arrow arrays of ``columns`` batch by batch and returns those of ``schema``."""
 
@@ -59,4 +34,4 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[...,
     from pyspark.sql.types import _parse_datatype_string
 
     names = [field.name for field in _parse_datatype_string(schema)]
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

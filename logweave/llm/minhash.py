@@ -6,17 +6,20 @@
 2. Documents with equal sets become one class, so copies cost a row and no pairs.
 3. A band bucket gives star-shaped candidates: its smallest class against each other one. Candidates
    whose sketches agree enough are confirmed on the full sets.
-4. A star can miss a link between two of its points. So buckets whose points are still in different
-   components are compared once more, in blocks of bounded size, by sketch; what looks alike forms
-   families, and within a family all points of different components are confirmed on the full sets,
-   again in bounded blocks. Only links leave a block, never its pairs.
-5. Components follow by contracting edges to smaller ids until none is left.
+4. A star can miss a link between two of its points. So classes that share a bucket and are still in
+   different components get sharper keys, of more bins each: linked classes share many of these, classes
+   that merely share a passage few. Where such a key joins different components, its classes are compared
+   by sketch in blocks of bounded size; what looks alike forms families, and within a family all classes of
+   different components are confirmed on the full sets, again in bounded blocks. Only links leave a
+   block, never its pairs.
+5. Components follow by contracting edges until none is left; a component is named by its smallest id.
 
 Defined cases: words are what ASCII white space parts, A-Z lower-cased; a document with fewer words
 than a shingle has its whole sequence as one shingle; one without words (or with a null text) has an
-empty set and links with nothing; rows with a null id link with nothing and are kept; rows that share
-an id are one document with several texts; long texts are used whole; an empty table gives an empty
-result; other columns are not read.
+empty set and links with nothing; rows with a null id link with nothing and are kept; rows are documents
+of their own also where they share an id, so each has the size and the component of its own text, and
+links of any of them count; long texts are used whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import checkpoint, map_columns, written
+from logweave.llm.common import discard, map_columns, written
 
 #: Bands and bins in a band: at a similarity of 0.85, 1 - (1 - 0.85**5)**32 = 1 - 7e-9 of the pairs meet.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+#: Sharper keys and bins in a key, for classes that the stars leave apart.
+SHARP, SHARP_ROWS = 96, 8
 #: Sketches of pairs at the threshold agree on fewer bins than their mean less so many deviations once in 10**6.
 DEVIATIONS = 4.7
 #: Members of a block and words in it, at most (a single longer document makes a block of its own).
@@ -116,10 +121,23 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mix(folded + np.arange(BANDS, dtype=np.uint64) * _ODD[-1]).view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``id_col``, ``n`` (size of the set), ``print`` (of the set), ``bands``, ``sketch`` (a byte for each bin)."""
+@lru_cache(maxsize=1)
+def _sharp_bins() -> np.ndarray:
+    rng = np.random.default_rng(83)
+    return np.stack([rng.permutation(BINS)[:SHARP_ROWS] for _ in range(SHARP)])
+
+
+def sharp_keys(sketch: np.ndarray) -> np.ndarray:
+    """The sharper keys of sketches (a row each)."""
+    picked = np.ascontiguousarray(sketch[:, _sharp_bins()]).view(np.uint64)[:, :, 0]
+    return _mix(picked + np.arange(SHARP, dtype=np.uint64) * _ODD[-2]).view(np.int64)
+
 
-    def sketch(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """Of docs (id, mark, text): ``id``, ``mark``, ``n`` (size of the set), ``print`` (of the set), ``bands``
+    and ``sketch`` (a byte for each bin)."""
+
+    def sketch(ids: pa.Array, marks: pa.Array, texts: pa.Array) -> list[pa.Array]:
         import xxhash
 
         sizes, prints, bands, bytes_ = [], [], [], []
@@ -133,9 +151,9 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 bytes_.append(values.astype(np.uint8).tobytes())
             else:
                 prints.append(None), bands.append(None), bytes_.append(None)
-        return [keys, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
+        return [ids, marks, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
 
-    return map_columns(docs, [id_col, text_col], f"{id_col} long, n long, print binary, bands array<long>, sketch binary", sketch)
+    return map_columns(docs, ["id", "mark", "text"], "id long, mark long, n long, print binary, bands array<long>, sketch binary", sketch)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,30 +163,33 @@ def components(edges: DataFrame) -> DataFrame:
     that map, until no edge is left. The first round goes by id, so a star around its least node is done;
     later ones go by hashes that change from round to round, which shortens chains by a constant factor.
     Sums and joins only: a node with very many edges is pre-aggregated in the groupBy and split by Spark
-    in the joins.
+    in the joins. Every round is written, so plans stay short and a lost executor costs its tasks only.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    maps = []
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "edges")
+    found, number = None, 0
     while True:
-        if not maps:
-            to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        if number:
+            placed = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("place"), F.col(c).alias("node"))  # noqa: B023, E731
+            near = both.groupBy("a").agg(F.min(placed("b")).alias("near")).select(F.col("a").alias("id"), F.least(placed("a"), F.col("near"))["node"].alias("to"))
         else:
-            placed = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("place"), F.col(c).alias("node"))
-            near = both.groupBy("a").agg(F.min(placed("b")).alias("near"))
-            to = near.select(F.col("a").alias("id"), F.least(placed("a"), F.col("near"))["node"].alias("to"))
-        to = checkpoint(to)
-        maps.append(to)
+            near = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("to"))
+        to = written(near, "map")
         one = both.join(to, F.col("a") == F.col("id")).select(F.col("to").alias("a"), "b")
         two = one.join(to, F.col("b") == F.col("id")).select("a", F.col("to").alias("b"))
-        both = checkpoint(two.where("a <> b").distinct())
+        left = written(two.where("a <> b").distinct(), "edges")
+        discard(both)
+        both, number = left, number + 1
+        if found is None:
+            found = to
+        else:
+            older = found
+            found = written(older.join(to.toDF("at", "next"), F.col("to") == F.col("at"), "left").select("id", F.coalesce("next", "to").alias("to")), "map")
+            discard(older, to)
         if both.isEmpty():
             break
-    found = maps[0]
-    for more in maps[1:]:
-        found = found.join(more.toDF("at", "next"), F.col("to") == F.col("at"), "left").select("id", F.coalesce("next", "to").alias("to"))
-    if len(maps) == 1:
+    discard(both)
+    if number == 1:
         return found.withColumnRenamed("to", "component")
-    found = checkpoint(found)
     names = found.groupBy("to").agg(F.min("id").alias("component"))
     return found.join(names, "to").select("id", "component")
 
@@ -178,9 +199,14 @@ def _enough(sizes: np.ndarray, one: int, percent: int) -> np.ndarray:
     return 100 * np.minimum(sizes, one) >= percent * np.maximum(sizes, one)
 
 
-def _least_agreeing(percent: int) -> int:
+def _least_agreeing(percent: int, n: np.ndarray) -> np.ndarray:
+    """The bins on which sketches of linked sets agree, the smaller one of ``n`` shingles.
+
+    Bins of a small set are mostly borrowed: only those that its shingles fill are drawn independently.
+    """
     p = percent / 100
-    return int(BINS * p - DEVIATIONS * np.sqrt(BINS * p * (1 - p)))
+    filled = BINS * (1 - (1 - 1 / BINS) ** np.asarray(n, float))
+    return np.floor(BINS * (p - DEVIATIONS * np.sqrt(p * (1 - p) / filled)))
 
 
 def _linked(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -229,7 +255,7 @@ def in_blocks(members: DataFrame, group: str, payload: list[str], links_of) -> D
     group, so that a group of any size is spread over tasks and no task holds more than two blocks.
     """
     sizes = members.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("blocks"))
-    sizes = checkpoint(sizes)  # else the join would need a group's rows in one task before they are spread
+    sizes = written(sizes, "blocks")  # else the join would need a group's rows in one task before they are spread
     own = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", *payload)
@@ -243,89 +269,120 @@ def in_blocks(members: DataFrame, group: str, payload: list[str], links_of) -> D
         ids = part.id.to_numpy()
         return pd.DataFrame({"a": ids[root], "b": ids[moved]}, dtype="int64")
 
-    return spread.groupBy(group, "i", "j").applyInPandas(compare, "a long, b long")
+    found = written(spread.groupBy(group, "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
+    discard(sizes)
+    return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``mark`` (a hash of the text), ``n`` and ``component_id`` of every row of ``docs``, and ``head_mark``:
+    the row that stands for a component has its ``component_id`` and its ``head_mark``."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = written(sketches(keyed, width), "sketches")
+    own_row = F.struct("id", "mark")
+    classes = rows.where("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min(own_row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "print", "row", "n", "bands", "sketch"), "classes")
+    brief = classes.select(F.col("node").alias("id"), "n", "sketch")
 
-    Documents are linked whose sets of ``width``-word shingles have ``100 * common >= percent * union``;
-    ``component_id`` is the least id that links reach, ``kept`` whether that is the row's own.
-    """
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = written(sketches(keyed, width, "id", "text"), "sketches")
-    linkable = rows.where("id IS NOT NULL AND n > 0")
-    classes = linkable.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(id, text) of classes, once each."""
+        of = nodes.join(classes.select("node", "row.*").toDF("node", "of_id", "of_mark"), nodes.id == F.col("node"))
+        found = keyed.join(of.select("node", "of_id", "of_mark"), (F.col("id") == F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+        return found.groupBy("of_id", "of_mark", "node").agg(F.max("text").alias("text")).select(F.col("node").alias("id"), "text")
 
     # 3. stars
-    buckets = classes.select("id", F.explode("bands").alias("key"))
+    buckets = classes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("key", "centre")
     points = written(buckets.join(centres, "key").where("id <> centre"), "points")
-    brief = classes.select("id", "n", "sketch")
     stars = points.select("centre", "id").distinct()
     stars = stars.join(brief.toDF("id", "n_b", "sketch_b"), "id").join(brief.toDF("centre", "n_a", "sketch_a"), "centre")
-    likely = checkpoint(_likely(stars, percent).select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = _texts(keyed, wanted, classes)
-    paired = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    confirmed = checkpoint(confirm(paired, percent, width))
-    first = components(confirmed) if not confirmed.isEmpty() else confirmed.toDF("id", "component")
-    first = checkpoint(first)
+    likely = written(_likely(stars, percent).select(F.col("centre").alias("a"), F.col("id").alias("b")), "likely")
+    texts = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+    paired = likely.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    confirmed = written(confirm(paired, percent, width), "confirmed")
+    first = written(components(confirmed), "first")
+    discard(likely, confirmed)
 
     # 4. what the stars leave open
-    found = first
     own = points.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_points = own.join(open_keys, "key").join(brief, "id")
-    alike = checkpoint(in_blocks(open_points, "key", ["sketch"], lambda part, apart: _alike(part, apart, percent)).distinct())
+    joining = lambda rows: rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    open_ = written(own.join(joining(own), "key").select("id", "component").distinct().join(brief, "id"), "open")
+    sharp = open_.select("id", "component", F.explode(_sharp(F.col("sketch"))).alias("key"))
+    sharp = written(sharp.join(joining(sharp), "key"), "sharp")
+    discard(points)
+    alike = in_blocks(sharp.join(brief, "id"), "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
+    discard(sharp, open_)
+    found = first
     if not alike.isEmpty():
-        families = components(alike).withColumnRenamed("component", "family")
-        members = families.join(first, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-        members = checkpoint(members)
-        texts = _texts(keyed, members.select("id"), classes)
-        members = members.join(texts, "id").join(classes.select("id", "n"), "id")
-        links = checkpoint(in_blocks(members, "family", ["text"], lambda part, apart: _similar(part, apart, percent, width)).distinct())
-        if not links.isEmpty():
-            of = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"of_{name}"))
-            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-            joined = components(between.where("a <> b").distinct()).toDF("component", "further")
-            whole = first.select("id", "component").union(joined.join(first, joined.component == first.id, "left_anti").select("component", "component"))
-            found = whole.join(joined, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
-
-    class_of = classes.select("print", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left")
-    class_of = class_of.select("print", F.coalesce("component", "class").alias("component_id"))
-    done = rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("print")).alias("print")).join(class_of, "print", "left")
-    done = done.select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
-    kind = docs.schema[id_col].dataType
-    return done.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        members = components(alike).withColumnRenamed("component", "family").join(first, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
+        members = members.join(texts_of(members.select("id")), "id").join(classes.select(F.col("node").alias("id"), "n"), "id")
+        members = written(members, "members")
+        links = in_blocks(members, "family", ["text"], lambda part, apart: _similar(part, apart, percent, width))
+        found = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+        discard(members, links)
+    discard(alike)
+
+    heads = found.join(classes.select("node", "row"), F.col("id") == F.col("node")).groupBy("component").agg(F.min("row").alias("head"))
+    linked = written(found.join(heads, "component").select(F.col("id").alias("node"), "head"), "linked")
+    discard(first)
+    class_of = classes.join(linked, "node", "left").select("print", F.coalesce("head", "row").alias("head"))
+    named = rows.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("print")).alias("print")).join(class_of, "print", "left")
+    return named.select("id", "mark", "n", F.coalesce("head.id", "id").alias("component_id"), F.coalesce("head.mark", "mark").alias("head_mark"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+
+    Documents are linked whose sets of ``width``-word shingles have ``100 * common >= percent * union``;
+    ``component_id`` is the least id that links reach, ``kept`` whether that is the row's own.
+    """
+    found = grouped(docs, percent, width, id_col, text_col)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component one row stays, that with the least id.
+
+    Rows without an id or without words stay. Rows that share an id but are not near copies stay too; of rows
+    that share id and text one stays.
+    """
+    found = written(grouped(docs, percent, width, id_col, text_col).where("id IS NOT NULL AND n > 0"), "groups")
+    key = ["_id", "_mark"] if not {"_id", "_mark"} & {*docs.columns} else [f"_{x}_{'_'.join(docs.columns)}" for x in ("id", "mark")]
+    own = docs.withColumns({key[0]: F.col(f"`{id_col}`").cast("long"), key[1]: F.xxhash64(f"`{text_col}`")})
+    gone = found.where("id <> component_id OR mark <> head_mark").select("id", "mark").distinct().toDF(*key)
+    again = found.groupBy("id", "mark").count().where("count > 1").select("id", "mark").toDF(*key)
+    left = own.join(gone, key, "left_anti")
+    once = left.join(again, key, "left_anti").union(left.join(again, key, "left_semi").dropDuplicates(key))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _likely(stars: DataFrame, percent: int) -> DataFrame:
     """Stars whose sizes allow a link and whose sketches agree on enough bins."""
-    least = _least_agreeing(percent)
 
     def agree(n_a: pd.Series, n_b: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
-        same = [(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum() for x, y in zip(one, other, strict=True)]
-        return pd.Series(np.array(same, dtype=np.int64) >= least, dtype=bool)
+        same = (_stacked(one) == _stacked(other)).sum(axis=1)
+        return pd.Series(same >= _least_agreeing(percent, np.minimum(n_a, n_b)), dtype=bool)
 
     alike = F.pandas_udf(agree, "boolean")
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return stars.where(sized).where(alike("n_a", "n_b", "sketch_a", "sketch_b"))
 
 
-def _texts(keyed: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """The text of each wanted id, once; where rows share an id, the one whose set stands for the class."""
-    return keyed.join(wanted, "id").groupBy("id").agg(F.max("text").alias("text"))
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
+
+
+def _sharp(sketch: Column) -> Column:
+    return F.pandas_udf(lambda column: pd.Series(list(sharp_keys(_stacked(column)))), "array<long>")(sketch)
 
 
 def _alike(part: pd.DataFrame, apart: np.ndarray, percent: int) -> np.ndarray:
-    sketch = np.stack([np.frombuffer(x, np.uint8) for x in part.sketch])
-    n, least = part.n.to_numpy(), _least_agreeing(percent)
+    sketch, n = _stacked(part.sketch), part.n.to_numpy()
     links = np.zeros_like(apart)
     for i in range(len(part)):
         j = np.flatnonzero(apart[i] & _enough(n, n[i], percent))
-        links[i, j] = (sketch[j] == sketch[i]).sum(axis=1) >= least
+        links[i, j] = (sketch[j] == sketch[i]).sum(axis=1) >= _least_agreeing(percent, np.minimum(n[j], n[i]))
     return links
 
 
