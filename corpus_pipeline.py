@@ -19,12 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates; rows that share an id count
-    as one document. Rows without an id stay."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """Keeps one document of each group of near-duplicates, that with the least id; rows that share an id
+    without being near copies stay, and so do rows without an id."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
