@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import bpe, html_extract, langid, minhash, mixing, quality, secrets, token_output, topk
-from logweave.llm.common import table, written
+from logweave.llm.common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document lies in the token files, and a checksum of its ids, read back from the files."""
     folder = token_output.new_folder(spark)
     docs = table(spark, sf_dir, "documents")
-    files = token_output.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
-    return token_output.token_index(spark, folder, written(files, "files"))
+    token_output.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
+    return token_output.token_index(spark, folder)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ themselves, two bits a rank, four ranks in a control byte. A decoder looks a con
 and knows where four ranks lie, so numpy decodes a whole file without a loop over ids.
 
 Documents are range-partitioned by id, so files hold them in ascending order: file names sort like the
-ids of their documents. Each file begins with a header, the lengths and ids of its documents and the
-control bytes, then the data bytes; ``ranks.ids`` holds the ids in order of rank.
+ids of their documents, and end with their number of ids. Each file begins with a header, the lengths and
+ids of its documents and the control bytes, then the data bytes; ``ranks.ids`` holds the ids in order of
+rank. Files are coded in windows of WINDOW ids, so memory follows the coded bytes of a file, not its ids.
 
 Defined cases: a null text has only the end id; documents with a null id come first; equal ids are
-ordered by a hash of the text; a document longer than a file has a file of its own; an empty table
-gives no files and an empty result; other columns are not read.
+ordered by a hash of the text; a document longer than a file has a file of its own; strings of added
+tokens in a text become these tokens, as the library has it; an empty table gives no files and an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import shared_dir, written
+from logweave.llm.common import discard, own_dir, written
 
 MAGIC = b"LWIDS1\x00\x00"
 HEADER = struct.Struct("<8sqqqqq")  # magic, shard, first block, documents, ids, data bytes
-#: Ids of a file and of a block of the table before it, about.
-FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
+#: Ids of a file and of a block of the table before it, about; ids that are coded at once (a multiple of four).
+FILE_IDS, BLOCK_IDS = 8_000_000, 250_000
+WINDOW = 1 << 19
 MEMO = 200_000
 #: Marks that often close a word; the pre-tokenizer cuts between a letter and such a mark.
 CLOSING = '.,:;!?#*$%&|<>()"'
@@ -45,33 +48,46 @@ NULL_ID = -(2**63)
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks`` (unsigned, below 2**32)."""
-    ranks = ranks.astype("<u4")
-    width = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = width - 1
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    octets = ranks.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), octets[np.arange(4) < width[:, None]].tobytes()
+    controls, data = [], []
+    for at in range(0, len(ranks), WINDOW):
+        part = ranks[at : at + WINDOW].astype("<u4")
+        width = 1 + (part >= 1 << 8).astype(np.uint8) + (part >= 1 << 16) + (part >= 1 << 24)
+        padded = np.zeros(-(-len(part) // 4) * 4, np.uint8)
+        padded[: len(part)] = width - 1
+        controls.append((padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)).astype(np.uint8).tobytes())
+        data.append(part.view(np.uint8).reshape(-1, 4)[np.arange(4) < width[:, None]].tobytes())
+    return b"".join(controls), b"".join(data)
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For every control byte: the widths of its four ranks and the sum of them."""
     widths = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-    return widths.astype(np.int64), widths.sum(axis=1)
+    return widths.astype(np.int32), widths.sum(axis=1)
+
+
+def decoded_windows(control: np.ndarray, data: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The ``n`` ranks of control and data bytes, WINDOW at a time."""
+    widths_of, sums = _tables()
+    begin = 0
+    for at in range(0, n, WINDOW):
+        bytes_ = control[at // 4 : (at + WINDOW) // 4]
+        widths = widths_of[bytes_].ravel()[: n - at]
+        ends = np.cumsum(widths, dtype=np.int32)
+        starts = ends - widths
+        own = np.zeros(int(ends[-1]) + 4, np.uint8)
+        own[: ends[-1]] = data[begin : begin + int(ends[-1])]
+        begin += int(ends[-1])
+        ranks = own[starts].astype(np.uint32)
+        for k in range(1, 4):
+            wide = np.flatnonzero(widths > k)
+            ranks[wide] |= own[starts[wide] + k].astype(np.uint32) << np.uint32(8 * k)
+        yield ranks
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` ranks of control and data bytes."""
-    widths = _tables()[0][control].ravel()[:n]
-    ends = np.cumsum(widths)
-    starts = ends - widths
-    padded = np.concatenate([data, np.zeros(4, np.uint8)])
-    ranks = padded[starts].astype(np.uint32)
-    for k in range(1, 4):
-        wide = np.flatnonzero(widths > k)
-        ranks[wide] |= padded[starts[wide] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+    return np.concatenate([np.empty(0, np.uint32), *decoded_windows(control, data, n)])
 
 
 def pack_file(shard: int, block: int, doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> bytes:
@@ -80,8 +96,8 @@ def pack_file(shard: int, block: int, doc_ids: np.ndarray, lengths: np.ndarray,
     return b"".join([head, lengths.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), control, data])
 
 
-def unpack_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, block, ids of documents, lengths, ranks) of a file."""
+def unpack_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """(shard, block, ids of documents, lengths, windows of ranks) of a file."""
     magic, shard, block, documents, n, size = HEADER.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a file of token ids")
@@ -91,7 +107,25 @@ def unpack_file(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarra
     at += 16 * documents
     control = np.frombuffer(raw, np.uint8, -(-n // 4), at)
     data = np.frombuffer(raw, np.uint8, size, at + len(control))
-    return shard, block, doc_ids, lengths, decode_ranks(control, data, n)
+    return shard, block, doc_ids, lengths, decoded_windows(control, data, n)
+
+
+def checksums(lengths: np.ndarray, windows: Iterator[np.ndarray], id_of: np.ndarray) -> np.ndarray:
+    """The crc32 of the ids of each document, whose ids may lie in several windows."""
+    ends = np.cumsum(lengths).tolist()
+    sums, doc, at, first, crc = [], 0, 0, 0, 0
+    for ranks in windows:
+        octets = memoryview(id_of[ranks].astype("<u4").tobytes())
+        last = first + len(ranks)
+        while at < last:
+            to = min(ends[doc], last)
+            crc = zlib.crc32(octets[4 * (at - first) : 4 * (to - first)], crc)
+            at = to
+            if at == ends[doc]:
+                sums.append(crc)
+                doc, crc = doc + 1, 0
+        first = last
+    return np.array(sums, np.int64)
 
 
 # --- the tokenizer
@@ -136,7 +170,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((token.content for token in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.merge = self.tokenizer.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = range(0x250)  # how the byte-level alphabet spells Latin letters and the space
@@ -144,7 +178,7 @@ class ChunkTokenizer:
         self.space = self.alphabet[32]
         self.octets = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=-1))]
         self.words, self.parts = _Memo(), _Memo()
-        self.uncut = re.compile(r"\s |\x00").search
+        self.uncut = re.compile("|".join([r"\s |\x00", *map(re.escape, added)])).search  # these texts go to the library whole
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,8 +250,8 @@ BLOCKS = "shard long, block long, documents long, ids long, doc_ids binary, leng
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents in ascending order of id: a shard is a range of ids, its blocks follow each other."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    ordered = own.repartitionByRange(parts, "id", "mark").sortWithinPartitions("id", "mark").drop("mark")  # equal ids are many ranges
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -286,8 +320,8 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     store.move(draft, f"{path}/{name}")
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all documents into files below ``folder``; gives (shard, block, documents, ids) of every file."""
+def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> int:
+    """Encode all documents into files below ``folder``; gives the number of files."""
     blocks = written(token_blocks(docs, path, end_id, id_col, text_col), "tokens")
     ids = ranked_ids(blocks)
     _put(folder, "ranks.ids", ids.astype("<u4").tobytes())
@@ -299,16 +333,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: s
         held: list[dict] = []
 
         def flush() -> pa.RecordBatch:
-            first = held[0]
-            join = lambda name, kind: np.frombuffer(b"".join(row[name] for row in held), kind)
-            doc_ids, lengths, tokens = join("doc_ids", "<i8"), join("lengths", "<i8"), join("tokens", "<u4")
-            raw = pack_file(first["shard"], first["block"], doc_ids, lengths, shared.value[tokens])
-            _put(folder, f"ids-{first['shard']:08d}-{first['block']:08d}.bin", raw)
-            row = [first["shard"], first["block"], len(doc_ids), len(tokens)]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["shard", "block", "documents", "ids"])
+            first, n = held[0], sum(row["ids"] for row in held)
+            join = lambda name: np.frombuffer(b"".join(row[name] for row in held), "<i8")
+            doc_ids, lengths = join("doc_ids"), join("lengths")
+            ranks = np.concatenate([row["ranks"] for row in held])
+            _put(folder, f"ids-{first['shard']:08d}-{first['block']:08d}-{n}.bin", pack_file(first["shard"], first["block"], doc_ids, lengths, ranks))
+            return pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["files"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                row["ranks"] = shared.value[np.frombuffer(row.pop("tokens"), "<u4")]
                 full = sum(x["ids"] for x in held) + row["ids"] > FILE_IDS
                 if held and (full or row["shard"] != held[-1]["shard"] or row["block"] != held[-1]["block"] + 1):
                     yield flush()
@@ -317,20 +352,31 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: s
         if held:
             yield flush()
 
-    return blocks.mapInArrow(write, "shard long, block long, documents long, ids long")
+    files = blocks.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    discard(blocks)
+    return files
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
+
+
+def _ids_by_rank(spark: SparkSession, folder: str):
+    """The ids in order of rank, a number for each id of the vocabulary at most, on all executors."""
+    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.ids").select("content").first()
+    return spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.content), "<u4"))
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, block, place, doc_id, start, ids) of every document in the files of ``folder``; ``start`` counts
     the ids before the document in its file."""
-    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.ids").select("content").first()
-    id_of = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.content), "<u4"))
+    id_of = _ids_by_rank(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                shard, block, doc_ids, lengths, found = unpack_file(raw.as_py())
-                ids = id_of.value[found]
+                shard, block, doc_ids, lengths, windows = unpack_file(raw.as_py())
+                ids = np.concatenate([np.empty(0, "<u4"), *(id_of.value[ranks] for ranks in windows)])
                 starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 for at in range(0, len(doc_ids), 256):
                     to = min(at + 256, len(doc_ids))
@@ -339,33 +385,29 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     columns = [np.full(n, shard), np.full(n, block), np.arange(at, to), doc_ids[at:to], starts[at:to]]
                     yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], lists], names=["shard", "block", "place", "doc_id", "start", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("content")
-    return files.mapInArrow(read, "shard long, block long, place long, doc_id long, start long, ids array<long>")
+    return _files(spark, folder).select("content").mapInArrow(read, "shard long, block long, place long, doc_id long, start long, ids array<long>")
 
 
-def token_index(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
+def token_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files below ``folder``.
 
-    ``files`` is what :func:`write_tokens` gives, a row for each file; sums over it turn the place in a
-    file into the place in the corpus.
+    Sums over the numbers of ids that end the names of the files turn a place in a file into the place in
+    the corpus; no content is read for them.
     """
-    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.ids").select("content").first()
-    id_of = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.content), "<u4"))
+    id_of = _ids_by_rank(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                shard, block, doc_ids, lengths, found = unpack_file(raw.as_py())
-                ids = id_of.value[found]
-                ends = np.cumsum(lengths)
-                octets = ids.astype("<u4").tobytes()
-                sums = [zlib.crc32(octets[4 * (end - n) : 4 * end]) for end, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                shard, block, doc_ids, lengths, windows = unpack_file(raw.as_py())
+                sums = checksums(lengths, windows, id_of.value)
                 n = len(doc_ids)
-                columns = [np.full(n, shard), np.full(n, block), doc_ids, ends - lengths, lengths, np.array(sums, np.int64)]
+                columns = [np.full(n, shard), np.full(n, block), doc_ids, np.cumsum(lengths) - lengths, lengths, sums]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["shard", "block", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("content")
-    found = content.mapInArrow(read, "shard long, block long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = _files(spark, folder).select("content").mapInArrow(read, "shard long, block long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    part = lambda i: F.regexp_extract("path", r"ids-(\d+)-(\d+)-(\d+)\.bin", i).cast("long")
+    files = _files(spark, folder).select(part(1).alias("shard"), part(2).alias("block"), part(3).alias("ids"))
     shards = files.groupBy("shard").agg(F.sum("ids").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     blocks = files.withColumn("inside", F.sum("ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("ids"))
@@ -375,4 +417,4 @@ def token_index(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/logweave-ids-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/ids-{uuid.uuid4().hex}"
