@@ -2,41 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.text import sums_before
+
 LINES = ("source_id", "line_number", "file_offset", "line_len", "raw")
 
 
-def lines_of_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_of_texts(texts: DataFrame, id_col: str, text_col: str, line_ends: bool = False) -> DataFrame:
     """(source_id, line_number, file_offset, line_len, raw) of every line of every text.
 
     A text is one row, so its lines come from that row alone and nothing is shuffled. ``file_offset`` is
-    in bytes, ``line_len`` without the line end; a text that ends in a line end has no further line.
+    in bytes, ``line_len`` without the line end; a text that ends in a line end has no further line. With
+    ``line_ends`` a column ``line_end`` has what ends each line, so that the text can be put together again.
     """
     cut = F.split(text_col, "\n", -1)
-    cut = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,raw:string>>").alias("lines"))
-
-    def add(state: Column, line: Column) -> Column:
-        lines = F.array_append(state["lines"], F.struct(state["at"].alias("at"), line.alias("raw")))
-        return F.struct((state["at"] + F.octet_length(line) + 1).cast("long").alias("at"), lines.alias("lines"))
-
-    lines = F.aggregate(cut, start, add, lambda state: state["lines"])
-    out = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), F.posexplode(lines).alias("at", "line"))
-    raw = F.regexp_replace("line.raw", r"\r\z", "")
-    return out.select("source_id", (F.col("at") + 1).cast("long").alias("line_number"), F.col("line.at").alias("file_offset"), F.octet_length(raw).alias("line_len"), raw.alias("raw"))
-
-
-def numbered_blocks(blocks: DataFrame, keys: list[str], order: str, count: str, size: str) -> DataFrame:
-    """Two-phase prefix sum: (keys, order, first_line, first_byte) of each block of lines.
-
-    ``blocks`` has a row for each split of a source, with its lines and bytes. Only these few rows are
-    ordered; lines are then numbered inside their split.
-    """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    return blocks.select(*keys, order, F.coalesce(F.sum(count).over(before), zero).alias("first_line"), F.coalesce(F.sum(size).over(before), zero).alias("first_byte"))
+    sizes = F.transform(cut, lambda line: F.octet_length(line) + 1)
+    own = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), cut.alias("cut"), sums_before(sizes).alias("starts"))
+    out = own.select("source_id", F.size("cut").alias("n"), F.posexplode(F.arrays_zip("cut", "starts")).alias("at", "line"))
+    last = F.col("at") + 1 == F.col("n")
+    out = out.where(~last | (F.col("line.cut") != ""))
+    raw = F.regexp_replace("line.cut", r"\r\z", "")
+    columns = [(F.col("at") + 1).cast("long").alias("line_number"), F.col("line.starts").alias("file_offset"), F.octet_length(raw).alias("line_len"), raw.alias("raw")]
+    end = F.concat(F.when(F.col("line.cut").endswith("\r"), "\r").otherwise(""), F.when(last, "").otherwise("\n"))
+    return out.select("source_id", *columns, *[end.alias("line_end")] * line_ends)
 
 
 def checkpoints(lines: DataFrame, interval: int = 10_000_000) -> DataFrame:

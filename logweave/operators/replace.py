@@ -24,14 +24,20 @@ def splice(raw: Column, start: Column, length: Column, new: Column) -> Column:
 
 
 def replace_single(lines: DataFrame, source_id: object, offset: int, old_len: int, new: str) -> DataFrame:
-    """``lines`` with one byte range of a source replaced; the range lies within a line."""
+    """(source_id, line_number, line_len, raw) with one byte range of a source replaced; the range lies within a
+    line. Offsets of what follows change, so none are given."""
     inside = (F.col("source_id") == F.lit(source_id)) & (F.col("file_offset") <= offset) & (F.lit(offset + old_len) <= F.col("file_offset") + F.col("line_len"))
     new_raw = splice(F.col("raw"), F.lit(offset) - F.col("file_offset"), F.lit(old_len), F.lit(new))
-    return lines.withColumn("raw", F.when(inside, new_raw).otherwise(F.col("raw"))).withColumn("line_len", F.octet_length("raw"))
+    return _edited(lines, F.when(inside, new_raw).otherwise(F.col("raw")))
+
+
+def _edited(lines: DataFrame, raw: Column) -> DataFrame:
+    ends = [c for c in ("line_end",) if c in lines.columns]
+    return lines.select("source_id", "line_number", F.octet_length(raw).alias("line_len"), raw.alias("raw"), *ends)
 
 
 def apply_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """``lines`` with ``edits`` (source_id, line_number, offset, old_len, new_text) applied.
+    """(source_id, line_number, line_len, raw) with ``edits`` (source_id, line_number, offset, old_len, new_text) applied.
 
     Edits name offsets of the original source; those of a line are applied from the last to the first,
     so an edit that changes a length shifts none that is still to come.
@@ -40,15 +46,12 @@ def apply_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
     queued = edits.groupBy("source_id", "line_number").agg(F.sort_array(F.collect_list(entry), asc=False).alias("edits"))
     joined = lines.join(queued, ["source_id", "line_number"], "left")
     edited = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<offset:bigint,old_len:bigint,new_text:string>>")), F.col("raw"), lambda raw, e: splice(raw, e["offset"] - F.col("file_offset"), e["old_len"], e["new_text"]))
-    return joined.select("source_id", "line_number", "file_offset", "line_len", edited.alias("raw"))
+    return _edited(joined, edited)
 
 
 def rewritten(lines: DataFrame) -> DataFrame:
-    """(source_id, text): the texts that the lines make, each line ended by a line end."""
-    entry = F.struct("line_number", "raw")
-    return lines.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("lines")).select("source_id", F.concat(F.array_join("lines.raw", "\n"), F.lit("\n")).alias("text"))
-
-
-def save_lines(lines: DataFrame, path: str) -> None:
-    """Write lines as text, a file for each range of the order, so that no task writes all of it."""
-    lines.repartitionByRange("source_id", "line_number").sortWithinPartitions("source_id", "line_number").select("raw").write.mode("errorifexists").text(path)
+    """(source_id, text): the texts that the lines of small sources make. What ended a line ends it again, where
+    ``line_end`` tells; else a line feed does. Large sources are written by ``sources.bytelog`` instead."""
+    end = F.col("line_end") if "line_end" in lines.columns else F.lit("\n")
+    entry = F.struct("line_number", F.concat("raw", end).alias("whole"))
+    return lines.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("lines")).select("source_id", F.array_join("lines.whole", "").alias("text"))
