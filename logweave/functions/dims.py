@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Categories of mnemonics: fixed values.
@@ -22,6 +22,8 @@ CATEGORIES = {
 }
 #: Mnemonics that set the flags besides comparisons: fixed values.
 FLAG_SETTERS = ("adds", "subs", "ands", "bics", "adcs", "sbcs", "negs", "ngcs")
+#: Stores whose first operand is a status register that they write: fixed values.
+STATUS = ("stlxp", "stlxr", "stlxrb", "stlxrh", "stxp", "stxr", "stxrb", "stxrh")
 #: Loads whose second operand is a destination too, and pairs of accesses: fixed values.
 SECOND_DESTINATION = ("ldp", "ldpsw", "ldnp", "ldxp", "ldaxp")
 PAIRS = ("ldp", "ldpsw", "ldnp", "ldxp", "ldaxp", "stp", "stnp", "stxp", "stlxp")
@@ -37,6 +39,7 @@ def category(mnemonic: Column) -> Column:
     for name, members in CATEGORIES.items():
         found = found.when(mnemonic.isin(members.split()), F.lit(name))
     found = found.when(mnemonic.startswith("b."), F.lit("Branch")).when(mnemonic.startswith("aut") & (F.length(mnemonic) >= 5), F.lit("Branch"))
+    found = found.when(mnemonic == "stnp", F.lit("Store"))  # a pair that is stored like any other
     return found.when(mnemonic.startswith("fcvt") | mnemonic.startswith("frint"), F.lit("DataMove")).otherwise(F.lit("Other"))
 
 
@@ -58,16 +61,3 @@ def register_name(register: Column) -> Column:
     """The display name of a register id."""
     special = F.when(register == FP, "fp").when(register == LR, "lr").when(register == SP, "sp").when(register == XZR, "xzr").when(register == NZCV, "nzcv")
     return special.when(register.between(0, 28), F.concat(F.lit("x"), register.cast("string"))).when(register.between(Q0, Q0 + 31), F.concat(F.lit("q"), (register - Q0).cast("string"))).otherwise("?")
-
-
-def register_dim(spark: SparkSession) -> DataFrame:
-    """(spelling, reg, name): every accepted spelling, made by rule."""
-    numbered = spark.range(32).select(F.explode(F.array(*[F.lit(c) for c in "xwqdshbv"])).alias("letter"), F.col("id").cast("string").alias("n")).select(F.concat("letter", "n").alias("spelling"))
-    named = spark.createDataFrame([(x,) for x in ("sp", "wsp", "xzr", "wzr", "fp", "lr", "nzcv")], "spelling string")
-    found = numbered.union(named).withColumn("reg", register_id(F.col("spelling"))).where("reg IS NOT NULL")
-    return found.withColumn("name", register_name(F.col("reg")))
-
-
-def mnemonic_dim(spark: SparkSession) -> DataFrame:
-    """(mnemonic, category) of every name."""
-    return spark.createDataFrame([(m, c) for c, members in CATEGORIES.items() for m in members.split()], "mnemonic string, category string")

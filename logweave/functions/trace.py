@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logweave.functions.dims import PAIRS, SECOND_DESTINATION, register_id
+from logweave.functions.dims import PAIRS, SECOND_DESTINATION, STATUS, register_id
 
 INSN = r'^[^!]*!([0-9a-fA-F]+) *(?:0x[^: ]*:?)? *"([^"]*)"'
 OUTSIDE_BRACKETS = r",(?![^\[]*\])"
@@ -88,19 +88,20 @@ def destinations(ops: Column, mnemonic: Column, category: Column) -> Column:
     """Registers that an instruction writes, four at most; a changed base comes last."""
     none = F.array().cast("array<smallint>")
     base = writeback_base(ops, category)
-    own = F.when(category.isin("Branch", "Compare", "Store"), none).when(mnemonic.isin(*SECOND_DESTINATION), registers_of(F.slice(ops, 1, 2))).otherwise(registers_of(F.slice(ops, 1, 1)))
+    own = F.when(mnemonic.isin(*STATUS), registers_of(F.slice(ops, 1, 1))).when(category.isin("Branch", "Compare", "Store"), none).when(mnemonic.isin(*SECOND_DESTINATION), registers_of(F.slice(ops, 1, 2))).otherwise(registers_of(F.slice(ops, 1, 1)))
     return F.slice(F.concat(own, F.when(base.isNotNull(), F.array(base)).otherwise(none)), 1, 4)
 
 
 def sources(ops: Column, mnemonic: Column, category: Column) -> Column:
     """Registers that an instruction reads, eight at most; a store's data comes first."""
-    skipped = F.when(category.isin("Branch", "Compare", "Store"), 0).when(mnemonic.isin(*SECOND_DESTINATION), 2).otherwise(1)
+    skipped = F.when(mnemonic.isin(*STATUS), 1).when(category.isin("Branch", "Compare", "Store"), 0).when(mnemonic.isin(*SECOND_DESTINATION), 2).otherwise(1)
     return F.slice(registers_of(F.slice(ops, skipped + 1, 8)), 1, 8)
 
 
 def pair_size(ops: Column, mnemonic: Column) -> Column:
     """Bytes of a register of a paired access, 0 if it is none."""
-    letter = F.lower(F.substring(F.try_element_at(ops, F.lit(1)), 1, 1))
+    first = F.when(mnemonic.isin(*STATUS), 2).otherwise(1)
+    letter = F.lower(F.substring(F.try_element_at(ops, first), 1, 1))
     return F.when(mnemonic.isin(*PAIRS), F.when(letter.isin("w", "s"), 4).when(letter == "q", 16).otherwise(8)).otherwise(0)
 
 
@@ -132,7 +133,7 @@ def output_values(raw: Column) -> Column:
 
 
 def call_name(raw: Column) -> Column:
-    return F.regexp_extract(F.trim(raw), r"^(?:-> )?(.*?)(?: ret:.*)?$", 1)
+    return F.regexp_extract(raw, r"^[ \t]*(?:-> )?(.*?)(?: ret:.*)?[ \t]*$", 1)
 
 
 def module_offset(raw: Column) -> Column:

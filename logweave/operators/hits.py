@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.dims import register_id, register_name
+from logweave.functions.dims import register_name
 from logweave.operators.trace import call_display
 
-STOP_LABELS = {"AllTaintCleared": "all taint cleared", "ScanLimitReached": "scan limit reached", "EndOfTrace": "end of trace", "Cancelled": "cancelled"}
+STOP_LABELS = {"AllTaintCleared": "all taint cleared", "ScanLimitReached": "scan limit reached", "EndOfTrace": "end of trace", "WindowEnd": "end of the window", "DepthLimitReached": "depth limit reached", "Cancelled": "cancelled"}
 FILTERED = ("raw_line", "module_offset", "addr", "asm", "tainted_text")
 
 
@@ -20,6 +20,12 @@ def location_text(loc: Column) -> Column:
     return F.when(loc.startswith("m"), memory).otherwise(register_name(F.substring(loc, 2, 3).cast("int")))
 
 
+def in_order(locs: Column) -> Column:
+    """Locations in order: registers by number, then addresses as unsigned numbers."""
+    keyed = F.transform(locs, lambda x: F.struct(x.startswith("m").alias("memory"), F.length(x).alias("digits"), x.alias("loc")))
+    return F.transform(F.sort_array(keyed), lambda x: x["loc"])
+
+
 def parse_source(text: str) -> str:
     """The location that a user names: a register, or ``mem:0x<hex>``."""
     text = text.strip().lower()
@@ -51,7 +57,7 @@ def address_targets(ruled: DataFrame) -> DataFrame:
 def hit_rows(found: DataFrame, insns: DataFrame) -> DataFrame:
     """Hits (source_id, idx, locs) as rows for a table; calls are shown where they were made."""
     shown = call_display(insns).select("source_id", "idx", F.col("shown_offset").alias("file_offset"), F.col("shown_line").alias("line_number"), F.col("raw").alias("raw_line"), "module_offset", F.col("abs_addr").alias("addr"), "asm")
-    text = F.concat(F.lit("{"), F.array_join(F.transform("locs", location_text), ", "), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(in_order(F.col("locs")), location_text), ", "), F.lit("}"))
     return found.join(shown, ["source_id", "idx"]).withColumn("tainted_text", text)
 
 
@@ -79,19 +85,21 @@ def stop_label(reason: Column) -> Column:
     return found
 
 
-def report(hits: DataFrame, mode: str, source: str, start_line: int, start_offset: int, stop: str, boundary: list[str] = (), mismatches: list[str] = ()) -> DataFrame:
-    """(position, line): a text report of ordered hit rows; only the head comes from the driver."""
-    head = [f"=== Taint {mode.capitalize()} Tracking ===", f"Source: {source}", f"Started from: line {start_line} (file offset 0x{start_offset:x})"]
-    tail = [f"Stop reason: {STOP_LABELS.get(stop, stop)}"]
-    tail += [f"Unresolved at trace start: {', '.join(boundary)}"] * bool(boundary) + [f"Value mismatch: {m}" for m in mismatches] + ["=" * 60, ""]
-    spark = hits.sparkSession
-    total = hits.agg(F.concat(F.lit("Total matched: "), F.count("*").cast("string"), F.lit(" instructions")).alias("line"))
-    fixed = spark.createDataFrame([(i, t) for i, t in enumerate(head)] + [(10 + i, t) for i, t in enumerate(tail)], "part int, line string")
+def report(hits: DataFrame, summary: DataFrame, boundary: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """(line): a text report of hit rows. ``summary`` is one row (mode, source, start_line, start_offset,
+    stop_reason, n_hits); ``boundary`` has (loc), ``mismatches`` (idx, addr, expected, actual)."""
+    hex_ = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    at = F.concat(F.lit("Started from: line "), F.col("start_line").cast("string"), F.lit(" (file offset "), hex_("start_offset"), F.lit(")"))
+    count = F.concat(F.lit("Total matched: "), F.col("n_hits").cast("string"), F.lit(" instructions"))
+    head = F.array(F.concat(F.lit("=== Taint "), F.initcap("mode"), F.lit(" Tracking ===")), F.concat(F.lit("Source: "), F.col("source")), at, count, F.concat(F.lit("Stop reason: "), stop_label(F.col("stop_reason"))))
+    zero = F.lit(0).cast("long")
+    rows = summary.select(F.lit(1).alias("part"), zero.alias("idx"), F.posexplode(head).alias("row", "line"))
+    order = F.struct(F.col("loc").startswith("m"), F.length("loc"), F.col("loc"))
+    place = (F.row_number().over(Window.orderBy(order)) - 1).cast("int")
+    rows = rows.union(boundary.select(F.lit(2), zero, place, F.concat(F.lit("Unresolved at trace start: "), location_text(F.col("loc")))))
+    wrong = F.concat(F.lit("Value mismatch: "), location_text(F.col("addr")), F.lit(" was "), hex_("expected"), F.lit(", read as "), hex_("actual"))
+    rows = rows.union(mismatches.select(F.lit(3), "idx", F.lit(0), wrong))
+    rows = rows.union(summary.select(F.lit(4), zero, F.posexplode(F.array(F.lit("=" * 60), F.lit("")))))
     body = F.array(F.concat(F.lit("["), F.col("line_number").cast("string"), F.lit("] "), F.col("raw_line")), F.concat(F.lit("      tainted: "), F.col("tainted_text")), F.lit(""))
-    rows = hits.select(F.lit(1000).alias("part"), "idx", F.posexplode(body).alias("row", "line"))
-    whole = fixed.select("part", F.lit(0).cast("long").alias("idx"), F.lit(0).alias("row"), "line").union(total.select(F.lit(5), F.lit(0).cast("long"), F.lit(0), "line")).union(rows)
-    return whole.orderBy("part", "idx", "row").select("line")
-
-
-def source_register(name: Column) -> Column:
-    return F.concat(F.lit("r"), register_id(name).cast("string"))
+    rows = rows.union(hits.select(F.lit(5), "idx", F.posexplode(body)))
+    return rows.orderBy("part", "idx", "row").select("line")

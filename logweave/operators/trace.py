@@ -80,10 +80,16 @@ def within_limits(lines: DataFrame, max_line: int | None = None, max_offset: int
     return lines if max_offset is None else lines.where(F.col("file_offset") <= max_offset)
 
 
-def parse_line(lines: DataFrame, source_id: object, line_number: int, ahead: int = 8) -> DataFrame:
-    """The instruction at one line, with the accesses of the next few lines."""
-    few = lines.where((F.col("source_id") == F.lit(source_id)) & F.col("line_number").between(line_number, line_number + ahead))
-    return parse_trace(few, dense=False).where(F.col("line_number") == line_number)
+def heads(lines: DataFrame) -> DataFrame:
+    """The lines that are instructions or calls, told by their look alone."""
+    return lines.where(T.kind(F.col("raw")).isin("INSN", "EXT"))
+
+
+def parse_lines(lines: DataFrame, asked: DataFrame, ahead: int = 8) -> DataFrame:
+    """The instructions at the ``asked`` places (source_id, line_number), with the accesses of the next few lines."""
+    near = asked.select("source_id", F.explode(F.sequence(F.col("line_number"), F.col("line_number") + ahead)).alias("line_number")).distinct()
+    few = lines.join(near, ["source_id", "line_number"], "left_semi")
+    return parse_trace(few, dense=False).join(asked, ["source_id", "line_number"], "left_semi")
 
 
 def call_display(insns: DataFrame) -> DataFrame:

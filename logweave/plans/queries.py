@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions import dims
 from logweave.functions.text import compile_pattern, word_at
 from logweave.operators import dataflow, hits, lines, replace, search, trace
 from logweave.plans.events_trace import TRACE_SQL, events_trace
+from logweave.plans.orders_trace import ORDERS_BACKWARD_SQL, ORDERS_FORWARD_SQL, ORDERS_SQL, orders_trace
 from logweave.sources import encoding
 from logweave.storage import checkpoint
 
@@ -291,6 +293,13 @@ def rewritten_texts(spark, sf_dir):
     return replace.rewritten(rows).select(F.col("source_id").alias("doc_id"), F.md5("text").alias("digest")).where(F.col("digest") != F.md5(F.lit("\n")))
 
 
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''")
+def rewritten_exact(spark, sf_dir):
+    """S15, T-R6: lines put together again with the line ends they had, byte for byte."""
+    rows = lines.lines_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text", line_ends=True)
+    return replace.rewritten(rows).select(F.col("source_id").alias("doc_id"), F.md5("text").alias("digest"))
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-8' ELSE CASE WHEN strlen(text) = length(text) THEN 'UTF-8' ELSE 'windows-1252' END END AS encoding FROM documents WHERE text IS NOT NULL AND text <> ''")
 def detect_encodings(spark, sf_dir):
     """The encoding of each document, written in one of four ways."""
@@ -488,6 +497,165 @@ def limited_scan(spark, sf_dir):
     return trace.parse_trace(text, dense=False).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
+# --- the trace of orders: pairs, changed bases, flags, calls, broken lines
+
+
+def orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_trace(table(spark, sf_dir, "orders"))
+
+
+def orders_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.parse_trace(orders_lines(spark, sf_dir), dense=False)
+
+
+def orders_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(dataflow.with_rules(orders_rows(spark, sf_dir)))
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    regs = {c: F.array_join(F.transform(c, lambda r: r.cast("string")), ",") for c in ("dst", "src")}
+    inferred = F.size(F.filter(F.concat("reads", "writes"), lambda a: a["inferred"]))
+    mems = {c: F.array_join(F.transform(c, lambda a: a["addr"].cast("string")), ",") for c in ("reads", "writes")}
+    return rows.withColumn("n_inferred", inferred).withColumns(regs | mems)
+
+
+@query(f"WITH {ORDERS_SQL} SELECT source_id, line_number, mnemonic, category, {joined_sql('dst')} AS dst, {joined_sql('src')} AS src, {joined_sql('reads')} AS reads, {joined_sql('writes')} AS writes, sets_flags, pair_reg_size, has_writeback_base, n_inferred FROM insn")
+def typed_pairs(spark, sf_dir):
+    """Pairs, their inferred halves, changed bases, status registers, flags."""
+    rows = _numbers(orders_rows(spark, sf_dir))
+    return rows.select("source_id", "line_number", "mnemonic", "category", "dst", "src", "reads", "writes", "sets_flags", "pair_reg_size", "has_writeback_base", "n_inferred")
+
+
+@query(f"WITH {ORDERS_SQL} SELECT source_id, line_number, CASE WHEN kind < 13 THEN 'libo.so!' || printf('%x', k * 4) ELSE '->' END AS module_offset, CASE WHEN kind < 13 THEN '0x' || printf('%x', k * 4 + 28672) ELSE '' END AS address, CASE kind WHEN 0 THEN printf('ldp x%d, x%d, [x%d]', d, e, b) WHEN 11 THEN printf('fcvtzs x%d, d%d', d, s) WHEN 13 THEN printf('libc.so!memcpy(%d)', k) END AS shown FROM insn WHERE kind IN (0, 11, 13)")
+def shown_texts(spark, sf_dir):
+    """Module and offset, absolute address, clean assembly, name of a call."""
+    from logweave.functions import trace as T
+
+    rows = orders_rows(spark, sf_dir).where("mnemonic IN ('ldp', 'fcvtzs') OR category = 'ExternalCall'")
+    call = F.col("category") == "ExternalCall"
+    module = F.when(call, F.regexp_extract("raw", r"^\s*(\S+)", 1)).otherwise(F.col("module_offset"))
+    return rows.select("source_id", "line_number", module.alias("module_offset"), F.when(call, "").otherwise(F.col("abs_addr")).alias("address"), F.when(call, T.call_name(F.col("raw"))).otherwise(F.col("asm")).alias("shown"))
+
+
+_NAMES = [(m, c) for c, members in dims.CATEGORIES.items() for m in members.split()] + [("stnp", "Store"), ("b.ne", "Branch"), ("autiasp", "Branch"), ("fcvtms", "DataMove"), ("frinta", "DataMove"), ("aut", "Other"), ("swp", "Other"), ("hlt", "Other")]
+
+
+@query(f"WITH names(i, mnemonic, category) AS (VALUES {', '.join(f'({i}, {chr(39)}{m}{chr(39)}, {chr(39)}{c}{chr(39)})' for i, (m, c) in enumerate(_NAMES))}) SELECT mnemonic, category, category = 'Compare' OR mnemonic IN ({', '.join(repr(m) for m in dims.FLAG_SETTERS)}) AS sets_flags, count(*) AS n FROM orders JOIN names ON o_orderkey % {len(_NAMES)} = i GROUP BY ALL")
+def mnemonic_categories(spark, sf_dir):
+    """Every name of the table and the rules for prefixes, each through the parser."""
+    k = F.col("o_orderkey")
+    name = F.element_at(F.array(*[F.lit(m.upper()) for m, _ in _NAMES]), (k % len(_NAMES) + 1).cast("int"))
+    text = table(spark, sf_dir, "orders").select(F.lit(1).alias("source_id"), k.alias("line_number"), k.alias("file_offset"), F.lit(0).alias("line_len"), F.concat(F.lit('libo.so!1 0x1: "\t'), name, F.lit('\tx1, x2"')).alias("raw"))
+    rows = trace.parse_trace(text, dense=False)
+    return rows.groupBy("mnemonic", "category", "sets_flags").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, ['x', 'w', 'q', 'd', 's', 'h', 'b', 'v', 'SP', 'wsp', 'XZR', 'fp', 'LR', 'nzcv', 'y'][o_orderkey % 15 + 1] AS letter, (o_orderkey // 15) % 34 AS i FROM orders),
+  r AS (SELECT o_orderkey, CASE WHEN length(letter) = 1 THEN letter || i ELSE letter END AS spelling, CASE WHEN letter IN ('x', 'w') AND i <= 30 THEN i WHEN letter IN ('q', 'd', 's', 'h', 'b', 'v') AND i <= 31 THEN 34 + i
+    WHEN letter IN ('SP', 'wsp') THEN 31 WHEN letter = 'XZR' THEN 32 WHEN letter = 'fp' THEN 29 WHEN letter = 'LR' THEN 30 WHEN letter = 'nzcv' THEN 33 END AS reg FROM n)
+  SELECT o_orderkey, spelling, reg, CASE WHEN reg = 29 THEN 'fp' WHEN reg = 30 THEN 'lr' WHEN reg = 31 THEN 'sp' WHEN reg = 32 THEN 'xzr' WHEN reg = 33 THEN 'nzcv' WHEN reg < 29 THEN 'x' || reg WHEN reg >= 34 THEN 'q' || (reg - 34) ELSE '?' END AS name FROM r""")
+def register_aliases(spark, sf_dir):
+    """Spellings of registers, the register that each means, its display name."""
+    k = F.col("o_orderkey")
+    letters = ["x", "w", "q", "d", "s", "h", "b", "v", "SP", "wsp", "XZR", "fp", "LR", "nzcv", "y"]
+    letter = F.element_at(F.array(*map(F.lit, letters)), (k % 15 + 1).cast("int"))
+    spelling = F.when(F.length(letter) == 1, F.concat(letter, F.expr("o_orderkey div 15 % 34").cast("string"))).otherwise(letter)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", spelling.alias("spelling"))
+    rows = rows.withColumn("reg", dims.register_id(F.col("spelling")))
+    return rows.withColumn("name", F.coalesce(dims.register_name(F.col("reg")), F.lit("?")))
+
+
+def _orders_forward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = orders_ruled(spark, sf_dir)
+    first = rows.groupBy("source_id").agg(F.min("idx").alias("start_idx"))
+    asked = first.select((F.col("source_id") + 300).alias("query_id"), "source_id", F.lit("m2000").alias("loc"), "start_idx")
+    return dataflow.forward(rows, asked, max_idle=1_000_000, window_bytes=None), rows
+
+
+@query(f"{ORDERS_FORWARD_SQL} SELECT t.source_id + 300 AS query_id, t.idx, coalesce(string_agg(h.loc, ',' ORDER BY h.loc), '') AS locs FROM trail t LEFT JOIN hot h ON h.source_id = t.source_id AND h.idx <= t.idx AND (h.until IS NULL OR t.idx < h.until) GROUP BY ALL")
+def forward_pairs(spark, sf_dir):
+    """A value through pairs, changed bases, partial writes, selects and calls."""
+    found, _ = _orders_forward(spark, sf_dir)
+    return found.where("kind = 'hit'").select("query_id", "idx", F.array_join("locs", ",").alias("locs"))
+
+
+@query(f"{ORDERS_FORWARD_SQL}, ends AS (SELECT source_id, CASE WHEN count(*) = count(until) THEN max(until) END AS cleared FROM hot GROUP BY source_id) SELECT i.source_id + 300 AS query_id, coalesce(cleared, max(line_number)) AS idx, CASE WHEN cleared IS NULL THEN 'end of trace' ELSE 'all taint cleared' END AS reason FROM insn i JOIN ends e ON e.source_id = i.source_id GROUP BY i.source_id, cleared")
+def forward_stops(spark, sf_dir):
+    """Where and why each run ends."""
+    found, _ = _orders_forward(spark, sf_dir)
+    return found.where("kind = 'stop'").select("query_id", "idx", hits.stop_label(F.col("locs")[0]).alias("reason"))
+
+
+@query(f"{ORDERS_FORWARD_SQL}, seen AS (SELECT source_id, idx, k % 251 AS val, unnest(CASE kind WHEN 0 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (0, 3)), kept AS (SELECT source_id, idx, k % 256 AS val, unnest(CASE kind WHEN 1 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (1, 2, 9, 10)) SELECT s.source_id + 300 AS query_id, s.idx, s.loc AS addr, w.val AS expected, s.val AS actual FROM seen s JOIN hot h ON h.source_id = s.source_id AND h.loc = s.loc AND s.idx > h.idx AND (h.until IS NULL OR s.idx <= h.until) JOIN kept w ON w.source_id = h.source_id AND w.idx = h.idx AND w.loc = h.loc WHERE w.val <> s.val")
+def forward_mismatches(spark, sf_dir):
+    """Stored values that are read back as others."""
+    found, _ = _orders_forward(spark, sf_dir)
+    return found.where("kind = 'mismatch'").select("query_id", "idx", "addr", "expected", "actual")
+
+
+@query(f"{ORDERS_FORWARD_SQL}, shown AS (SELECT t.source_id, t.idx, h.loc, length(h.loc) AS n FROM trail t LEFT JOIN hot h ON h.source_id = t.source_id AND h.idx <= t.idx AND (h.until IS NULL OR t.idx < h.until)), labels AS (SELECT *, CASE WHEN loc LIKE 'm%' THEN 'mem:0x' || loc[2:] WHEN loc = 'r29' THEN 'fp' WHEN loc = 'r30' THEN 'lr' WHEN loc = 'r31' THEN 'sp' WHEN loc = 'r33' THEN 'nzcv' WHEN CAST(loc[2:] AS INTEGER) >= 34 THEN 'q' || (CAST(loc[2:] AS INTEGER) - 34) ELSE 'x' || loc[2:] END AS label FROM shown) SELECT source_id, idx, CASE WHEN any_value(i.category) = 'ExternalCall' THEN idx - 1 ELSE idx END AS line_number, '{{' || coalesce(string_agg(label, ', ' ORDER BY loc LIKE 'm%', n, loc), '') || '}}' AS tainted_text FROM labels JOIN insn i USING (source_id) WHERE i.line_number = idx GROUP BY source_id, idx")
+def hit_table(spark, sf_dir):
+    """Hits as rows of a table, locations in order of number and unsigned address."""
+    found, rows = _orders_forward(spark, sf_dir)
+    shown = hits.hit_rows(found.where("kind = 'hit'").select("source_id", "idx", "locs"), rows)
+    return shown.select("source_id", "idx", "line_number", "tainted_text")
+
+
+def _orders_backward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = orders_ruled(spark, sf_dir)
+    last = rows.where("mnemonic = 'ldp'").groupBy("source_id").agg(F.max("idx").alias("start_idx"), F.max_by(F.col("dst")[0], "idx").alias("reg"))
+    asked = last.select((F.col("source_id") + 400).alias("query_id"), "source_id", F.concat(F.lit("r"), F.col("reg").cast("string")).alias("loc"), "start_idx", F.lit(False).alias("skip_start"))
+    return dataflow.backward(rows, asked, checkpoint)
+
+
+@query(f"{ORDERS_BACKWARD_SQL}, shown AS (SELECT n.source_id, n.idx, CASE WHEN n.idx = a.idx THEN n.loc ELSE t.in_loc END AS loc FROM node n JOIN ask a USING (source_id) LEFT JOIN taken t ON t.source_id = n.source_id AND t.idx = n.idx AND t.out_loc = n.loc) SELECT source_id + 400 AS query_id, source_id, idx, coalesce(string_agg(DISTINCT loc, ',' ORDER BY loc), '') AS locs FROM shown GROUP BY ALL")
+def backward_rows(spark, sf_dir):
+    """The trail of a value back, with the locations that are followed at each row."""
+    trail, _ = _orders_backward(spark, sf_dir)
+    return trail.select("query_id", "source_id", "idx", F.array_join("locs", ",").alias("locs"))
+
+
+@query(f"{ORDERS_BACKWARD_SQL} SELECT DISTINCT source_id + 400 AS query_id, in_loc AS loc FROM taken WHERE def_idx IS NULL")
+def backward_boundary(spark, sf_dir):
+    """What a trail needs from before the trace."""
+    _, left = _orders_backward(spark, sf_dir)
+    return left.select("query_id", "loc")
+
+
+@query(f"WITH {ORDERS_SQL}, t AS (SELECT source_id, line_number AS idx, list_distinct(src) AS regs, src FROM insn WHERE category IN ('Load', 'Store')) SELECT source_id, idx, string_agg('x' || r, ',' ORDER BY list_position(src, r)) AS labels FROM (SELECT *, unnest(regs) AS r FROM t) GROUP BY source_id, idx")
+def address_sources(spark, sf_dir):
+    """Q5: the registers behind the address of a load or store."""
+    found = hits.address_targets(orders_rows(spark, sf_dir))
+    return found.groupBy("source_id", "idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "label"))), lambda x: x["label"]), ",").alias("labels"))
+
+
+@query(f"WITH {ORDERS_SQL}, asked AS (SELECT source_id, max(line_number) AS line_number FROM insn WHERE kind = 1 GROUP BY source_id) SELECT source_id, line_number, mnemonic, {joined_sql('writes')} AS writes FROM insn JOIN asked USING (source_id, line_number)")
+def point_parse(spark, sf_dir):
+    """Of each source one instruction, parsed from its line and those of its accesses alone."""
+    text = orders_lines(spark, sf_dir)
+    asked = text.where(F.col("raw").contains("]!")).groupBy("source_id").agg(F.max("line_number").alias("line_number"))
+    return _numbers(trace.parse_lines(text, asked)).select("source_id", "line_number", "mnemonic", "writes")
+
+
+@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches ORDER BY source_id, byte_offset LIMIT 1")
+def first_match(spark, sf_dir):
+    """the first match of all."""
+    return search.find_first(document_lines(spark, sf_dir), THE).drop("line_start", "raw")
+
+
+@query(f"WITH {LINES_SQL} SELECT source_id, line_number, file_offset, line_len FROM lines WHERE line_number = 2")
+def go_to_line(spark, sf_dir):
+    """The second line of every document."""
+    return lines.go_to_line(document_lines(spark, sf_dir), 2).drop("raw")
+
+
+@query("SELECT doc_id, decode(encode(text)[3:22]) AS head FROM documents WHERE strlen(text) = length(text)")
+def decoded_ranges(spark, sf_dir):
+    """S3: bytes 2 to 22 of every text of single bytes, decoded."""
+    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    return docs.select("doc_id", encoding.decoded_range(F.encode("text", "UTF-8"), 2, 22).alias("head"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()} | BYTE_QUERIES
 

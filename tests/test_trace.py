@@ -1,193 +1,216 @@
-"""Parsing of trace lines and data flow on small hand-made traces."""
+"""Parsing of trace lines and data flow, on random programs against a plain interpreter."""
+
+import random
 
 import pytest
+import trace_model as model
+from pyspark.sql import functions as F
 
 from logweave.functions.text import compile_pattern
-from logweave.operators import dataflow, hits, lines, replace, search, trace
+from logweave.operators import dataflow, hits, job, lines, replace, search, trace
 from logweave.storage import checkpoint
 
-TRACE = """\
-libx.so!178dc8 0x76fed9fdc8: "\tstp\tx29, x30, [sp, #-0x60]!" FP=0x77ac225ba0, LR=0x2a, SP=0x77ac225b20 => SP=0x77ac225ac0
-MEM W 0x77ac225ac0 [8 bytes]: a0 5b 22 ac 77 00 00 00  .[".w...
-MEM W 0x77ac225ac8 [8 bytes]: 2a 00 00 00 00 00 00 00  *.......
-libx.so!178de0 0x76fed9fde0: "\tmov\tx29, sp" SP=0x77ac225ac0 => FP=0x77ac225ac0
-libx.so!178dec 0x76fed9fdec: "\tmov\tx19, sp" SP=0x77ac2226a0 => X19=0x77ac2226a0
-libx.so!178df0 0x76fed9fdf0: "\tldr\tx0, [x19, #0x10]" X19=0x77ac2226a0 => X0=0x12345
-MEM R 0x77ac2226b0 [8 bytes]: 45 23 01 00 00 00 00 00  E#......
-libx.so!178df4 0x76fed9fdf4: "\tadd\tx1, x0, #0x8" X0=0x12345 => X1=0x1234d
-libx.so!178df8 0x76fed9fdf8: "\tstr\tx1, [x19, #0x20]" X1=0x1234d, X19=0x77ac2226a0
-MEM W 0x77ac2226c0 [8 bytes]: 4d 23 01 00 00 00 00 00  M#......
-libx.so!178dfc 0x76fed9fdfc: "\tmov\tx2, #0x0" => X2=0x0
-"""
-BOUNDARY = """\
-libx.so!100 0x100: "\tmov\tx1, sp" SP=0x2000 => X1=0x2000
-libx.so!104 0x104: "\tldr\tx0, [x1]" X1=0x2000 => X0=0x5
-MEM R 0x2000 [8 bytes]: 05 00 00 00 00 00 00 00  ........
-"""
-CHAIN = """\
-libx.so!100 0x100: "\tldr\tx2, [x9]" X9=0x5000 => X2=0xdead
-MEM R 0x5000 [8 bytes]: ad de 00 00 00 00 00 00  ........
-libx.so!104 0x104: "\tmov\tx10, x9" X9=0x5000 => X10=0x5000
-libx.so!108 0x108: "\tmov\tx3, x10" X10=0x5000 => X3=0x5000
-libx.so!10c 0x10c: "\tmov\tx4, x3" X3=0x5000 => X4=0x5000
-libx.so!110 0x110: "\tmov\tw11, #0x1" => W11=0x1
-libx.so!114 0x114: "\tmov\tx0, x4" X4=0x5000 => X0=0x5000
-"""
-SAVED = """\
-libx.so!1000 0x1000: "\tadrp\tx27, #0x1000" => X27=0xAA
-libx.so!1004 0x1004: "\tmov\tx27, x10" X10=0xBB => X27=0xBB
-libx.so!1008 0x1008: "\tstp\tx28, x27, [sp, #0x10]" X28=0xDD, X27=0xBB, SP=0x1000
-MEM W 0x1010 [8 bytes]: dd 00 00 00 00 00 00 00  ........
-MEM W 0x1018 [8 bytes]: bb 00 00 00 00 00 00 00  ........
-libx.so!100c 0x100c: "\tadrp\tx27, #0x2000" => X27=0xCC
-libx.so!1010 0x1010: "\tldp\tx28, x27, [sp, #0x10]" SP=0x1000 => X28=0xDD, X27=0xBB
-MEM R 0x1010 [8 bytes]: dd 00 00 00 00 00 00 00  ........
-MEM R 0x1018 [8 bytes]: bb 00 00 00 00 00 00 00  ........
-libx.so!1014 0x1014: "\tadd\tx0, x27, x1" X27=0xBB, X1=0x10 => X0=0xCB
-"""
-CALL = """\
-libx.so!100 0x100: "\tmov\tx19, x0" X0=0x1 => X19=0x1
-libx.so!104 0x104: "\tbl\t#0x200" => LR=0x108
- -> libc.so!malloc(1024) ret: 0x7800
-libx.so!108 0x108: "\tmov\tx20, x0" X0=0x7800 => X20=0x7800
-"""
-FLAGS = """\
-libx.so!0fc 0xfc: "\tnop"
-libx.so!100 0x100: "\tcmp\tx5, x6" X5=0x1, X6=0x2
-libx.so!104 0x104: "\tcsel\tx0, x1, x2, eq" X1=0xaa, X2=0xbb => X0=0xbb
-"""
-PAIR = """\
-libx.so!1000 0x7000: "\tstp\tx29, x30, [sp]" SP=0x77aca000
-MEM W 0x77aca000 [8 bytes]: a0 5b 22 ac 77 00 00 00  .[".w...
-libx.so!1004 0x7004: "\tldr\tx0, [x1], #8" X1=0x1000 => X0=0x0, X1=0x1008
-libx.so!1008 0x7008: "\tldr\tx8, [x27, x8]" X27=0x1000, X8=0x10 => X8=0x5
-libx.so!100c 0x700c: "\tb.eq\t#0x100"
-libx.so!1010 0x7010: no instruction
-MEM R 0x1 [8 bytes]: 01 00 00 00 00 00 00 00  ........
-"""
-TEXTS = [TRACE, BOUNDARY, CHAIN, SAVED, CALL, FLAGS, PAIR]
+PROGRAMS = [model.program(seed, n) for seed, n in ((1, 40), (2, 70), (3, 70), (4, 25))]
+STEPS = [steps for _, steps in PROGRAMS]
 
 
 @pytest.fixture(scope="module")
-def insns(spark):
-    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    return checkpoint(dataflow.with_rules(trace.parse_trace(lines.lines_of_texts(texts, "id", "text"))))
+def text_lines(spark):
+    texts = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(PROGRAMS)], "id long, text string")
+    return checkpoint(lines.lines_of_texts(texts, "id", "text"))
 
 
 @pytest.fixture(scope="module")
-def parsed(insns):
-    out = {}
-    for row in insns.collect():
-        out[(row.source_id, row.idx)] = row
+def insns(text_lines):
+    return checkpoint(dataflow.with_rules(trace.parse_trace(text_lines)))
+
+
+def test_instructions_and_their_accesses(insns):
+    rows = {(r.source_id, r.idx): r for r in insns.collect()}
+    assert len(rows) == sum(map(len, STEPS))
+    for (source, idx), r in rows.items():
+        step = STEPS[source][idx]
+        assert (r.mnemonic, r.category, r.dst, r.src, r.sets_flags) == (step.mnemonic, step.category, step.dst, step.src, step.sets_flags)
+        assert r.has_writeback_base == (step.base is not None)
+        for got, want in ((r.reads, step.reads), (r.writes, step.writes)):
+            assert [(a.addr, a.val, a.inferred) for a in got] == [(addr, value, value is None) for addr, value in want]
+        assert {(f.in_loc, f.out_loc) for f in r.flow} == set(step.flows())
+
+
+def test_lines_that_are_no_instructions(spark):
+    text = '\nlibq.so!10 0x10: "\tadd\tx1, x2, #1"\nnoise\nMEM W 0x20 [8 bytes]: 05 00 00 00 00 00 00 00\nlibq.so!14 0x14: garbled\nMEM R 0x30 [8 bytes]: 01 00 00 00 00 00 00 00\n'
+    text += '\t-> libq.so!f(1)\nMEM R 0x30 [8 bytes]: 01 00 00 00 00 00 00 00\nlibq.so!18 0x18: "\t"\n[libq.so] !20 plain\nlibq.so!1c 0x1c: "STNP W3, W4, [X5]"\nMEM W 0xfffffffffffffffc [4 bytes]: 01 00 00 00\n'
+    texts = spark.createDataFrame([(1, text)], "id long, text string")
+    rows = trace.parse_trace(lines.lines_of_texts(texts, "id", "text")).orderBy("idx").collect()
+    assert [(r.line_number, r.category, [a.addr for a in r.writes], len(r.reads)) for r in rows] == [(2, "Arithmetic", [0x20], 0), (7, "ExternalCall", [], 0), (11, "Store", [-4, 0], 0)]
+    assert rows[2].pair_reg_size == 4 and rows[2].src == [3, 4, 5] and rows[2].writes[1].inferred and rows[2].rel_addr == 0x1C
+
+
+def ask(spark, asked):
+    """Questions (source, location, start, skip) as a table."""
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "query_id long, source_id long, loc string, start_idx long, skip_start boolean")
+
+
+def questions(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        source = rng.randrange(len(STEPS))
+        start = rng.randrange(len(STEPS[source]))
+        step = STEPS[source][start]
+        near = [f"r{x}" for x in step.dst + step.src if x != 32] + [f"m{a:x}" for a, _ in step.reads + step.writes]
+        out.append((source, rng.choice(near or ["r0", "m4f8"]), start, rng.random() < 0.3))
     return out
 
 
-def test_instructions_and_their_accesses(parsed):
-    assert sum(1 for s, _ in parsed if s == 0) == 7
-    stp, ldr, add, mov = parsed[0, 0], parsed[0, 3], parsed[0, 4], parsed[0, 6]
-    assert stp.category == "Store" and [w.addr for w in stp.writes] == [0x77AC225AC0, 0x77AC225AC8]
-    assert stp.writes[1].val == 0x2A and stp.has_writeback_base and stp.dst == [31]
-    assert ldr.dst == [0] and ldr.src == [19] and ldr.reads[0].addr == 0x77AC2226B0 and ldr.reads[0].val == 0x12345
-    assert add.dst == [1] and add.src == [0] and not add.reads and not add.writes
-    assert mov.category == "DataMove" and mov.src == []
-
-
-def test_pairs_bases_and_lost_lines(parsed):
-    stp, post, indexed, branch = (parsed[6, i] for i in range(4))
-    assert [(w.addr, w.inferred) for w in stp.writes] == [(0x77ACA000, False), (0x77ACA008, True)] and stp.writes[1].val is None
-    assert post.dst == [0, 1] and post.has_writeback_base
-    assert indexed.src == [27, 8] and not indexed.has_writeback_base
-    assert branch.category == "Branch" and not branch.reads  # the line after a broken instruction is dropped
-
-
-def ask(spark, insns, source, loc, start, skip=False):
-    query = spark.createDataFrame([(1, source, hits.parse_source(loc), start, skip)], "query_id long, source_id long, loc string, start_idx long, skip_start boolean")
-    trail, left = dataflow.backward(insns, query, checkpoint)
-    return {row.idx: row.locs for row in trail.collect()}, {row["loc"] for row in left.collect()}
-
-
-def go(spark, insns, source, loc, start, **limits):
-    query = spark.createDataFrame([(1, source, hits.parse_source(loc), start)], "query_id long, source_id long, loc string, start_idx long")
-    rows = dataflow.forward(insns, query, **limits).collect()
-    return sorted((r.idx, r.locs) for r in rows if r.kind == "hit"), next(r.locs[0] for r in rows if r.kind == "stop"), [r for r in rows if r.kind == "mismatch"]
-
-
-def test_forward_through_load_and_store(spark, insns):
-    found, stop, wrong = go(spark, insns, 0, "mem:0x77ac2226b0", 2)
-    assert [i for i, _ in found] == [2, 3, 4, 5] and "m77ac2226c0" in found[-1][1] and stop == "EndOfTrace" and not wrong
-    assert go(spark, insns, 0, "x0", 6)[:2] == ([(6, ["r0"])], "EndOfTrace")
-
-
-def test_forward_flags_and_calls(spark, insns):
-    found, _, _ = go(spark, insns, 5, "x5", 0)
-    assert "r0" in dict(found)[2]
-    for source in ("lr", "q0"):
-        found, stop, _ = go(spark, insns, 4, source, 0)
-        assert found[-1][1] == [] and stop == "AllTaintCleared"
-
-
-def test_forward_stops_after_idle_rows(spark, insns):
-    found, stop, _ = go(spark, insns, 2, "x9", 3, max_idle=2)
-    assert [i for i, _ in found] == [3] and stop == "ScanLimitReached"
-
-
-def test_backward_follows_data_not_addresses(spark, insns):
-    trail, left = ask(spark, insns, 0, "x1", 5)
-    assert {3, 4} <= set(trail) and left == {"m77ac2226b0"}
-    trail, left = ask(spark, insns, 1, "x0", 1)
-    assert trail == {1: ["r0"]} and left == {"m2000"}
-
-
-def test_backward_rows_show_what_they_lead_to(spark, insns):
-    trail, left = ask(spark, insns, 2, "x0", 5)
-    assert trail == {5: ["r0"], 3: ["r3"], 2: ["r10"], 1: ["r9"]} and left == {"r9"}
-
-
-def test_backward_through_saved_registers(spark, insns):
-    trail, _ = ask(spark, insns, 3, "x27", 5, skip=True)
-    assert 1 in trail and 0 not in trail and 3 not in trail
-
-
-def test_calls_are_shown_at_their_caller(spark, insns):
-    rows = {r.idx: r.shown_line for r in trace.call_display(insns).where("source_id = 4").collect()}
-    assert rows == {0: 1, 1: 2, 2: 2, 3: 4}
+@pytest.mark.parametrize("max_idle", [3, 10**6])
+def test_forward(spark, insns, max_idle):
+    asked = questions(5, 40)
+    found = {}
+    for r in dataflow.forward(insns, ask(spark, asked).drop("skip_start"), max_idle=max_idle).collect():
+        found.setdefault(r.query_id, []).append(r)
+    for i, (source, loc, start, _) in enumerate(asked):
+        rows, stop, wrong = model.forward(STEPS[source], loc, start, max_idle)
+        got = found[i]
+        assert sorted((r.idx, r.locs) for r in got if r.kind == "hit") == rows
+        assert [r.locs for r in got if r.kind == "stop"] == [[stop]]
+        assert sorted((r.idx, r.addr, r.expected, r.actual) for r in got if r.kind == "mismatch") == wrong
+
+
+def test_forward_stops_at_the_end_of_a_window(spark, insns):
+    asked = ask(spark, [(1, "r31", 0, False)]).drop("skip_start")
+    at = {r.idx: r.file_offset for r in insns.where("source_id = 1").select("idx", "file_offset").collect()}
+    got = dataflow.forward(insns, asked, window_bytes=at[30]).collect()
+    last = next(r for r in got if r.kind == "stop")
+    assert (last.idx, last.locs) == (30, ["WindowEnd"]) and max(r.idx for r in got) == 30
+
+
+def test_backward(spark, insns):
+    asked = questions(6, 40)
+    trail, left = dataflow.backward(insns, ask(spark, asked), checkpoint)
+    rows, open_ = {}, {}
+    for r in trail.collect():
+        rows.setdefault(r.query_id, {})[r.idx] = set(r.locs)
+    for r in left.collect():
+        open_.setdefault(r.query_id, set()).add(r["loc"])
+    for i, (source, loc, start, skip) in enumerate(asked):
+        want, boundary = model.backward(STEPS[source], loc, start, skip)
+        assert rows[i] == want and open_.get(i, set()) == boundary
+
+
+def test_reaching_definitions(insns):
+    defs = lambda step: {*step.clears(), *[o for _, o in step.flows()]}
+    got = {(r.source_id, r.use_idx, r["loc"]): r.def_idx for r in dataflow.reaching_definitions(insns, width=16).collect()}
+    for (source, use, loc), found in got.items():
+        assert found == next((i for i in range(use - 1, -1, -1) if loc in defs(STEPS[source][i])), None)
+    assert all((s, i, f"r{x}") in got for s, steps in enumerate(STEPS) for i, step in enumerate(steps) for x in step.src if x != 32)
+
+
+def test_calls_are_shown_at_their_caller(insns):
+    rows = {(r.source_id, r.idx): r for r in trace.call_display(insns).collect()}
+    for (source, idx), r in rows.items():
+        call = STEPS[source][idx].category == "ExternalCall"
+        assert r.shown_line == (rows[source, idx - 1].line_number if call else r.line_number)
+
+
+@pytest.mark.parametrize("mode", ["forward", "backward"])
+def test_job(spark, text_lines, insns, mode):
+    """The whole way from a line and a name to hits, summary and report."""
+    source, start = 2, next(i for i, s in enumerate(STEPS[2]) if i > 20 and s.category == "Load")
+    at = insns.where(f"source_id = {source} AND idx = {start}").first()
+    loc = f"m{STEPS[source][start].reads[0][0]:x}" if mode == "forward" else f"r{STEPS[source][start].dst[0]}"
+    name = f"mem:0x{loc[1:]}" if mode == "forward" else f"x{loc[1:]}"
+    found = job.run(text_lines, source, name, mode, checkpoint, line_number=at.line_number)
+    same = job.run(text_lines, source, name, mode, checkpoint, offset=at.file_offset)
+    if mode == "forward":
+        rows, stop, wrong = model.forward(STEPS[source], loc, start)
+        want, open_ = {i: sorted(x) for i, x in rows}, set()
+    else:
+        rows, open_ = model.backward(STEPS[source], loc, start)
+        want, stop, wrong = {i: sorted(x) for i, x in rows.items()}, "EndOfTrace", []
+    got = {r.idx: (sorted(r.locs), r.line_number, r.raw_line, r.tainted_text) for r in found.hits.collect()}
+    assert {i: x[0] for i, x in got.items()} == want and {r.idx for r in same.hits.collect()} == set(want)
+    shown = {r.idx: r for r in trace.call_display(insns).where(f"source_id = {source}").collect()}
+    assert all(x[1:3] == (shown[i].shown_line, shown[i].raw) for i, x in got.items())
+    summary = found.summary.first()
+    assert (summary.stop_reason, summary.n_hits, summary.start_line, summary.start_offset) == (stop, len(want), at.line_number, at.file_offset)
+    assert {r["loc"] for r in found.boundary.collect()} == open_ and sorted((r.idx, r.addr) for r in found.mismatches.collect()) == [(i, a) for i, a, *_ in wrong]
+    text = [r.line for r in found.report().collect()]
+    assert text[1] == f"Source: {name}" and sum(line.startswith("      tainted: {") for line in text) == len(want)
+    assert sum(line.startswith("Value mismatch: ") for line in text) == len(wrong)
+    with pytest.raises(ValueError):
+        job.run(text_lines, source, "x99", mode, checkpoint, line_number=1)
+    with pytest.raises(ValueError):
+        job.run(text_lines, source, name, mode, checkpoint, line_number=10**9)
 
 
-def test_report(spark, insns):
-    query = spark.createDataFrame([(1, 0, "r19", 0)], "query_id long, source_id long, loc string, start_idx long")
-    found = hits.hit_rows(dataflow.forward(insns, query).where("kind = 'hit'"), insns)
-    text = [r.line for r in hits.report(found, "forward", "x19", 1, 0, "EndOfTrace").collect()]
-    assert text[0] == "=== Taint Forward Tracking ===" and text[1] == "Source: x19" and any(t.strip().startswith("tainted: {") for t in text)
+def test_addresses_sort_as_unsigned_numbers(spark):
+    rows = [["m200", "r30", "m1000", "mffffffffffffff00", "r4", "m10"]]
+    df = spark.createDataFrame([(x,) for x in rows], "locs array<string>")
+    assert df.select(hits.in_order(F.col("locs")).alias("x")).first().x == ["r4", "r30", "m10", "m200", "m1000", "mffffffffffffff00"]
 
 
-@pytest.mark.parametrize(("text", "loc"), [("x0", "r0"), ("W12", "r12"), ("sp", "r31"), ("mem:0x1F", "m1f"), ("d3", "r37")])
+@pytest.mark.parametrize(("text", "loc"), [("x11", "r11"), ("W28", "r28"), ("fp", "r29"), (" mem:0xAb ", "mab"), ("mem:c0", "mc0"), ("q31", "r65"), ("nzcv", "r33")])
 def test_sources_by_name(text, loc):
     assert hits.parse_source(text) == loc
 
 
-def test_sources_by_wrong_name():
+@pytest.mark.parametrize("text", ["x31", "w-1", "mem:", "mem:0x11112222333344445", "y4", ""])
+def test_sources_by_wrong_name(text):
     with pytest.raises(ValueError):
-        hits.parse_source("x31")
+        hits.parse_source(text)
+
+
+def plain_lines(text):
+    """(number, offset, line, line end) by hand."""
+    at = 0
+    pieces = text.split("\n")
+    for n, piece in enumerate(pieces, 1):
+        if n == len(pieces) and not piece:
+            return
+        body = piece.removesuffix("\r")
+        yield n, at, body, piece[len(body) :] + ("\n" if n < len(pieces) else "")
+        at += len(piece.encode()) + 1
 
 
 def test_lines_and_matches(spark):
-    texts = spark.createDataFrame([(1, "Line 1\nLine 2\nLine 3"), (2, "\n\n\n"), (3, "This is a test string. Another test."), (4, "é test\r\ntest"), (5, ""), (6, None)], "id long, text string")
-    rows = lines.lines_of_texts(texts, "id", "text").cache()
-    assert [(r.line_number, r.file_offset) for r in rows.where("source_id = 1").orderBy("line_number").collect()] == [(1, 0), (2, 7), (3, 14)]
-    assert rows.where("source_id = 2").count() == 3 and rows.where("source_id IN (5, 6)").count() == 0
-    found = search.matches(rows, compile_pattern("test")).collect()
-    assert sorted((r.source_id, r.byte_offset, r.match_len) for r in found) == [(3, 10, 4), (3, 31, 4), (4, 3, 4), (4, 9, 4)]
-    none = compile_pattern("x*", use_regex=True)
-    assert none.may_be_empty and search.matches(rows.where("source_id = 1"), none).where("match_len = 0").count() == 21
+    rng = random.Random(9)
+    texts = ["", None, "\n", "\r\n\n", "ß"] + ["".join(rng.choice(["ab", "é", "\n", "\r\n", " x", "AB"]) for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = lines.lines_of_texts(df, "id", "text", line_ends=True).cache()
+    want = {(i, *x) for i, t in enumerate(texts) if t for x in plain_lines(t)}
+    assert {(r.source_id, r.line_number, r.file_offset, r.raw, r.line_end) for r in rows.collect()} == want and rows.count() == len(want)
+    assert all(r.line_len == len(r.raw.encode()) for r in rows.collect())
+    found = {(r.source_id, r.byte_offset, r.match_len) for r in search.matches(rows, compile_pattern("ab")).collect()}
+    by_hand = set()
+    for i, _, at, raw, _ in want:
+        k = raw.lower().find("ab")
+        while k >= 0:
+            by_hand.add((i, at + len(raw[:k].encode()), 2))
+            k = raw.lower().find("ab", k + 2)
+    assert found == by_hand
+    none = compile_pattern("z*", use_regex=True)
+    assert none.may_be_empty and search.matches(rows, none).count() == sum(len(raw) + 1 for _, _, _, raw, _ in want)
     assert search.matches(rows, compile_pattern("")).count() == 0
+    back = {r.source_id: r.text for r in replace.rewritten(rows).collect()}
+    assert back == {i: t for i, t in enumerate(texts) if t}
+
+
+def test_a_million_lines_in_one_text(spark):
+    df = spark.createDataFrame([(1, "ab c\n" * 1_000_000)], "id long, text string")
+    last = lines.lines_of_texts(df, "id", "text").agg(F.max("line_number").alias("n"), F.max("file_offset").alias("at")).first()
+    assert (last.n, last.at) == (1_000_000, 4_999_995)
+    line = spark.createDataFrame([(1, 1, 0, 400_000, "ab c" * 100_000)], "source_id long, line_number long, file_offset long, line_len int, raw string")
+    assert search.matches(line, compile_pattern("c")).agg(F.max("byte_offset")).first()[0] == 399_999
 
 
 def test_replacement(spark):
-    rows = spark.createDataFrame([(1, "Hello World, Hello Universe"), (2, "Item 1, Item 2, Item 3")], "id long, raw string")
-    hi = replace.replace_all(rows, compile_pattern("Hello"), "Hi$1").where("id = 1").first().raw
-    assert hi == "Hi$1 World, Hi$1 Universe"
-    items = compile_pattern(r"Item (\d)", use_regex=True)
-    assert replace.replace_all(rows, items, "Object $1", use_regex=True).where("id = 2").first().raw == "Object 1, Object 2, Object 3"
+    rows = spark.createDataFrame([(1, "Cat catalog CAT"), (2, "k1=v1;k22=v22")], "id long, raw string")
+    of = lambda i, pattern, template, **how: replace.replace_all(rows, pattern, template, **how).where(f"id = {i}").first().raw
+    assert of(1, compile_pattern("cat"), "$0\\dog") == "$0\\dog $0\\dogalog $0\\dog" and of(1, compile_pattern("cat", case_sensitive=True), "x") == "Cat xalog CAT"
+    assert of(1, compile_pattern("cat", whole_word=True), "x") == "x catalog x"
+    pair = compile_pattern(r"(\w+)=(\w+)", use_regex=True)
+    assert of(2, pair, "${2}<$1$$", use_regex=True) == "v1<k1$;v22<k22$"
 
 
 def test_backward_tells_where_a_depth_cuts_it(spark):
