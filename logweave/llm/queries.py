@@ -72,8 +72,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
-    taken = (F.col("_copies") * F.col("_size")).alias("taken")
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken)
+    taken = (F.col("mix.copies") * F.col("mix.size")).alias("taken")
+    return mixed.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
