@@ -13,16 +13,17 @@ labels gives ``und`` throughout; only text and label columns are read, and label
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_columns
+from logweave.llm.common import discard, map_columns, written
 
 UNKNOWN = "und"
 #: Labelled documents of each language to learn from, about, and trigrams kept for each, at most.
@@ -46,6 +47,10 @@ SCRIPTS = {
 }
 _STARTS, _ENDS, _NAMES = zip(*sorted((a, b, name) for name, ranges in SCRIPTS.items() for a, b in ranges), strict=True)
 MEMO = 300_000
+#: Cells (words times texts) that are labelled in lockstep; a longer text goes by itself.
+CELLS = 1_000_000
+#: Texts of a batch.
+ROWS = 2048
 
 
 def script_of(word: str) -> str:
@@ -74,6 +79,7 @@ class LanguageModel:
     grams: dict[str, int]
     scores: np.ndarray
     scripts: dict[str, np.ndarray]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
@@ -103,8 +109,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "key", "n", "script"])
 
     counts = picked.select("text", "lang").mapInArrow(count, "lang string, key string, n long, script boolean")
-    counts = counts.groupBy("lang", "key", "script").agg(F.sum("n").alias("n"))
-    top = counts.where("NOT script").orderBy(F.desc("n"), "lang", "key").limit(GRAMS * len(sizes))
+    counts = written(counts.groupBy("lang", "key", "script").agg(F.sum("n").alias("n")), "grams")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counts.where("NOT script").withColumn("rank", rank).where(F.col("rank") <= GRAMS).orderBy(F.desc("n"), "lang", "key")
     languages = sorted(sizes)
     grams: dict[str, int] = {}
     table = np.zeros((GRAMS * len(sizes) + 1, len(languages)))
@@ -116,6 +123,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     names = [*SCRIPTS, "other"]
     for row in counts.where("script").collect():
         seen[languages.index(row.lang), names.index(row.key)] = row.n
+    discard(counts)
     common = seen > 0.01 * np.maximum(seen.sum(axis=1, keepdims=True), 1)
     return LanguageModel(languages, grams, scores, {name: common[:, i] for i, name in enumerate(names)})
 
@@ -143,49 +151,67 @@ class Labeller:
             at.append(len(codes))
             codes += [grams.get(gram, last) for gram in grams_of(word)]
         sums = np.add.reduceat(self.model.scores[codes], at, axis=0)
-        for i, word in enumerate(words):
-            self.rows[word] = start + i
-            able = self.model.scripts[script_of(word)]
-            if not able.any():
-                sums[i] = 0.0
-            elif not able.all():
-                sums[i, ~able] = sums[i].min() - 1e3
+        able = np.stack([self.model.scripts[script_of(word)] for word in words])
+        sums = np.where(able, sums, sums.min(axis=1, keepdims=True) - 1e3)
+        sums[~able.any(axis=1)] = 0.0
+        self.rows.update(zip(words, range(start, start + len(words)), strict=True))
         self.table[start : start + len(words)] = sums
 
-    def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The language number of every word of every text."""
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.rows))
+    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows of the words of every text in the table of scores."""
+        new = set().union(*texts).difference(self.rows)
         if new:
             if len(self.rows) + len(new) > MEMO:
                 self._forget()
-                new = list(dict.fromkeys(w for words in texts for w in words))
-            self._learn(new)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        codes = np.zeros((int(sizes.max(initial=0)), len(texts)), np.int32)
-        for column, i in enumerate(order):
-            codes[: len(texts[i]), column] = [self.rows[w] for w in texts[i]]
-        active = np.searchsorted(-sizes, -np.arange(len(codes)), side="left")  # texts longer than t come first
-        score = np.zeros((len(texts), len(self.model.languages)))
-        stays, bests = [], []
+                new = set().union(*texts)
+            self._learn(sorted(new))
+        row = self.rows.__getitem__
+        return [np.fromiter(map(row, words), np.int32, len(words)) for words in texts]
+
+    def label(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The language number of every word of every text."""
+        return self._labels(self.codes(texts))
+
+    def _labels(self, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """The same for rows of the table; texts of like length go together, so cells are few."""
+        order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
+        found: list[np.ndarray] = [np.empty(0, np.int16)] * len(codes)
+        at = 0
+        while at < len(order):
+            longest = max(1, len(codes[order[at]]))
+            part = order[at : at + max(1, CELLS // longest)]
+            at += len(part)
+            for i, labels in zip(part, self._viterbi([codes[i] for i in part]), strict=True):
+                found[i] = labels
+        return found
+
+    def _viterbi(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Labels of texts, the longest first."""
+        sizes = np.array([len(x) for x in texts])
+        steps, languages = int(sizes[0]), len(self.model.languages)
+        codes = np.zeros((steps, len(texts)), np.int32)
+        for column, x in enumerate(texts):
+            codes[: len(x), column] = x
+        active = np.searchsorted(-sizes, -np.arange(steps), side="left")
+        score = np.zeros((len(texts), languages))
+        stays = np.zeros((steps, len(texts), languages), bool)
+        bests = np.zeros((steps, len(texts)), np.int16)
+        rows = np.arange(len(texts))
         for t, n in enumerate(active):
             now = score[:n]
             best = now.argmax(axis=1)
-            top = now[np.arange(n), best][:, None] - self.switch
-            stay = now >= top
-            stays.append(stay)
-            bests.append(best)
-            score[:n] = np.where(stay, now, top) + self.table[codes[t, :n]]
+            top = now[rows[:n], best][:, None] - self.switch
+            np.greater_equal(now, top, out=stays[t, :n])
+            bests[t, :n] = best
+            score[:n] = np.maximum(now, top) + self.table[codes[t, :n]]
         labels = np.zeros(codes.shape, np.int16)
-        current = score.argmax(axis=1)
-        for t in range(len(codes) - 1, -1, -1):
+        current = score.argmax(axis=1).astype(np.int16)
+        for t in range(steps - 1, -1, -1):
             n = active[t]
-            labels[t, :n] = current[:n]
-            current[:n] = np.where(stays[t][np.arange(n), current[:n]], current[:n], bests[t])
-        found: list[np.ndarray] = [np.empty(0)] * len(texts)
-        for column, i in enumerate(order):
-            found[i] = labels[: len(texts[i]), column]
-        return found
+            own = current[:n]
+            labels[t, :n] = own
+            current[:n] = np.where(stays[t, rows[:n], own], own, bests[t, :n])
+        return [labels[:n, column] for column, n in enumerate(sizes)]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, one past the last, language) of the spans of one text."""
@@ -203,43 +229,50 @@ class Labeller:
         having = [i for i, words in enumerate(split) if words]
         if not having or not self.model.languages:
             return found
-        for i, labels in zip(having, self.label([split[i] for i in having]), strict=True):
+        codes = self.codes([split[i] for i in having])
+        for i, own_codes, labels in zip(having, codes, self._labels(codes), strict=True):
             letters = np.fromiter(map(len, split[i]), np.int64, len(split[i]))
             by = np.bincount(labels, weights=letters, minlength=len(self.model.languages))
             best = int(by.argmax())
-            own = self.table[[self.rows[w] for w, label in zip(split[i], labels, strict=True) if label == best]].sum(axis=0)
+            own = self.table[own_codes[labels == best]].sum(axis=0)
             others = np.delete(own, best)
             margin = min(50.0, own[best] - others.max()) if len(others) else 50.0
             found[i] = (self.model.languages[best], float(by[best] / by.sum() / (1 + math.exp(-max(-50.0, margin)))))
         return found
 
 
+_labellers: dict[str, Labeller] = {}
+
+
+def labeller(model: LanguageModel, switch: float = SWITCH) -> Labeller:
+    """The labeller of a model, whose memo of words outlives a task in its Python worker."""
+    key = f"{model.name} {switch}"
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(model, switch)
+    return _labellers[key]
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` of every document."""
-    labeller: list[Labeller] = []
 
     def predict(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        if not labeller:
-            labeller.append(Labeller(model, switch))
-        names, scores = zip(*labeller[0].predict(texts.to_pylist()), strict=True)
+        names, scores = zip(*labeller(model, switch).predict(texts.to_pylist()), strict=True)
         return [keys, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"{id_col} {kind}, lang_pred string, score double", predict, rows=1024)
+    return map_columns(docs, [id_col, text_col], f"`{id_col}` {kind}, lang_pred string, score double", predict, rows=ROWS)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """The rows of ``docs`` that have a language, with at least the score ``least``."""
-    labeller: list[Labeller] = []
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not labeller:
-            labeller.append(Labeller(model, switch))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = labeller[0].predict(part.column(place).to_pylist())
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = labeller(model, switch).predict(part.column(place).to_pylist())
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
