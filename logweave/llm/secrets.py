@@ -3,8 +3,12 @@
 The base rules find assignments, access keys and long hexadecimal runs. What they match in the corpus
 are labelled credentials; a bounded sample of them is turned into one prefix tree for each kind, whose
 statistically compatible states are merged (state merging with Hoeffding's bound) into a probabilistic
-automaton. Every other candidate of the corpus is then scored by how much likelier these formats make
-it than a uniform choice of characters; candidates above a threshold become spans of kind ``format``.
+automaton. Every candidate of the corpus is then scored by how much likelier these formats make it than a
+uniform choice of characters; candidates above a threshold become spans of kind ``format``. Candidates are
+runs of LEAST characters of the alphabet or more that have a letter and a digit: shorter runs and plain
+words never reach the threshold, runs of digits only would, but number something and open nothing.
+
+Credentials are written nowhere: the sample goes to the driver, and a second pass over the texts scores.
 
 Defined cases: a null text counts as empty; a text without secrets has no spans; whole texts are
 scanned, however long; repeated rows give repeated results; without any labelled credential there are
@@ -13,14 +17,16 @@ no automata and only base spans are given; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import map_columns, written
+from logweave.llm.common import map_columns
 
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled credentials of each kind from which an automaton is inferred, at most.
@@ -35,7 +41,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of a candidate, at least.
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -161,56 +169,62 @@ def gain(automata: list[Automaton], word: str) -> float:
     return max(((a.bits(word) + uniform) / len(word) for a in automata), default=-math.inf)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``base`` and ``others`` (arrays of spans with their text): base spans and further candidates."""
-
-    def find(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        base, others = [], []
-        for text in texts.to_pylist():
-            text = text or ""
-            runs = list(RUN.finditer(text))
-            base.append(base_spans(text, runs))
-            others.append(candidates(base[-1], runs))
-        return [keys, _spans(base), _spans(others)]
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"{id_col} {kind}, base array<{SPAN}>, others array<{SPAN}>", find)
-
-
 def _spans(rows: list[list[tuple]]) -> pa.Array:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
     return pa.array([[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in row] for row in rows], pa.list_(kind))
 
 
-def infer_formats(scanned: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA) -> list[Automaton]:
-    """An automaton for each base kind, from at most ``sample`` of its credentials.
+def infer_formats(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, alpha: float = ALPHA) -> list[Automaton]:
+    """An automaton for each base kind, from at most ``sample`` of its credentials in the corpus.
 
-    The sample are the distinct values with the smallest hashes; Spark selects it, so only these rows,
-    whose number does not grow with the corpus, reach the driver.
+    The sample are the distinct values with the smallest hashes. Tasks keep so many of each kind at
+    most, and only the sample, whose size does not grow with the corpus, reaches the driver.
     """
-    values = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.value").distinct()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        kept: dict[str, dict[str, int]] = {kind: {} for kind in KINDS[:3]}
+        least = lambda values: dict(heapq.nsmallest(sample, values.items(), key=lambda x: (x[1], x[0])))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for kind, _, _, value in base_spans(text or "", list(RUN.finditer(text or ""))):
+                    own = kept[kind]
+                    own[value] = xxhash.xxh3_64_intdigest(value.encode()) >> 1
+                    if len(own) > 8 * sample:
+                        kept[kind] = least(own)
+        rows = [(kind, value, hash_) for kind, own in kept.items() for value, hash_ in least(own).items()]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "value", "hash"])
+
+    values = docs.select(F.col(f"`{text_col}`")).mapInArrow(find, "kind string, value string, hash long").distinct().persist()
     found = []
     for kind in KINDS[:3]:
-        rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+        rows = values.where(F.col("kind") == kind).orderBy("hash", "value").limit(sample).collect()
         if rows:
             found.append(Automaton(sorted(row.value for row in rows), alpha))
+    values.unpersist()
     return found
 
 
+def all_spans(text: str, automata: list[Automaton], threshold: float) -> tuple[list[tuple], list[tuple]]:
+    """Base spans, and all spans in order."""
+    runs = list(RUN.finditer(text))
+    base = base_spans(text, runs)
+    more = [x for x in candidates(base, runs) if gain(automata, x[3]) >= threshold]
+    return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, ``base`` and ``spans`` (arrays of spans) of every document; ``spans`` adds those of kind format."""
-    scanned = written(scan(docs, id_col, text_col), "secrets")
-    automata = infer_formats(scanned, sample)
+    automata = infer_formats(docs, text_col, sample)
 
-    def add(keys: pa.Array, base: pa.Array, others: pa.Array) -> list[pa.Array]:
-        rows = []
-        for own, more in zip(base.to_pylist(), others.to_pylist(), strict=True):
-            more = [x for x in more if gain(automata, x["value"]) >= threshold]
-            rows.append(sorted(own + more, key=lambda x: (x["start"], KINDS.index(x["kind"]))))
-        return [keys, base, pa.array(rows, base.type)]
+    def find(keys: pa.Array, texts: pa.Array) -> list[pa.Array]:
+        base, spans = zip(*[all_spans(text or "", automata, threshold) for text in texts.to_pylist()], strict=True)
+        return [keys, _spans(base), _spans(spans)]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(scanned, [id_col, "base", "others"], f"{id_col} {kind}, base array<{SPAN}>, spans array<{SPAN}>", add)
+    return map_columns(docs, [id_col, text_col], f"`{id_col}` {kind}, base array<{SPAN}>, spans array<{SPAN}>", find)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,17 +232,13 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>", samp
 
     Overlapping spans become one mask. Documents and the other columns stay as they are.
     """
-    scanned = written(scan(docs.select(F.lit(0).alias("doc_id"), text_col), "doc_id", text_col).where(F.size("base") > 0), "secrets")
-    automata = infer_formats(scanned, sample)
+    automata = infer_formats(docs, text_col, sample)
 
     def clean(text: str | None) -> str | None:
         if text is None:
             return None
-        runs = list(RUN.finditer(text))
-        base = base_spans(text, runs)
-        spans = base + [x for x in candidates(base, runs) if gain(automata, x[3]) >= threshold]
         out, at = [], 0
-        for _, start, end, _ in sorted(spans, key=lambda x: x[1]):
+        for _, start, end, _ in all_spans(text, automata, threshold)[1]:
             if start >= at:
                 out += [text[at:start], mask]
             at = max(at, end)
