@@ -12,6 +12,8 @@ from logweave.functions import trace as T
 from logweave.operators.ordered import dense_index, last_before
 
 ACCESS = "array<struct<addr:bigint,val:bigint,inferred:boolean>>"
+#: What a line is known by.
+HEAD = ("line_number", "file_offset", "line_len", "raw")
 
 
 def parse_trace(lines: DataFrame, dense: bool = True) -> DataFrame:
@@ -20,7 +22,7 @@ def parse_trace(lines: DataFrame, dense: bool = True) -> DataFrame:
     Calls become rows of category ExternalCall that write x0. ``idx`` counts the instructions of a source
     from 0; without ``dense`` it is the line number, which orders them alike at no cost.
     """
-    typed = lines.withColumn("kind", T.kind(F.col("raw"))).where("kind IS NOT NULL")
+    typed = lines.select("source_id", "line_number", "file_offset", "line_len", "raw", T.kind(F.col("raw")).alias("kind")).where("kind IS NOT NULL")
     rows = attach_accesses(typed).withColumn("asm_text", T.asm_of(F.col("raw")))
     rows = rows.withColumn("mnemonic", F.when(F.col("kind") == "EXT", "").otherwise(T.mnemonic(F.col("asm_text"))))
     rows = rows.withColumn("category", F.when(F.col("kind") == "EXT", "ExternalCall").otherwise(dims.category(F.col("mnemonic"))))
@@ -47,16 +49,17 @@ def attach_accesses(typed: DataFrame) -> DataFrame:
     """Instructions and calls with ``reads`` and ``writes``: the first two accesses of each kind that follow.
 
     The owner of a memory line is the last instruction, call or broken instruction before it; what follows
-    the latter two is dropped.
+    the latter two is dropped. Each line is read once: an instruction and its memory lines meet in one grouping.
     """
+    own = F.col("kind").isin("INSN", "EXT")
     owner = F.when(F.col("kind") != "MEM", F.when(F.col("kind") == "INSN", F.col("line_number")).otherwise(-1))
     found = last_before(typed.withColumn("owns", owner), ["source_id"], "line_number", "owns", "owner", strict=False)
-    memory = found.where("kind = 'MEM' AND owner >= 0").select("source_id", F.col("owner").alias("line_number"), F.col("line_number").alias("at"), T.access(F.col("raw")).alias("a"))
-    entry = F.struct("at", F.col("a.addr").alias("addr"), F.col("a.val").alias("val"))
-    both = memory.groupBy("source_id", "line_number").agg(*[F.slice(F.sort_array(F.collect_list(F.when(F.col("a.rw") == rw, entry))), 1, 2).alias(name) for rw, name in (("R", "reads"), ("W", "writes"))])
-    plain = [F.transform(name, lambda x: F.struct(x["addr"].alias("addr"), x["val"].alias("val"), F.lit(False).alias("inferred"))).alias(name) for name in ("reads", "writes")]
-    joined = typed.where("kind IN ('INSN', 'EXT')").join(both.select("source_id", "line_number", *plain), ["source_id", "line_number"], "left")
-    return joined.withColumns({name: F.coalesce(name, F.array().cast(ACCESS)) for name in ("reads", "writes")})
+    found = found.select("source_id", F.when(own, F.col("line_number")).otherwise(F.col("owner")).alias("at"), "kind", *[F.when(own, F.col(c)).alias(c) for c in HEAD], F.when(F.col("kind") == "MEM", F.struct("line_number", T.access(F.col("raw")).alias("a"))).alias("m"))
+    heads_ = [F.max(c).alias(c) for c in HEAD]  # one row of a group has them
+    each = [F.slice(F.sort_array(F.collect_list(F.when(F.col("m.a.rw") == rw, F.col("m")))), 1, 2).alias(name) for rw, name in (("R", "reads"), ("W", "writes"))]
+    both = found.where("at >= 0").groupBy("source_id", "at").agg(F.max(F.when(own, F.col("kind"))).alias("kind"), *heads_, *each)
+    plain = [F.transform(name, lambda x: F.struct(x["a"]["addr"].alias("addr"), x["a"]["val"].alias("val"), F.lit(False).alias("inferred"))).cast(ACCESS).alias(name) for name in ("reads", "writes")]
+    return both.select("source_id", *HEAD, "kind", *plain)
 
 
 def infer_pairs(insns: DataFrame) -> DataFrame:
