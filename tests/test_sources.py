@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions.text import compile_pattern
+from logweave.functions.text import check_pattern, compile_pattern
 from logweave.operators.ordered import dense_index, last_before
 from logweave.sources import bytelog, encoding, rewrite
 from logweave.streaming import tail
@@ -105,3 +105,34 @@ def test_last_before_and_dense_index(spark):
         assert got[k, i] == max((v for a, b, v in rows if a == k and b < i and v is not None), default=None)
     ranks = {(r.k, r.i): r.n for r in dense_index(df, ["k"], "i", "n", width=16).collect()}
     assert all(ranks[k, i] == sum(1 for a, b, _ in rows if a == k and b < i) for k, i, _ in rows)
+
+
+def test_tail_counts_in_small_batches(spark, tmp_path):
+    path = tmp_path / "grow.log"
+    path.write_bytes(b"".join(b"test %d\n" % i for i in range(300)) + b"x" * 500 + b" test\nhalf test")
+    rows = tail.tail_lines(spark, str(path), max_bytes=100)
+    query = rows.writeStream.format("memory").queryName("small").option("checkpointLocation", str(tmp_path / "a")).start()
+    query.processAllAvailable(), query.stop()
+    seen = sorted((r.file_offset, r.line_len) for r in spark.sql("SELECT * FROM small").collect())
+    lines = path.read_bytes().split(b"\n")[:-1]
+    assert seen == [(sum(len(x) + 1 for x in lines[:i]), len(x)) for i, x in enumerate(lines)]
+    counts = tail.tail_counts(spark, str(path), compile_pattern("test"))
+    query = counts.writeStream.format("memory").outputMode("complete").queryName("counted").option("checkpointLocation", str(tmp_path / "b")).start()
+    query.processAllAvailable(), query.stop()
+    assert [(r.n_lines, r.n_matches) for r in spark.sql("SELECT * FROM counted").collect()] == [(301, 301)]
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    path = tmp_path / "grow.log"
+    for part in (b"one\ntwo\n", b"three\nfour\n", b""):
+        with path.open("ab") as f:
+            f.write(part)
+        query = tail.tail_lines(spark, str(path)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable(), query.stop()
+    assert sorted(r.raw for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["four", "one", "three", "two"]
+
+
+def test_patterns_are_refused_early(spark):
+    check_pattern(spark, compile_pattern("a(b", use_regex=False))
+    with pytest.raises(Exception, match="(?i)regex|pattern"):
+        check_pattern(spark, compile_pattern("a(b", use_regex=True))
