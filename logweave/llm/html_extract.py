@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -55,7 +56,12 @@ KEPT_TAGS = frozenset("html body article main".split())
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
 LINKED = 0.5
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([^<]++|<)""", re.DOTALL)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Attributes up to the end of a tag, where quotes are closed.
+QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+#: Elements that may be left open by mistake around an article.
+SOFT_TAGS = frozenset("div p span section ul li".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -84,53 +90,93 @@ def _names(attributes: str) -> set[str]:
     return {word.lower() for found in NAMED.findall(attributes) for word in NAME_WORD.findall("".join(found))}
 
 
+class _Scanner:
+    """Cuts a page into text and tags in time linear in its length, however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.at = page, len(page), 0
+        self.closed = True  # whether a > is left
+        self.patience = 4 * self.size  # characters to read in vain for the ends of quotes
+
+    def _end(self, start: int) -> int:
+        """The > that ends the tag whose attributes begin at ``start``, or -1: outside quotes, else the first."""
+        page = self.page
+        if self.patience > 0:
+            end = QUOTED.match(page, start).end()
+            if end < self.size and page[end] == ">":
+                return end
+            self.patience -= self.size - start
+        return page.find(">", start)
+
+    def __iter__(self):
+        """(text, "", "", "") or ("", / or nothing, tag, attributes)."""
+        page, size = self.page, self.size
+        while self.at < size:
+            at = self.at
+            if page[at] != "<":
+                end = page.find("<", at)
+                self.at = size if end < 0 else end
+                yield page[at : self.at], "", "", ""
+                continue
+            if page.startswith("<!", at) and (m := COMMENT.match(page, at)):
+                self.at = m.end()
+                continue
+            m = TAG.match(page, at) if self.closed else None
+            if m or self.closed and page[at + 1 : at + 2] in ("!", "?"):
+                end = self._end(m.end()) if m else page.find(">", at)
+                self.closed = end >= 0
+                if self.closed:
+                    self.at = end + 1
+                    if m:
+                        yield "", m[1], m[2].lower(), page[m.end() : end]
+                    continue
+            self.at = at + 1
+            yield "<", "", "", ""
+
+    def skip(self, tag: str) -> None:
+        """Past the end of an element whose content is no markup."""
+        closing = re.compile(f"</{tag}", re.IGNORECASE).search(self.page, self.at)
+        close = self.page.find(">", closing.start()) if closing else -1
+        self.at = close + 1 if close >= 0 else self.size
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that are not left out by their place, in page order."""
     found: list[Block] = []
-    open_: list[tuple[str, bool]] = []  # tags and whether they leave their content out
-    out = articles = links = 0
+    open_: list[tuple[str, str]] = []  # tags, each with the block tag that it is or is in
+    often: Counter[str] = Counter()
+    leaving: list[int] = []  # places in open_ of the tags that leave their content out
+    hard = articles = links = 0  # hard: how many of these no article can end
     block: Block | None = None
-    at, size = 0, len(page)
-    lower = None
-    while at < size:
-        m = TOKEN.match(page, at)
-        if m is None:
-            at += 1
-            continue
-        at = m.end()
-        if m[7] is not None:
-            if not out:
+    scanner = _Scanner(page)
+    for text, slash, tag, attributes in scanner:
+        if text:
+            if not leaving:
                 if block is None:
-                    block = Block(articles > 0, next((tag for tag, _ in reversed(open_) if tag in BLOCK_TAGS), ""))
+                    block = Block(articles > 0, open_[-1][1] if open_ else "")
                     found.append(block)
-                text = html.unescape(m[7])
+                text = html.unescape(text)
                 block.parts.append(text)
                 if links:
                     block.linked += len(text.strip())
             continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
+        if slash:
             if tag in BLOCK_TAGS:
                 block = None
-            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if depth is not None:
-                for name, leaves in open_[depth:]:
-                    out -= leaves
-                    articles -= name in ("article", "main")
-                    links -= name == "a"
-                del open_[depth:]
+            while often[tag]:
+                name = open_.pop()[0]
+                often[name] -= 1
+                articles -= name in ("article", "main")
+                links -= name == "a"
+                if leaving and leaving[-1] == len(open_):
+                    leaving.pop()
+                    hard -= name not in SOFT_TAGS
+                if name == tag:
+                    break
             continue
         if tag in RAW_TAGS:
-            if not (m[3] or m[6] or "").endswith("/"):
-                lower = page.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at) if len(lower) == size else -1
-                if end < 0:
-                    closing = re.compile(f"</{tag}", re.IGNORECASE).search(page, at)
-                    end = closing.start() if closing else size
-                close = page.find(">", end)
-                at = close + 1 if close >= 0 else size
+            if not attributes.endswith("/"):
+                scanner.skip(tag)
             continue
         if tag == "br":
             if block is not None:
@@ -140,14 +186,14 @@ def blocks_of(page: str) -> list[Block]:
             block = None
         if tag in VOID_TAGS:
             continue
-        if tag in ("article", "main") and out and all(name in ("div", "p", "span", "section", "ul", "li") or not leaves for name, leaves in open_):
-            for i, (name, leaves) in enumerate(open_):  # an unclosed advert or notice does not swallow the article
-                out -= leaves
-                open_[i] = (name, False)
-        names = _names(m[3] or m[6] or "")
-        leaves = tag not in KEPT_TAGS and (tag in LEFT_OUT_TAGS and not (tag == "header" and articles) or bool(names & LEFT_OUT_WORDS) and not (articles and names & LEFT_OUT_WORDS <= {"header"}))
-        open_.append((tag, leaves))
-        out += leaves
+        if tag in ("article", "main") and not hard:
+            leaving.clear()  # an unclosed advert or notice does not swallow the article
+        names = _names(attributes)
+        if tag not in KEPT_TAGS and (tag in LEFT_OUT_TAGS and not (tag == "header" and articles) or bool(names & LEFT_OUT_WORDS) and not (articles and names & LEFT_OUT_WORDS <= {"header"})):
+            leaving.append(len(open_))
+            hard += tag not in SOFT_TAGS
+        open_.append((tag, tag if tag in BLOCK_TAGS else open_[-1][1] if open_ else ""))
+        often[tag] += 1
         articles += tag in ("article", "main")
         links += tag == "a"
     return found
