@@ -185,7 +185,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         return [keys, pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"{id_col} {kind}, ids array<int>, decoded binary", encode)
+    return map_columns(docs, [id_col, text_col], f"`{id_col}` {kind}, ids array<int>, decoded binary", encode)
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -210,7 +210,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         return [*columns, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else columns
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_columns(docs, [id_col, text_col], schema, digest)
 
 

@@ -28,18 +28,23 @@ MONOTONE = {"symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "shout
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str, where: Column | None, sample: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of about ``sample`` labelled documents; the bound makes the join side small."""
+    """Features and labels of about ``sample`` labelled documents, and twice as many rows at most.
+
+    The bound makes the join side small; documents that share a labelled id cannot pass it, as only the
+    rows with the smallest hashes reach the driver.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     if where is not None:
         known = known.where(where)
+    known = known.groupBy("id").agg((2 * F.sum("y") > F.count("y")).cast("int").alias("y"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    picked = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("place")).join(F.broadcast(known), "id")
 
-    def count(labels: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        return [labels, pa.array([Counts(text).features() for text in texts.to_pylist()], pa.list_(pa.float64()))]
+    def count(places: pa.Array, labels: pa.Array, texts: pa.Array) -> list[pa.Array]:
+        return [places, labels, pa.array([Counts(text).features() for text in texts.to_pylist()], pa.list_(pa.float64()))]
 
-    rows = map_columns(picked, ["y", "text"], "y int, x array<double>", count).orderBy(F.xxhash64("x"), "y").toPandas()
+    rows = map_columns(picked, ["place", "y", "text"], "place long, y int, x array<double>", count).orderBy("place", "y").limit(2 * sample).toPandas()
     if not len(rows):
         return np.zeros((0, len(NAMES))), np.zeros(0)
     return np.stack(rows.x.to_list()), rows.y.to_numpy(float)
@@ -60,7 +65,7 @@ def scored(docs: DataFrame, forest: trees.Forest, schema: str, of: Callable[[Cou
         return [keys, *own, pa.array(scores, pa.float64())]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, [id_col, text_col], f"{id_col} {kind}, {schema + ', ' if schema else ''}score double", score)
+    return map_columns(docs, [id_col, text_col], f"`{id_col}` {kind}, {schema + ', ' if schema else ''}score double", score)
 
 
 def quality_scores(docs: DataFrame, forest: trees.Forest) -> DataFrame:
