@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import bpe, langid, minhash, mixing, secrets
-from logweave.llm.common import table, written
+from logweave.llm.common import discard, table, written
 
 #: Documents whose language scores less are rejected, like those without any letter.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and reread by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, used = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*used)
+        used = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
