@@ -96,27 +96,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
+#: Rows are documents of their own, also where they share an id; a row without an id links with nothing.
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
   FROM words
-), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+linkable AS (SELECT r, s FROM shingles WHERE doc_id IS NOT NULL),
 common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM linkable a JOIN linkable b ON a.s = b.s AND a.r < b.r GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)
 ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(doc_id, other) AS (
-  SELECT doc_id, doc_id FROM documents
+reach(r, other) AS (
+  SELECT r, r FROM words
   UNION
-  SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
-), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
-FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+  SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.other
+), least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN words ON words.r = reach.other GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM words d JOIN least USING (r) LEFT JOIN sizes USING (r)
 """
 
 

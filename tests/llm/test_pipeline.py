@@ -36,3 +36,20 @@ def test_odd_rows_survive(spark):
             assert stage(spark, frame, SF).count() >= 0
     kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "None"]
+
+
+def test_rejected_languages(spark):
+    """The least score that the language stage asks for costs no document that has words to speak of."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).select("doc_id").collect()}
+    gone = [r.text or "" for r in docs.collect() if r.doc_id not in kept]
+    assert all(sum(c.isalpha() for c in text) < 20 for text in gone)
+
+
+def test_rows_that_share_an_id_stay_unless_they_are_near(spark):
+    """Both texts of an id survive the dedup stage, and a near copy of either goes."""
+    one, two = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, two + " tail"), (3, one + " tail"), (1, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (1, two)] and kept.columns == docs.columns
