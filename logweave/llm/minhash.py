@@ -7,9 +7,9 @@
 3. A band bucket gives star-shaped candidates: its smallest class against each other one. Candidates
    whose sketches agree enough are confirmed on the full sets.
 4. A star can miss a link between two of its points. So classes that share a bucket and are still in
-   different components get sharper keys, of more bins each: linked classes share many of these, classes
-   that merely share a passage few. Where such a key joins different components, its classes are compared
-   by sketch in blocks of bounded size; what looks alike forms families, and within a family all classes of
+   different components are compared by sketch, in blocks of bounded size. Classes of a bucket of more than
+   DIRECT blocks get sharper keys first, of more bins each: linked classes share many of these, classes that
+   merely share a passage few, so work stays in proportion to rows. What looks alike forms families, and within a family all classes of
    different components are confirmed on the full sets, again in bounded blocks. Only links leave a
    block, never its pairs.
 5. Components follow by contracting edges until none is left; a component is named by its smallest id.
@@ -44,6 +44,8 @@ SHARP, SHARP_ROWS = 96, 8
 DEVIATIONS = 4.7
 #: Members of a block and words in it, at most (a single longer document makes a block of its own).
 BLOCK, BLOCK_WORDS = 512, 1_000_000
+#: Blocks of a bucket that are compared with each other; the classes of larger buckets get sharper keys first.
+DIRECT = 4
 MEMO = 200_000
 
 _ODD = np.random.default_rng(20_011).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -274,9 +276,10 @@ def in_blocks(members: DataFrame, group: str, payload: list[str], links_of) -> D
     return found
 
 
-def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """``id``, ``mark`` (a hash of the text), ``n`` and ``component_id`` of every row of ``docs``, and ``head_mark``:
-    the row that stands for a component has its ``component_id`` and its ``head_mark``."""
+    the row that stands for a component has its ``component_id`` and its ``head_mark``. Also the written tables
+    that this is made from."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     rows = written(sketches(keyed, width), "sketches")
     own_row = F.struct("id", "mark")
@@ -305,12 +308,14 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
 
     # 4. what the stars leave open
     own = points.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    joining = lambda rows: rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_ = written(own.join(joining(own), "key").select("id", "component").distinct().join(brief, "id"), "open")
-    sharp = open_.select("id", "component", F.explode(_sharp(F.col("sketch"))).alias("key"))
-    sharp = written(sharp.join(joining(sharp), "key"), "sharp")
+    joining = lambda rows: rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
+    open_ = written(own.join(joining(own), "key"), "open")
     discard(points)
-    alike = in_blocks(sharp.join(brief, "id"), "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
+    crowded = open_.where(F.col("size") > DIRECT * BLOCK).select("id", "component").distinct().join(brief, "id")
+    sharp = crowded.select("id", "component", F.explode(_sharp(F.col("sketch"))).alias("key"))
+    sharp = written(sharp.join(joining(sharp), "key").select("key", "id", "component"), "sharp")
+    direct = open_.where(F.col("size") <= DIRECT * BLOCK).select("key", "id", "component")
+    alike = in_blocks(direct.union(sharp).join(brief, "id"), "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
     discard(sharp, open_)
     found = first
     if not alike.isEmpty():
@@ -327,7 +332,8 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     discard(first)
     class_of = classes.join(linked, "node", "left").select("print", F.coalesce("head", "row").alias("head"))
     named = rows.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("print")).alias("print")).join(class_of, "print", "left")
-    return named.select("id", "mark", "n", F.coalesce("head.id", "id").alias("component_id"), F.coalesce("head.mark", "mark").alias("head_mark"))
+    found = named.select("id", "mark", "n", F.coalesce("head.id", "id").alias("component_id"), F.coalesce("head.mark", "mark").alias("head_mark"))
+    return found, [rows, classes, linked]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     Documents are linked whose sets of ``width``-word shingles have ``100 * common >= percent * union``;
     ``component_id`` is the least id that links reach, ``kept`` whether that is the row's own.
     """
-    found = grouped(docs, percent, width, id_col, text_col)
+    found, _ = grouped(docs, percent, width, id_col, text_col)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
@@ -347,7 +353,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_
     Rows without an id or without words stay. Rows that share an id but are not near copies stay too; of rows
     that share id and text one stays.
     """
-    found = written(grouped(docs, percent, width, id_col, text_col).where("id IS NOT NULL AND n > 0"), "groups")
+    found, tables = grouped(docs, percent, width, id_col, text_col)
+    found = written(found.where("id IS NOT NULL AND n > 0"), "groups")
+    discard(*tables)
     key = ["_id", "_mark"] if not {"_id", "_mark"} & {*docs.columns} else [f"_{x}_{'_'.join(docs.columns)}" for x in ("id", "mark")]
     own = docs.withColumns({key[0]: F.col(f"`{id_col}`").cast("long"), key[1]: F.xxhash64(f"`{text_col}`")})
     gone = found.where("id <> component_id OR mark <> head_mark").select("id", "mark").distinct().toDF(*key)
