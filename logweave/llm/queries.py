@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, html_extract, langid, minhash, mixing, quality, secrets, token_output, topk
+from logweave.llm import bpe, html_extract, langid, minhash, mixing, quality, secrets, token_counts, token_output, topk
 from logweave.llm.common import table
 
 
@@ -122,6 +122,11 @@ FROM words d JOIN least USING (r) LEFT JOIN sizes USING (r)
 """
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document by a vocabulary with word ends."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -134,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_output": op8_token_output,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_duplicates": op10_near_duplicates,
+        "op13_token_counts": op13_token_counts,
     }
 
 
