@@ -250,7 +250,7 @@ BLOCKS = "shard long, block long, documents long, ids long, doc_ids binary, leng
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents in ascending order of id: a shard is a range of ids, its blocks follow each other."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("mark"))
     ordered = own.repartitionByRange(parts, "id", "mark").sortWithinPartitions("id", "mark").drop("mark")  # equal ids are many ranges
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def _ids_by_rank(spark: SparkSession, folder: str):
     """The ids in order of rank, a number for each id of the vocabulary at most, on all executors."""
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.ids").select("content").first()
-    return spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.content), "<u4"))
+    return spark.sparkContext.broadcast(np.frombuffer(bytes(ranks.content) if ranks else b"", "<u4"))  # an empty file is no row
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
