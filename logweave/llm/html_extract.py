@@ -1,10 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-Tags cut a page into blocks; what stands in menus, headers, footers, sidebars, forms, scripts and the
-like, by tag or by the words of class and id, is no block at all. The first pass decides a block by its
-length, its density of stop words and its share of linked text; short or unclear blocks stay open. In the
+Tags cut a page into blocks; scripts, styles and the like hold none. The first pass decides a block by its length, its
+density of stop words, its share of linked text and its place: what stands in menus, footers, forms and the like, by tag
+or by a name that says nothing else (``sidebar``, ``ad-box``), is boilerplate, what stands under a name that may say so
+(``related``, ``notice-period``) is text only if it is prose, and a name that says what is not there (``no-comments``)
+says nothing. Short or unclear blocks stay open. In the
 second pass an open block takes the label of its nearest decided neighbours: that of both if they agree,
-else that of the closer one, of two equally close ones the later; with no decided neighbour it is text.
+else that of the closer one, of two equally close ones the later; with no decided neighbour it is text. Blocks that
+their place decides give no label to others. Where names alone would leave a page without text although it has prose, they
+are given up.
 List items that are links are menus, wherever they stand, and give no label to others. An article is
 evidence, no verdict. Inside, blocks of links are rejected, blocks poor in stop words stay open, and an open
 block falls only between rejected ones. Outside, on a page that has one, only long blocks are text by
@@ -44,14 +48,25 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements whose content is no markup, or no text of the page.
 RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas select option button audio video noframes".split())
 LEFT_OUT_TAGS = frozenset("nav header footer aside form menu dialog".split())
-#: Words of class or id that mark what is left out.
+#: Words of class or id that mark what is left out, if nothing else is said beside them.
 LEFT_OUT_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent
     cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices
     pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social
     sponsor sponsored sponsors subscribe subscription toolbar widget""".split()
 )
+#: Those of them that are also names of text.
+DOUBTFUL_WORDS = frozenset("header related social skip toolbar widget".split())
+#: Words beside them that say where or in which form they are, and words before them that say they are not.
+FORM_WORDS = frozenset(
+    """area bar block bottom box btn button column container content fixed form foot global group head holder id inner item items js left
+    link links list main mobile outer overlay page panel post posts primary rail right row secondary section side site
+    slot small sticky thread top unit wrap wrapper zone""".split()
+)
+DENYING_WORDS = frozenset("has hide is no non not with without".split())
 KEPT_TAGS = frozenset("html body article main".split())
+#: How the place of a block speaks against it: by a name that may mean text, by a name, by a tag.
+DOUBTFUL, NAMED_SO, TAGGED_SO = 1, 2, 3
 #: Of the first pass: characters of a short and of a long block, stop-word densities, share of linked characters.
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.30
@@ -78,6 +93,7 @@ class Block:
 
     article: bool
     tag: str
+    place: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -85,9 +101,24 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _names(attributes: str) -> set[str]:
-    """The lower-case words of class, id and role."""
-    return {word.lower() for found in NAMED.findall(attributes) for word in NAME_WORD.findall("".join(found))}
+def _place(tag: str, attributes: str, in_article: bool) -> int:
+    """How a tag and the names in class, id and role speak against what is inside."""
+    if tag in KEPT_TAGS:
+        return 0
+    if tag in LEFT_OUT_TAGS and not (tag == "header" and in_article):
+        return TAGGED_SO
+    found = 0
+    for names in NAMED.findall(attributes):
+        for name in "".join(names).split():
+            words = [word.lower() for word in NAME_WORD.findall(name)]
+            if not words or words[0] in DENYING_WORDS:
+                continue
+            marks = {*words} & LEFT_OUT_WORDS
+            if not marks or in_article and marks == {"header"}:
+                continue
+            plain = marks - DOUBTFUL_WORDS and {*words} <= LEFT_OUT_WORDS | FORM_WORDS
+            found = max(found, NAMED_SO if plain else DOUBTFUL)
+    return found
 
 
 class _Scanner:
@@ -141,24 +172,23 @@ class _Scanner:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page that are not left out by their place, in page order."""
+    """The blocks of a page, in page order, each with what its place says."""
     found: list[Block] = []
     open_: list[tuple[str, str]] = []  # tags, each with the block tag that it is or is in
     often: Counter[str] = Counter()
-    leaving: list[int] = []  # places in open_ of the tags that leave their content out
+    leaving: list[tuple[int, int]] = []  # (place in open_, what it says) of the tags that speak against their content
     hard = articles = links = 0  # hard: how many of these no article can end
     block: Block | None = None
     scanner = _Scanner(page)
     for text, slash, tag, attributes in scanner:
         if text:
-            if not leaving:
-                if block is None:
-                    block = Block(articles > 0, open_[-1][1] if open_ else "")
-                    found.append(block)
-                text = html.unescape(text)
-                block.parts.append(text)
-                if links:
-                    block.linked += len(text.strip())
+            if block is None:
+                block = Block(articles > 0, open_[-1][1] if open_ else "", leaving[-1][1] if leaving else 0)
+                found.append(block)
+            text = html.unescape(text)
+            block.parts.append(text)
+            if links:
+                block.linked += len(text.strip())
             continue
         if slash:
             if tag in BLOCK_TAGS:
@@ -168,8 +198,9 @@ def blocks_of(page: str) -> list[Block]:
                 often[name] -= 1
                 articles -= name in ("article", "main")
                 links -= name == "a"
-                if leaving and leaving[-1] == len(open_):
+                if leaving and leaving[-1][0] == len(open_):
                     leaving.pop()
+                    block = None
                     hard -= name not in SOFT_TAGS
                 if name == tag:
                     break
@@ -188,10 +219,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in ("article", "main") and not hard:
             leaving.clear()  # an unclosed advert or notice does not swallow the article
-        names = _names(attributes)
-        if tag not in KEPT_TAGS and (tag in LEFT_OUT_TAGS and not (tag == "header" and articles) or bool(names & LEFT_OUT_WORDS) and not (articles and names & LEFT_OUT_WORDS <= {"header"})):
-            leaving.append(len(open_))
+        if place := _place(tag, attributes, articles > 0):
+            leaving.append((len(open_), max(place, leaving[-1][1] if leaving else 0)))
             hard += tag not in SOFT_TAGS
+            block = None
         open_.append((tag, tag if tag in BLOCK_TAGS else open_[-1][1] if open_ else ""))
         often[tag] += 1
         articles += tag in ("article", "main")
@@ -225,8 +256,10 @@ def in_known_language(blocks: list[tuple[float, int]]) -> bool:
 
 def first_pass(block: Block, text: str, density: float, known: bool, has_article: bool) -> bool | None:
     """True for text, False for boilerplate, None if open."""
-    if _linked(block, text):
+    if _linked(block, text) or block.place >= NAMED_SO:
         return False
+    if block.place == DOUBTFUL:
+        return _size(text) >= SHORT and (density >= MANY_STOPS if known else text.endswith(ENDS))
     if _size(text) < SHORT:
         return None
     if not known and not block.linked and text.endswith(ENDS):
@@ -263,20 +296,28 @@ def second_pass(labels: list[bool | None], default: bool = True, article: bool =
 
 def labels_of(pairs: list[tuple[Block, str]]) -> list[bool]:
     """Both passes over the blocks of a page, the second on each side of its articles."""
-    has_article = any(block.article for block, _ in pairs)
-    density = [_density(text) for _, text in pairs]
-    known = in_known_language([d for d, (block, text) in zip(density, pairs, strict=True) if _size(text) >= SHORT and not _linked(block, text)])
+    free = [block.place == 0 for block, _ in pairs]
+    has_article = any(block.article for block, _ in pairs if block.place < NAMED_SO)
+    density = [_density(text) if block.place < NAMED_SO else (0.0, 0) for block, text in pairs]
+    known = in_known_language([d for d, (block, text) in zip(density, pairs, strict=True) if block.place < NAMED_SO and _size(text) >= SHORT and not _linked(block, text)])
     first = [first_pass(block, text, d, known and _latin(text), has_article) for (block, text), (d, _) in zip(pairs, density, strict=True)]
-    side = lambda article: [label for (block, _), label in zip(pairs, first, strict=True) if block.article is article]
+    side = lambda article: [label for (block, _), label, own in zip(pairs, first, free, strict=True) if own and block.article is article]
     labels = {True: iter(second_pass(side(True), article=True)), False: iter(second_pass(side(False), not has_article))}
-    return [next(labels[block.article]) for block, _ in pairs]
+    return [next(labels[block.article]) if own else bool(label) for (block, _), label, own in zip(pairs, first, free, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line ends."""
     pairs = [(block, block.text()) for block in blocks_of(page or "")]
     pairs = [(block, text) for block, text in pairs if text and not (block.tag == "li" and _linked(block, text))]
-    return "\n".join(text for (_, text), label in zip(pairs, labels_of(pairs), strict=True) if label)
+    labels = labels_of(pairs)
+    if not any(labels) and any(block.place in (DOUBTFUL, NAMED_SO) for block, _ in pairs):
+        for block, _ in pairs:
+            block.place = block.place if block.place == TAGGED_SO else 0
+        again = labels_of(pairs)
+        prose = [first_pass(block, text, _density(text)[0], True, False) is True for block, text in pairs]
+        labels = again if any(a and b for a, b in zip(again, prose, strict=True)) else labels
+    return "\n".join(text for (_, text), label in zip(pairs, labels, strict=True) if label)
 
 
 def extract(pages: DataFrame, carry: list[str], html_col: str = "html") -> DataFrame:
