@@ -88,7 +88,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
     About ``sample`` documents of each language are used, chosen by a hash of the text; this bound is
     what keeps the counts that reach the driver from growing with the corpus.
     """
-    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if where is None else where).alias("use"))
+    known = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), (F.lit(True) if where is None else where).alias("use"))
     known = known.where("use AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {row.lang: row["count"] for row in known.groupBy("lang").count().collect()}
     if not sizes:

@@ -7,10 +7,12 @@
 3. A band bucket gives star-shaped candidates: its smallest class against each other one. Candidates
    whose sketches agree enough are confirmed on the full sets.
 4. A star can miss a link between two of its points. So classes that share a bucket and are still in
-   different components are compared by sketch, in blocks of bounded size. Classes of a bucket of more than
-   DIRECT blocks get sharper keys first, of more bins each: linked classes share many of these, classes that
-   merely share a passage few, so work stays in proportion to rows. What looks alike forms families, and within a family all classes of
-   different components are confirmed on the full sets, again in bounded blocks. Only links leave a
+   different components get longer keys: that of the bucket with a few more bins, in several ways that differ from
+   band to band. Linked classes share one of these whenever they share a bucket, but for a rest that is smaller than
+   what the bands themselves miss; classes that merely share a passage seldom do, so work stays in proportion to
+   rows. What shares a longer key forms families: first by stars again, by sketch, then by sketch in blocks of bounded size
+   between the families that are left in a bucket. Within a family classes of different components are
+   confirmed on the full sets, by a star first and then, if it leaves several components, in bounded blocks. Only links leave a
    block, never its pairs.
 5. Components follow by contracting edges until none is left; a component is named by its smallest id.
 
@@ -38,14 +40,13 @@ from logweave.llm.common import discard, map_columns, written
 #: Bands and bins in a band: at a similarity of 0.85, 1 - (1 - 0.85**5)**32 = 1 - 7e-9 of the pairs meet.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Sharper keys and bins in a key, for classes that the stars leave apart.
-SHARP, SHARP_ROWS = 96, 8
+#: Longer keys of a bucket and bins that each adds. Of 30,000 random pairs each at 4 of 5, 8 of 10, 16 of 20, 80 of 100 and
+#: 85 of 100 shingles, bands alone miss 1, 0, 0, 0, 0 and longer keys 1, 0, 0, 0, 0.
+LONGER, LONGER_BINS = 8, 4
 #: Sketches of pairs at the threshold agree on fewer bins than their mean less so many deviations once in 10**6.
 DEVIATIONS = 4.7
 #: Members of a block and words in it, at most (a single longer document makes a block of its own).
 BLOCK, BLOCK_WORDS = 512, 1_000_000
-#: Blocks of a bucket that are compared with each other; the classes of larger buckets get sharper keys first.
-DIRECT = 4
 MEMO = 200_000
 
 _ODD = np.random.default_rng(20_011).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,15 +125,17 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _sharp_bins() -> np.ndarray:
+def _longer_bins() -> np.ndarray:
+    """For each band the bins that its longer keys add."""
     rng = np.random.default_rng(83)
-    return np.stack([rng.permutation(BINS)[:SHARP_ROWS] for _ in range(SHARP)])
+    return np.stack([[rng.permutation(BINS)[:LONGER_BINS] for _ in range(LONGER)] for _ in range(BANDS)])
 
 
-def sharp_keys(sketch: np.ndarray) -> np.ndarray:
-    """The sharper keys of sketches (a row each)."""
-    picked = np.ascontiguousarray(sketch[:, _sharp_bins()]).view(np.uint64)[:, :, 0]
-    return _mix(picked + np.arange(SHARP, dtype=np.uint64) * _ODD[-2]).view(np.int64)
+def longer_keys(keys: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The longer keys of buckets of sketches (a row each)."""
+    picked = np.take_along_axis(sketch[:, None, :], _longer_bins()[bands], axis=2)
+    added = np.ascontiguousarray(picked).view(np.uint32)[:, :, 0].astype(np.uint64)
+    return _mix(_mix(added + np.arange(LONGER, dtype=np.uint64) * _ODD[-2]) + keys.view(np.uint64)[:, None]).view(np.int64)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -280,7 +283,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     """``id``, ``mark`` (a hash of the text), ``n`` and ``component_id`` of every row of ``docs``, and ``head_mark``:
     the row that stands for a component has its ``component_id`` and its ``head_mark``. Also the written tables
     that this is made from."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"), F.col(f"`{text_col}`").alias("text"))
     rows = written(sketches(keyed, width), "sketches")
     own_row = F.struct("id", "mark")
     classes = rows.where("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min(own_row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -293,39 +296,60 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
         found = keyed.join(of.select("node", "of_id", "of_mark"), (F.col("id") == F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
         return found.groupBy("of_id", "of_mark", "node").agg(F.max("text").alias("text")).select(F.col("node").alias("id"), "text")
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The rows (a, b) of ``pairs`` that are links."""
+        likely = written(pairs, "likely")
+        texts = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+        paired = likely.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+        found = written(confirm(paired, percent, width), "confirmed")
+        discard(likely)
+        return found
+
+    def stars(points: DataFrame) -> DataFrame:
+        """The rows (centre, id) of ``points`` as (a, b) whose sketches allow a link."""
+        both = points.select("centre", "id").distinct()
+        both = both.join(brief.toDF("id", "n_b", "sketch_b"), "id").join(brief.toDF("centre", "n_a", "sketch_a"), "centre")
+        return _likely(both, percent).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+
+    def parted(rows: DataFrame, group: str, by: str) -> DataFrame:
+        """``rows`` of the groups that hold several values of ``by``, with ``centre``, the least id of the group."""
+        several = rows.groupBy(group).agg(F.min(by).alias("least"), F.max(by).alias("most"), F.min("id").alias("centre")).where("least <> most")
+        return rows.join(several.select(group, "centre"), group)
+
     # 3. stars
-    buckets = classes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
+    buckets = classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("key", "centre")
     points = written(buckets.join(centres, "key").where("id <> centre"), "points")
-    stars = points.select("centre", "id").distinct()
-    stars = stars.join(brief.toDF("id", "n_b", "sketch_b"), "id").join(brief.toDF("centre", "n_a", "sketch_a"), "centre")
-    likely = written(_likely(stars, percent).select(F.col("centre").alias("a"), F.col("id").alias("b")), "likely")
-    texts = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
-    paired = likely.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    confirmed = written(confirm(paired, percent, width), "confirmed")
-    first = written(components(confirmed), "first")
-    discard(likely, confirmed)
+    links = confirmed(stars(points))
+    first = written(components(links), "first")
+    discard(links)
 
     # 4. what the stars leave open
-    own = points.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    joining = lambda rows: rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", "size")
-    open_ = written(own.join(joining(own), "key"), "open")
+    component = F.coalesce("component", "id").alias("component")
+    open_ = parted(points.select("key", "band", "id").join(first, "id", "left").select("key", "band", "id", component), "key", "component")
+    keys = F.explode(_longer(F.col("key"), F.col("band"), F.col("sketch"))).alias("key")
+    longer = written(parted(open_.drop("centre").join(brief, "id").select("id", "component", keys), "key", "component"), "longer")
     discard(points)
-    crowded = open_.where(F.col("size") > DIRECT * BLOCK).select("id", "component").distinct().join(brief, "id")
-    sharp = crowded.select("id", "component", F.explode(_sharp(F.col("sketch"))).alias("key"))
-    sharp = written(sharp.join(joining(sharp), "key").select("key", "id", "component"), "sharp")
-    direct = open_.where(F.col("size") <= DIRECT * BLOCK).select("key", "id", "component")
-    alike = in_blocks(direct.union(sharp).join(brief, "id"), "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
-    discard(sharp, open_)
+    known = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    alike = written(stars(longer.where("id <> centre")), "alike")
+    near = written(components(known.union(alike)), "near").withColumnRenamed("component", "family")
+    left = longer.select("key", "id").join(near, "id", "left").select("key", "id", F.coalesce("family", "id").alias("component"))
+    left = written(parted(left, "key", "component").drop("centre").join(brief, "id"), "left")
+    more = in_blocks(left, "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
+    discard(longer, left)
     found = first
-    if not alike.isEmpty():
-        members = components(alike).withColumnRenamed("component", "family").join(first, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-        members = members.join(texts_of(members.select("id")), "id").join(classes.select(F.col("node").alias("id"), "n"), "id")
-        members = written(members, "members")
-        links = in_blocks(members, "family", ["text"], lambda part, apart: _similar(part, apart, percent, width))
-        found = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
-        discard(members, links)
-    discard(alike)
+    if not (alike.isEmpty() and more.isEmpty()):
+        grown = written(components(known.union(alike).union(more)), "grown").withColumnRenamed("component", "family")
+        members = written(parted(grown.join(first, "id", "left").select("family", "id", component), "family", "component"), "members")
+        links = confirmed(stars(members.where("id <> centre")))
+        second = written(components(known.union(links)), "second")
+        rest = parted(members.select("family", "id").join(second, "id", "left").select("family", "id", component), "family", "component").drop("centre")
+        rest = rest.join(texts_of(rest.select("id")), "id").join(classes.select(F.col("node").alias("id"), "n"), "id")
+        rest = written(rest, "rest")
+        last = in_blocks(rest, "family", ["text"], lambda part, apart: _similar(part, apart, percent, width))
+        found = components(second.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
+        discard(members, links, rest)
+    discard(alike, more)
 
     heads = found.join(classes.select("node", "row"), F.col("id") == F.col("node")).groupBy("component").agg(F.min("row").alias("head"))
     linked = written(found.join(heads, "component").select(F.col("id").alias("node"), "head"), "linked")
@@ -381,8 +405,11 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
 
 
-def _sharp(sketch: Column) -> Column:
-    return F.pandas_udf(lambda column: pd.Series(list(sharp_keys(_stacked(column)))), "array<long>")(sketch)
+def _longer(key: Column, band: Column, sketch: Column) -> Column:
+    def keys(key: pd.Series, band: pd.Series, sketch: pd.Series) -> pd.Series:
+        return pd.Series(list(longer_keys(key.to_numpy(np.int64), band.to_numpy(np.int64), _stacked(sketch))))
+
+    return F.pandas_udf(keys, "array<long>")(key, band, sketch)
 
 
 def _alike(part: pd.DataFrame, apart: np.ndarray, percent: int) -> np.ndarray:

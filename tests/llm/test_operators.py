@@ -197,6 +197,56 @@ def test_main_text_of_the_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(
+    ("name", "said"),
+    [("content with-sidebar", 0), ("post no-comments", 0), ("ad", 2), ("ad-box left", 2), ("siteFooter", 2), ("comments", 2), ("related", 1), ("notice-period", 1), ("social-history", 1), ("footer-note", 1), ("story", 0), ("", 0)],
+)
+def test_names_of_places(name, said):
+    assert html_extract._place("div", f' class="{name}"', False) == said
+    inside = html_extract.main_text(f'<article><p>{PROSE}</p><div class="{name}"><p>{PROSE}</p><p>Buy now</p></div></article>')
+    assert inside.count(PROSE.strip()) == (1 if said == 2 else 2) and ("Buy now" in inside) == (said == 0)
+
+
+def test_names_never_empty_a_page():
+    assert html_extract.main_text(f'<div class="sidebar"><p>{PROSE}</p><nav>{PROSE}</nav></div>') == PROSE.strip()
+    assert html_extract.main_text('<div class="ad">buy</div>') == "" and html_extract.main_text(f"<footer>{PROSE}</footer>") == ""
+    assert html_extract.main_text(f'<div class="sidebar"><p>{PROSE}</p></div><p>{PROSE}</p>') == PROSE.strip()
+
+
+def test_second_pass_against_a_search_for_neighbours():
+    rng = random.Random(8)
+    for _ in range(3000):
+        labels = [rng.choice([True, False, None, None]) for _ in range(rng.randint(0, 9))]
+        article, default = rng.random() < 0.5, rng.random() < 0.5
+        want = []
+        for i, label in enumerate(labels):
+            near = [next(((d, labels[j]) for d, j in enumerate(js, 1) if labels[j] is not None), None) for js in (range(i - 1, -1, -1), range(i + 1, len(labels)))]
+            if label is None and article:
+                label = any(x is None or x[1] for x in near)
+            elif label is None:
+                known = sorted((x[0], k, x[1]) for k, x in ((1, near[0]), (0, near[1])) if x)  # of equally near ones the later
+                label = known[0][2] if known else default
+            want.append(label)
+        assert html_extract.second_pass(labels, default, article) == want
+
+
+def test_pages_that_are_there_twice_or_not_at_all(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{PROSE}"), (1, "u", f"<p>{PROSE}"), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
+    found = html_extract.extract(pages, ["page_id", "url"])
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in found.collect()) == [("1", PROSE.strip(), len(PROSE.strip()))] * 2 + [("2", "", 0), ("None", "", 0)]
+    assert html_extract.extract(pages.limit(0), ["page_id", "url"]).collect() == []
+
+
+def test_every_operator_on_empty_tables(spark, tmp_path):
+    """The registered queries on tables without rows give their columns and no row."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("documents", "labels", "pages", "embeddings"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.queries().items():
+        found = query(spark, str(tmp_path))
+        assert found.collect() == [] and len(found.columns) >= 3, name
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(250, 6)), 1))]
@@ -515,8 +565,10 @@ def test_near_duplicates(docs, rows, percent, width):
     assert minhash.near_duplicates(docs.limit(0), percent, width).count() == 0
 
 
-def test_near_duplicates_in_a_family(spark):
-    """Copies of one text at all distances, many of which only other copies link."""
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_in_a_family(spark, monkeypatch, block):
+    """Copies of one text at all distances, many of which only other copies link, also in many small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(11)
     base = words(rng, 150).split()
     rows = []
@@ -530,6 +582,20 @@ def test_near_duplicates_in_a_family(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 85, 3).collect()} == want
 
 
+@pytest.mark.parametrize(("common", "one", "other"), [(4, 1, 0), (8, 1, 1), (16, 2, 2), (80, 10, 10)])
+def test_longer_keys_miss_no_more_than_bands(common, one, other):
+    """Of random pairs at a similarity of 0.8, small sets too, those that share a bucket share a longer key of it."""
+    rng, missed = np.random.default_rng(common), 0
+    for _ in range(1500):
+        h = rng.integers(0, 2**64, common + one + other, dtype=np.uint64)
+        values = [minhash.bin_values(np.sort(x)) for x in (h[: common + one], np.concatenate([h[:common], h[common + one :]]))]
+        shared = np.flatnonzero(minhash.band_keys(values[0]) == minhash.band_keys(values[1]))
+        keys = minhash.band_keys(values[0])[shared]
+        longer = [minhash.longer_keys(keys, shared, np.repeat(v.astype(np.uint8)[None], len(shared), axis=0)) for v in values]
+        missed += not (longer[0] == longer[1]).any()
+    assert missed <= 3
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200)], "a long, b long")
     found = {r.id: r.component for r in minhash.components(edges).collect()}
