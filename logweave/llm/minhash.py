@@ -330,26 +330,37 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     keys = F.explode(_longer(F.col("key"), F.col("band"), F.col("sketch"))).alias("key")
     longer = written(parted(open_.drop("centre").join(brief, "id").select("id", "component", keys), "key", "component"), "longer")
     discard(points)
-    known = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    alike = written(stars(longer.where("id <> centre")), "alike")
-    near = written(components(known.union(alike)), "near").withColumnRenamed("component", "family")
-    left = longer.select("key", "id").join(near, "id", "left").select("key", "id", F.coalesce("family", "id").alias("component"))
+    placed = written(longer.select("id", "component").distinct(), "placed")
+
+    def between(links: DataFrame) -> DataFrame:
+        """Edges of components for the rows (a, b) of ``links`` between classes of ``placed``."""
+        one = links.join(placed.toDF("a", "one"), "a")
+        return one.join(placed.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
+
+    alike = written(between(stars(longer.where("id <> centre"))), "alike")
+    near = written(components(alike), "near").toDF("component", "family")
+    left = longer.select("key", "id", "component").join(near, "component", "left").select("key", "id", F.coalesce("family", "component").alias("component"))
     left = written(parted(left, "key", "component").drop("centre").join(brief, "id"), "left")
     more = in_blocks(left, "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
-    discard(longer, left)
+    alike_more = written(alike.union(between(more)), "alike")
+    discard(longer, left, more, alike)
     found = first
-    if not (alike.isEmpty() and more.isEmpty()):
-        grown = written(components(known.union(alike).union(more)), "grown").withColumnRenamed("component", "family")
-        members = written(parted(grown.join(first, "id", "left").select("family", "id", component), "family", "component"), "members")
+    if not alike_more.isEmpty():
+        grown = written(components(alike_more), "grown").toDF("component", "family")
+        members = written(parted(placed.join(grown, "component"), "family", "component"), "members")
         links = confirmed(stars(members.where("id <> centre")))
-        second = written(components(known.union(links)), "second")
-        rest = parted(members.select("family", "id").join(second, "id", "left").select("family", "id", component), "family", "component").drop("centre")
+        second = written(components(between(links)), "second").toDF("component", "joined")
+        rest = members.select("family", "id", "component").join(second, "component", "left").select("family", "id", F.coalesce("joined", "component").alias("component"))
+        rest = parted(rest, "family", "component").drop("centre")
         rest = rest.join(texts_of(rest.select("id")), "id").join(classes.select(F.col("node").alias("id"), "n"), "id")
         rest = written(rest, "rest")
         last = in_blocks(rest, "family", ["text"], lambda part, apart: _similar(part, apart, percent, width))
-        found = components(second.select(F.col("id").alias("a"), F.col("component").alias("b")).union(last))
-        discard(members, links, rest)
-    discard(alike, more)
+        joined = components(between(links.union(last))).toDF("component", "joined")
+        found = first.join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+        lone = placed.join(first, "id", "left_anti").join(joined, "component").select("id", F.col("joined").alias("component"))
+        found = written(found.union(lone), "found")
+        discard(members, links, rest, last)
+    discard(alike_more, placed)
 
     heads = found.join(classes.select("node", "row"), F.col("id") == F.col("node")).groupBy("component").agg(F.min("row").alias("head"))
     linked = written(found.join(heads, "component").select(F.col("id").alias("node"), "head"), "linked")
