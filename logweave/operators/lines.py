@@ -29,6 +29,13 @@ def lines_of_texts(texts: DataFrame, id_col: str, text_col: str, line_ends: bool
     return out.select("source_id", *columns, *[end.alias("line_end")] * line_ends)
 
 
+def rows_of_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(source_id, raw) of every line of every text, for what needs no places: all of it inside the JVM."""
+    cut = F.split(text_col, "\n", -1)
+    own = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "raw"))
+    return own.where((F.col("at") + 1 < F.col("n")) | (F.col("raw") != "")).select("source_id", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+
+
 def checkpoints(lines: DataFrame, interval: int = 10_000_000) -> DataFrame:
     """(source_id, byte_pos, line_index): the first line start in each ``interval`` of bytes; sparse index."""
     step = F.floor(F.col("file_offset") / interval)

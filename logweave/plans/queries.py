@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from logweave.functions import dims
 from logweave.functions.text import compile_pattern, word_at
-from logweave.operators import dataflow, hits, lines, replace, search, trace
+from logweave.operators import dataflow, file_search, hits, lines, replace, search, trace
+from logweave.operators.ordered import sum_before
 from logweave.plans.events_trace import TRACE_SQL, events_trace
 from logweave.plans.orders_trace import ORDERS_BACKWARD_SQL, ORDERS_FORWARD_SQL, ORDERS_SQL, orders_trace
-from logweave.sources import encoding
-from logweave.storage import checkpoint
+from logweave.sources import bytelog, encoding, index, rewrite
+from logweave.storage import checkpoint, own_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -42,6 +44,10 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.rows_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.parse_trace(events_trace(table(spark, sf_dir, "events")), dense=False)
 
@@ -139,13 +145,13 @@ def nearest_line(spark, sf_dir):
 @query(f"WITH {LINES_SQL} SELECT CAST(sum(len(regexp_extract_all(raw, 'the', 0, 'i'))) AS BIGINT) AS n_matches FROM lines")
 def count_total(spark, sf_dir):
     """the exact number of matches."""
-    return search.count_matches(document_lines(spark, sf_dir), THE)
+    return search.count_matches(document_rows(spark, sf_dir), THE)
 
 
 @query(f"WITH {LINES_SQL} SELECT source_id, CAST(sum(len(regexp_extract_all(raw, '[0-9]+'))) AS BIGINT) AS n_matches FROM lines GROUP BY source_id")
 def regex_count_by_doc(spark, sf_dir):
     """matches of a regular expression in each document."""
-    return search.count_by_source(document_lines(spark, sf_dir), NUMBER)
+    return search.count_by_source(document_rows(spark, sf_dir), NUMBER)
 
 
 @query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches ORDER BY source_id, byte_offset LIMIT 1000")
@@ -166,24 +172,6 @@ def all_number_offsets(spark, sf_dir):
     return search.matches(document_lines(spark, sf_dir), NUMBER).drop("line_start", "raw")
 
 
-@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches WHERE source_id = 1 AND byte_offset >= 50 ORDER BY byte_offset LIMIT 20")
-def find_page(spark, sf_dir):
-    """a page of matches of one document from a byte on."""
-    return search.find_page(document_lines(spark, sf_dir), THE, 50, 1, 20).drop("line_start", "raw")
-
-
-@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches WHERE source_id = 1 ORDER BY byte_offset <= 200, byte_offset LIMIT 1")
-def next_match(spark, sf_dir):
-    """the match after a byte, from the start again if there is none."""
-    return search.neighbour(document_lines(spark, sf_dir), THE, 200, 1).drop("line_start", "raw")
-
-
-@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches WHERE source_id = 1 ORDER BY byte_offset >= 200, byte_offset DESC LIMIT 1")
-def previous_match(spark, sf_dir):
-    """the match before a byte, from the end again if there is none."""
-    return search.neighbour(document_lines(spark, sf_dir), THE, 200, 1, forward=False).drop("line_start", "raw")
-
-
 def _middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle byte of every document."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
@@ -213,10 +201,33 @@ def previous_matches_whole(spark, sf_dir):
     return search.neighbours(document_lines(spark, sf_dir), THE, _middles(spark, sf_dir), forward=False).drop("line_start", "raw")
 
 
+def _places(spark: SparkSession, sf_dir: str, at: int) -> DataFrame:
+    """Byte ``at`` of every document."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("source_id"), F.lit(at).cast("long").alias("origin"))
+
+
+@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches WHERE byte_offset >= 50 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY byte_offset) <= 20")
+def find_page(spark, sf_dir):
+    """a page of matches of every document from byte 50 on."""
+    return search.find_pages(document_lines(spark, sf_dir), THE, _places(spark, sf_dir, 50), 20).drop("line_start", "raw", "origin")
+
+
+@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY byte_offset <= 200, byte_offset) = 1")
+def next_match(spark, sf_dir):
+    """of every document the match after byte 200, from the start again if there is none."""
+    return search.neighbours(document_lines(spark, sf_dir), THE, _places(spark, sf_dir, 200)).drop("line_start", "raw", "origin")
+
+
+@query(f"WITH {matches_sql('the')} SELECT source_id, line_number, byte_offset, match_len FROM matches QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY byte_offset >= 200, byte_offset DESC) = 1")
+def previous_match(spark, sf_dir):
+    """of every document the match before byte 200, from the end again if there is none."""
+    return search.neighbours(document_lines(spark, sf_dir), THE, _places(spark, sf_dir, 200), forward=False).drop("line_start", "raw", "origin")
+
+
 @query(rf"WITH {LINES_SQL} SELECT source_id, CAST(sum(len(regexp_extract_all(regexp_replace(raw, '[^A-Za-z0-9_]', '  ', 'g'), '(?:^| )the(?: |$)'))) AS BIGINT) AS n_words FROM lines GROUP BY source_id")
 def word_occurrence(spark, sf_dir):
     """whole words only."""
-    return search.count_by_source(document_lines(spark, sf_dir), WORD_THE).withColumnRenamed("n_matches", "n_words")
+    return search.count_by_source(document_rows(spark, sf_dir), WORD_THE).withColumnRenamed("n_matches", "n_words")
 
 
 @query("SELECT doc_id, regexp_extract(substr(text, 1, 10), '([A-Za-z0-9_]*)$', 1) || regexp_extract(substr(text, 11), '^([A-Za-z0-9_]*)', 1) AS word FROM documents")
@@ -225,11 +236,25 @@ def word_under_cursor(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", word_at(F.col("text"), 10).alias("word"))
 
 
-@query(rf"WITH {matches_sql('[0-9]+', '')} SELECT source_id, line_number, byte_offset, printf('%x', byte_offset) AS hex_offset, trim(regexp_replace(substr(raw, greatest(byte_offset - line_start - 32, 0) + 1, byte_offset - line_start - greatest(byte_offset - line_start - 32, 0) + 128), '[\t ]+', ' ', 'g')) AS preview FROM matches WHERE strlen(raw) = length(raw)")
+#: Bytes of a preview as text: characters that are cut at either side become marks, three for four bytes and so on.
+PREVIEW_SQL = r"""{matches}, begun AS (
+  SELECT *, greatest(byte_offset - line_start - 32, 0) AS first, encode(raw) AS data FROM matches
+), part AS (
+  SELECT *, data[first + 1:byte_offset - line_start + 128] AS piece FROM begun
+), framed AS (
+  SELECT *, list_transform(range(1, 1 + least(4, octet_length(piece))), lambda i: CAST('0x' || hex(piece[i:i]) AS INTEGER)) AS heads, list_transform(range(greatest(1, octet_length(piece) - 3), 1 + octet_length(piece)), lambda i: CAST('0x' || hex(piece[i:i]) AS INTEGER)) AS tails FROM part
+), sized AS (
+  SELECT *, coalesce(list_position(list_transform(heads, lambda b: b // 64 <> 2), true) - 1, len(heads)) AS n_head,
+    len(tails) + 1 - list_position(list_transform(list_reverse(tails), lambda b: b // 64 <> 2), true) AS lead FROM framed
+), closed AS (
+  SELECT *, CASE WHEN tails[lead] >= 192 AND len(tails) - lead + 1 < (CASE WHEN tails[lead] < 224 THEN 2 WHEN tails[lead] < 240 THEN 3 ELSE 4 END) THEN len(tails) - lead + 1 ELSE 0 END AS n_tail FROM sized
+)"""
+
+
+@query(rf"WITH {PREVIEW_SQL.format(matches=matches_sql('[0-9]+', ''))} SELECT source_id, line_number, byte_offset, printf('%x', byte_offset) AS hex_offset, trim(regexp_replace(repeat(chr(65533), CAST(n_head AS INTEGER)) || decode(piece[n_head + 1:octet_length(piece) - n_tail]) || CASE WHEN n_tail > 0 THEN chr(65533) ELSE '' END, '[\t ]+', ' ', 'g')) AS preview FROM closed")
 def match_previews(spark, sf_dir):
-    """matches with line, offset and preview, on lines of one byte a character."""
-    found = search.matches(document_lines(spark, sf_dir), NUMBER)
-    return search.with_preview(found.where(F.octet_length("raw") == F.length("raw")))
+    """matches with line, offset and preview, on all lines."""
+    return match_previews_whole(spark, sf_dir)
 
 
 @byte_query
@@ -260,11 +285,14 @@ def replace_regex(spark, sf_dir):
     return replace.replace_all(docs, swap, "$2-${1}", use_regex=True, column="text").select("doc_id", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {LINES_SQL} SELECT source_id, line_number, md5(CASE WHEN strlen(raw) = length(raw) AND length(raw) >= 40 THEN substr(raw, 1, 5) || 'FIRST' || substr(raw, 9, 12) || 'B' || substr(raw, 31) ELSE raw END) AS digest FROM lines")
+@query(f"WITH {LINES_SQL} SELECT source_id, line_number, md5(CASE WHEN length(raw) >= 40 THEN substring(raw, 1, 5) || 'FIRST' || substring(raw, 9, 12) || 'B' || substring(raw, 31) ELSE raw END) AS digest FROM lines")
 def edits_overlay(spark, sf_dir):
-    """T-R4, T-R5: two queued edits of different lengths on every long line of one byte a character."""
+    """T-R4, T-R5: two queued edits of different lengths on every line of 40 characters or more, whole characters each."""
     rows = document_lines(spark, sf_dir)
-    return _edited(rows, rows.where((F.octet_length("raw") == F.length("raw")) & (F.length("raw") >= 40)))
+    able = rows.where(F.length("raw") >= 40)
+    size = lambda first, n: F.octet_length(F.substring("raw", first, n))
+    edit = lambda at, n, new: able.select("source_id", "line_number", (F.col("file_offset") + size(1, at)).alias("offset"), size(at + 1, n).alias("old_len"), F.lit(new).alias("new_text"))
+    return replace.apply_edits(rows, edit(5, 3, "FIRST").union(edit(20, 10, "B"))).select("source_id", "line_number", F.md5("raw").alias("digest"))
 
 
 @byte_query
@@ -286,36 +314,34 @@ def replace_one_range(spark, sf_dir):
     return replace.replace_single(document_lines(spark, sf_dir), 1, 0, 3, "XY").select("source_id", "line_number", F.md5("raw").alias("digest"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT doc_id, md5(CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN text ELSE text || chr(10) END) AS digest FROM documents WHERE text IS NOT NULL")
 def rewritten_texts(spark, sf_dir):
-    """Lines put together to texts again."""
-    rows = document_lines(spark, sf_dir)
-    return replace.rewritten(rows).select(F.col("source_id").alias("doc_id"), F.md5("text").alias("digest")).where(F.col("digest") != F.md5(F.lit("\n")))
+    """Lines put together to texts again; an empty text has no line and stays empty."""
+    return _rewritten(spark, sf_dir, document_lines(spark, sf_dir))
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''")
+def _rewritten(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id")
+    found = docs.join(replace.rewritten(rows).withColumnRenamed("source_id", "doc_id"), "doc_id", "left")
+    return found.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def rewritten_exact(spark, sf_dir):
     """S15, T-R6: lines put together again with the line ends they had, byte for byte."""
     rows = lines.lines_of_texts(table(spark, sf_dir, "documents"), "doc_id", "text", line_ends=True)
-    return replace.rewritten(rows).select(F.col("source_id").alias("doc_id"), F.md5("text").alias("digest"))
+    return _rewritten(spark, sf_dir, rows)
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-8' ELSE CASE WHEN strlen(text) = length(text) THEN 'UTF-8' ELSE 'windows-1252' END END AS encoding FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'UTF-16LE' WHEN 2 THEN 'UTF-8' ELSE CASE WHEN strlen(text) = length(text) THEN 'UTF-8' ELSE 'windows-1252' END END AS encoding FROM documents WHERE text IS NOT NULL")
 def detect_encodings(spark, sf_dir):
     """The encoding of each document, written in one of four ways."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     utf8, low = F.encode("text", "UTF-8"), F.encode(F.col("text"), "ISO-8859-1")
     data = F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(F.col("doc_id") % 4 == 2, utf8).otherwise(low)
     return docs.select("doc_id", encoding.detect(data).alias("encoding"))
 
 
-@query("SELECT page_id, strlen(html) AS bytes, len(string_split(html, '<')) - 1 AS tags FROM pages")
-def source_info(spark, sf_dir):
-    """The size of every page, and a count in it."""
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.regexp_count("html", F.lit("<")).cast("long").alias("tags"))
-
-
 def joined_sql(column: str) -> str:
     return f"array_to_string(list_transform({column}, lambda x: CAST(x AS VARCHAR)), ',')"
 
@@ -424,7 +450,7 @@ def _seeds(rows: DataFrame) -> DataFrame:
 def forward_taint(spark, sf_dir):
     """The trail of a value forward, with all that it taints after each row."""
     rows = ruled(spark, sf_dir)
-    found = dataflow.forward(rows, _seeds(rows), max_idle=1_000_000, window_bytes=None)
+    found = dataflow.forward(rows, _seeds(rows), max_idle=None, window_bytes=None)
     return found.where("kind = 'hit'").select("query_id", "source_id", "idx", F.array_join("locs", ",").alias("locs"))
 
 
@@ -526,12 +552,19 @@ def typed_pairs(spark, sf_dir):
     return rows.select("source_id", "line_number", "mnemonic", "category", "dst", "src", "reads", "writes", "sets_flags", "pair_reg_size", "has_writeback_base", "n_inferred")
 
 
-@query(f"WITH {ORDERS_SQL} SELECT source_id, line_number, CASE WHEN kind < 13 THEN 'libo.so!' || printf('%x', k * 4) ELSE '->' END AS module_offset, CASE WHEN kind < 13 THEN '0x' || printf('%x', k * 4 + 28672) ELSE '' END AS address, CASE kind WHEN 0 THEN printf('ldp x%d, x%d, [x%d]', d, e, b) WHEN 11 THEN printf('fcvtzs x%d, d%d', d, s) WHEN 13 THEN printf('libc.so!memcpy(%d)', k) END AS shown FROM insn WHERE kind IN (0, 11, 13)")
+_SHOWN = {
+    0: "'ldp x%d, x%d, [x%d]', d, e, b", 1: "'stp x%d, x%d, [x%d, #-0x10]!', s, d, b", 2: "'stp w%d, w%d, [x%d]', s, d, b", 3: "'ldr x%d, [x%d], #8', d, b", 4: "'csel x%d, x%d, x%d, ne', d, s, e",
+    5: "'movk x%d, #0x%x, lsl #16', d, k", 6: "'subs x%d, x%d, x%d', d, s, e", 7: "'cbz x%d, #0x%x', s, k", 8: "'bl #0x%x', k", 9: "'str x%d, [x%d]', s, b", 10: "'stxr w%d, x%d, [x%d]', e, s, b",
+    11: "'fcvtzs x%d, d%d', d, s", 13: "'libc.so!memcpy(%d)', k",
+}
+
+
+@query(f"WITH {ORDERS_SQL} SELECT source_id, line_number, CASE WHEN kind < 13 THEN 'libo.so!' || printf('%x', k * 4) ELSE '->' END AS module_offset, CASE WHEN kind < 13 THEN '0x' || printf('%x', k * 4 + 28672) ELSE '' END AS address, CASE kind {' '.join(f'WHEN {k} THEN printf({form})' for k, form in _SHOWN.items())} END AS shown FROM insn")
 def shown_texts(spark, sf_dir):
-    """Module and offset, absolute address, clean assembly, name of a call."""
+    """Module and offset, absolute address, clean assembly, name of a call, of all kinds of line."""
     from logweave.functions import trace as T
 
-    rows = orders_rows(spark, sf_dir).where("mnemonic IN ('ldp', 'fcvtzs') OR category = 'ExternalCall'")
+    rows = orders_rows(spark, sf_dir)
     call = F.col("category") == "ExternalCall"
     module = F.when(call, F.regexp_extract("raw", r"^\s*(\S+)", 1)).otherwise(F.col("module_offset"))
     return rows.select("source_id", "line_number", module.alias("module_offset"), F.when(call, "").otherwise(F.col("abs_addr")).alias("address"), F.when(call, T.call_name(F.col("raw"))).otherwise(F.col("asm")).alias("shown"))
@@ -540,7 +573,16 @@ def shown_texts(spark, sf_dir):
 _NAMES = [(m, c) for c, members in dims.CATEGORIES.items() for m in members.split()] + [("stnp", "Store"), ("b.ne", "Branch"), ("autiasp", "Branch"), ("fcvtms", "DataMove"), ("frinta", "DataMove"), ("aut", "Other"), ("swp", "Other"), ("hlt", "Other")]
 
 
-@query(f"WITH names(i, mnemonic, category) AS (VALUES {', '.join(f'({i}, {chr(39)}{m}{chr(39)}, {chr(39)}{c}{chr(39)})' for i, (m, c) in enumerate(_NAMES))}) SELECT mnemonic, category, category = 'Compare' OR mnemonic IN ({', '.join(repr(m) for m in dims.FLAG_SETTERS)}) AS sets_flags, count(*) AS n FROM orders JOIN names ON o_orderkey % {len(_NAMES)} = i GROUP BY ALL")
+#: Rules for the names, apart from the table that the parser has.
+CATEGORY_SQL = r"""CASE WHEN m = 'movk' THEN 'PartialModify' WHEN regexp_full_match(m, 'adrp?|mov[nz]') THEN 'ImmLoad' WHEN m LIKE 'ld%' THEN 'Load' WHEN m LIKE 'st%' THEN 'Store'
+  WHEN regexp_full_match(m, 'f?c?cmpe?|c?cmn|tst') THEN 'Compare' WHEN regexp_full_match(m, 'f?csel|csetm?|cs?in[cv]|cs?neg') THEN 'CondSelect' WHEN regexp_full_match(m, 'ands?|bics?|eon|eor|or[nr]') THEN 'Logic'
+  WHEN regexp_full_match(m, '(as|ls|ro)[lr]|[su]xt[bhw]') THEN 'ShiftExt' WHEN regexp_full_match(m, 'bfi|bfm|bfxil|extr|[su]bf[mx]') THEN 'Bitfield'
+  WHEN regexp_full_match(m, 'f?mov|mvn|cl[sz]|ngcs?|negs?|rbit|rev(16|32|64)?|[su]cvtf|fcvt.*|frint.*') THEN 'DataMove'
+  WHEN regexp_full_match(m, 'ad[cd]s?|s(ub|bc)s?|m(ul|add|sub|neg)|[su]div|[su]mul[lh]|[su]m(add|sub)l|f(add|sub|n?mul|div|n?madd|n?msub|max|min|sqrt|abs|neg)') THEN 'Arithmetic'
+  WHEN regexp_full_match(m, 'b|blr?|br|bti|b\..*|[ct]bn?z|[di]c|d[ms]b|isb|nop|pac.*|prfu?m|ret(aa|ab)?|svc|aut...*') THEN 'Branch' ELSE 'Other' END"""
+
+
+@query(f"WITH names(i, m) AS (VALUES {', '.join(f'({i}, {chr(39)}{m}{chr(39)})' for i, (m, _) in enumerate(_NAMES))}), sorted AS (SELECT i, m AS mnemonic, {CATEGORY_SQL} AS category FROM names) SELECT mnemonic, category, category = 'Compare' OR regexp_full_match(mnemonic, '(ad[cd]|s(ub|bc)|and|bic|neg|ngc)s') AS sets_flags, count(*) AS n FROM orders JOIN sorted ON o_orderkey % {len(_NAMES)} = i GROUP BY ALL")
 def mnemonic_categories(spark, sf_dir):
     """Every name of the table and the rules for prefixes, each through the parser."""
     k = F.col("o_orderkey")
@@ -569,7 +611,7 @@ def _orders_forward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     rows = orders_ruled(spark, sf_dir)
     first = rows.groupBy("source_id").agg(F.min("idx").alias("start_idx"))
     asked = first.select((F.col("source_id") + 300).alias("query_id"), "source_id", F.lit("m2000").alias("loc"), "start_idx")
-    return dataflow.forward(rows, asked, max_idle=1_000_000, window_bytes=None), rows
+    return dataflow.forward(rows, asked, max_idle=None, window_bytes=None), rows
 
 
 @query(f"{ORDERS_FORWARD_SQL} SELECT t.source_id + 300 AS query_id, t.idx, coalesce(string_agg(h.loc, ',' ORDER BY h.loc), '') AS locs FROM trail t LEFT JOIN hot h ON h.source_id = t.source_id AND h.idx <= t.idx AND (h.until IS NULL OR t.idx < h.until) GROUP BY ALL")
@@ -586,10 +628,26 @@ def forward_stops(spark, sf_dir):
     return found.where("kind = 'stop'").select("query_id", "idx", hits.stop_label(F.col("locs")[0]).alias("reason"))
 
 
-@query(f"{ORDERS_FORWARD_SQL}, seen AS (SELECT source_id, idx, k % 251 AS val, unnest(CASE kind WHEN 0 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (0, 3)), kept AS (SELECT source_id, idx, k % 256 AS val, unnest(CASE kind WHEN 1 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (1, 2, 9, 10)) SELECT s.source_id + 300 AS query_id, s.idx, s.loc AS addr, w.val AS expected, s.val AS actual FROM seen s JOIN hot h ON h.source_id = s.source_id AND h.loc = s.loc AND s.idx > h.idx AND (h.until IS NULL OR s.idx <= h.until) JOIN kept w ON w.source_id = h.source_id AND w.idx = h.idx AND w.loc = h.loc WHERE w.val <> s.val")
+MISMATCH_SQL = f"""WITH RECURSIVE {ORDERS_SQL}, ask AS (
+  SELECT source_id, a, min(line_number) - 1 AS start, 'r' || arg_min(s, line_number) AS loc FROM insn WHERE kind = 9 GROUP BY source_id, a
+), vers AS (SELECT *, lead(idx) OVER (PARTITION BY source_id, loc ORDER BY idx) AS until FROM defs),
+hot(source_id, a, idx, loc, until) AS (
+  SELECT source_id, a, start, loc, (SELECT min(d.idx) FROM defs d WHERE d.source_id = ask.source_id AND d.loc = ask.loc AND d.idx > start) FROM ask
+  UNION
+  SELECT h.source_id, h.a, v.idx, v.loc, v.until FROM hot h JOIN flow x ON x.source_id = h.source_id AND x.f[1] = h.loc AND x.idx > h.idx AND (h.until IS NULL OR x.idx <= h.until)
+    JOIN vers v ON v.source_id = x.source_id AND v.idx = x.idx AND v.loc = x.f[2]
+), seen AS (SELECT source_id, idx, k % 251 AS val, unnest(CASE kind WHEN 0 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (0, 3)),
+kept AS (SELECT source_id, idx, k % 256 AS val, unnest(CASE kind WHEN 1 THEN [m, m8] ELSE [m] END) AS loc FROM named WHERE kind IN (1, 2, 9, 10))"""
+
+
+@query(f"{MISMATCH_SQL} SELECT s.source_id * 100000 + h.a AS query_id, s.idx, s.loc AS addr, w.val AS expected, s.val AS actual FROM seen s JOIN hot h ON h.source_id = s.source_id AND h.loc = s.loc AND s.idx > h.idx AND (h.until IS NULL OR s.idx <= h.until) JOIN kept w ON w.source_id = h.source_id AND w.idx = h.idx AND w.loc = h.loc WHERE w.val <> s.val")
 def forward_mismatches(spark, sf_dir):
-    """Stored values that are read back as others."""
-    found, _ = _orders_forward(spark, sf_dir)
+    """Stored values that are read back as others; what the first store to each address of a source stores is followed."""
+    rows = orders_ruled(spark, sf_dir)
+    stores = rows.where("mnemonic = 'str'").select("source_id", "idx", F.element_at("writes", 1)["addr"].alias("addr"), F.col("src")[0].alias("reg"))
+    first = stores.groupBy("source_id", "addr").agg(F.min("idx").alias("idx"), F.min_by("reg", "idx").alias("reg"))
+    asked = first.select((F.col("source_id") * 100_000 + F.col("addr")).alias("query_id"), "source_id", F.concat(F.lit("r"), F.col("reg").cast("string")).alias("loc"), (F.col("idx") - 1).alias("start_idx"))
+    found = dataflow.forward(rows, asked, max_idle=None, window_bytes=None)
     return found.where("kind = 'mismatch'").select("query_id", "idx", "addr", "expected", "actual")
 
 
@@ -601,9 +659,10 @@ def hit_table(spark, sf_dir):
     return shown.select("source_id", "idx", "line_number", "tainted_text")
 
 
-def _orders_backward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _orders_backward(spark: SparkSession, sf_dir: str, first: bool = False) -> tuple[DataFrame, DataFrame]:
     rows = orders_ruled(spark, sf_dir)
-    last = rows.where("mnemonic = 'ldp'").groupBy("source_id").agg(F.max("idx").alias("start_idx"), F.max_by(F.col("dst")[0], "idx").alias("reg"))
+    pick, pick_by = (F.min, F.min_by) if first else (F.max, F.max_by)
+    last = rows.where("mnemonic = 'ldp'").groupBy("source_id").agg(pick("idx").alias("start_idx"), pick_by(F.col("dst")[0], "idx").alias("reg"))
     asked = last.select((F.col("source_id") + 400).alias("query_id"), "source_id", F.concat(F.lit("r"), F.col("reg").cast("string")).alias("loc"), "start_idx", F.lit(False).alias("skip_start"))
     return dataflow.backward(rows, asked, checkpoint)
 
@@ -615,10 +674,10 @@ def backward_rows(spark, sf_dir):
     return trail.select("query_id", "source_id", "idx", F.array_join("locs", ",").alias("locs"))
 
 
-@query(f"{ORDERS_BACKWARD_SQL} SELECT DISTINCT source_id + 400 AS query_id, in_loc AS loc FROM taken WHERE def_idx IS NULL")
+@query(f"{ORDERS_BACKWARD_SQL.replace('max(line_number) AS idx', 'min(line_number) AS idx')} SELECT DISTINCT source_id + 400 AS query_id, in_loc AS loc FROM taken WHERE def_idx IS NULL")
 def backward_boundary(spark, sf_dir):
-    """What a trail needs from before the trace."""
-    _, left = _orders_backward(spark, sf_dir)
+    """What the trail of the first pair load of each source needs from before the trace."""
+    _, left = _orders_backward(spark, sf_dir, first=True)
     return left.select("query_id", "loc")
 
 
@@ -649,13 +708,99 @@ def go_to_line(spark, sf_dir):
     return lines.go_to_line(document_lines(spark, sf_dir), 2).drop("raw")
 
 
-@query("SELECT doc_id, decode(encode(text)[3:22]) AS head FROM documents WHERE strlen(text) = length(text)")
+@query("""WITH cut AS (SELECT doc_id, encode(text)[3:22] AS part FROM documents WHERE text IS NOT NULL),
+  octets AS (SELECT doc_id, part, list_transform(range(1, 1 + octet_length(part)), lambda i: CAST('0x' || hex(part[i:i]) AS INTEGER)) AS b FROM cut),
+  edges AS (SELECT doc_id, part, b, coalesce(list_position(list_transform(b, lambda x: x // 64 <> 2), true) - 1, len(b)) AS n_head, len(b) + 1 - list_position(list_transform(list_reverse(b), lambda x: x // 64 <> 2), true) AS lead FROM octets),
+  closed AS (SELECT *, CASE WHEN b[lead] >= 192 AND len(b) - lead + 1 < (CASE WHEN b[lead] < 224 THEN 2 WHEN b[lead] < 240 THEN 3 ELSE 4 END) THEN len(b) - lead + 1 ELSE 0 END AS n_tail FROM edges)
+  SELECT doc_id, repeat(chr(65533), CAST(n_head AS INTEGER)) || decode(part[n_head + 1:octet_length(part) - n_tail]) || CASE WHEN n_tail > 0 THEN chr(65533) ELSE '' END AS head FROM closed""")
 def decoded_ranges(spark, sf_dir):
-    """S3: bytes 2 to 22 of every text of single bytes, decoded."""
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    """S3: bytes 2 to 22 of every text, decoded; characters that are cut become marks."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", encoding.decoded_range(F.encode("text", "UTF-8"), 2, 22).alias("head"))
 
 
+# --- a log file written from the documents: the byte source, its index, edits, search over line ends
+
+
+def documents_log(spark: SparkSession, sf_dir: str) -> str:
+    """A log of all texts in order of their ids, each ended by a line end, in the shared folder; gives its path."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    whole = F.when(F.col("text").endswith("\n"), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", whole.alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    bytelog.register(spark)
+    path = f"{own_dir(spark)}/documents-{uuid.uuid4().hex}.log"
+    rows.select(F.spark_partition_id().cast("long").alias("block"), F.encode("text", "UTF-8").alias("data")).write.format("bytelog").mode("overwrite").save(path)
+    return path
+
+
+def _places_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, size, first_line) of every document in the log."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    ended = F.col("text").endswith("\n").cast("int")
+    own = docs.select("doc_id", (F.octet_length("text") + 1 - ended).cast("long").alias("size"), (F.length("text") - F.length(F.translate("text", "\n", "")) + 1 - ended).cast("long").alias("n"))
+    found = sum_before(sum_before(own, [], "doc_id", "size", "start"), [], "doc_id", "n", "before")
+    return found.select("doc_id", "start", "size", (F.col("before") + 1).alias("first_line"))
+
+
+LOG_SQL = r"""ended AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS t FROM documents WHERE text <> ''),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))[:-2]) AS raw, generate_subscripts(string_split(t, chr(10))[:-2], 1) AS i FROM ended),
+log AS (
+  SELECT doc_id, i, row_number() OVER w AS line_number, CAST(coalesce(sum(strlen(raw) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_offset, strlen(raw) AS line_len, md5(raw) AS digest
+  FROM split WINDOW w AS (ORDER BY doc_id, i)
+)"""
+
+
+@query(f"WITH {LOG_SQL} SELECT doc_id, line_number, file_offset, CAST(line_len AS INTEGER) AS line_len, digest FROM log WHERE i = 1")
+def log_lines_by_number(spark, sf_dir):
+    """The first line of every document, found by its number in the log through the sparse index."""
+    path, places = documents_log(spark, sf_dir), checkpoint(_places_in_log(spark, sf_dir))
+    found = index.open_index(spark, path, interval=1 << 18).look_up(places.select(F.lit(path).alias("source_id"), F.col("first_line").alias("asked")))
+    named = found.join(places.select("doc_id", F.col("first_line").alias("asked")), "asked")
+    return named.select("doc_id", "line_number", "file_offset", "line_len", F.md5("raw").alias("digest"))
+
+
+@query(f"WITH {LOG_SQL}, middle AS (SELECT doc_id, min(file_offset) + (max(file_offset + line_len + 1) - min(file_offset)) // 2 AS at FROM log GROUP BY doc_id) SELECT m.doc_id, m.at AS \"offset\", max(l.line_number) AS line_number FROM middle m JOIN log l ON l.doc_id = m.doc_id AND l.file_offset <= m.at GROUP BY ALL")
+def log_lines_by_offset(spark, sf_dir):
+    """The line that holds the middle byte of every document, found in the log through the sparse index."""
+    path, places = documents_log(spark, sf_dir), _places_in_log(spark, sf_dir)
+    asked = checkpoint(places.select("doc_id", (F.col("start") + F.expr("size div 2")).alias("asked")))
+    found = index.open_index(spark, path, interval=1 << 18).look_up(asked.select(F.lit(path).alias("source_id"), "asked"), by="offset")
+    return found.join(asked, "asked").select("doc_id", F.col("asked").alias("offset"), "line_number")
+
+
+@query(f"WITH {LOG_SQL} SELECT CAST(max(file_offset + line_len + 1) AS BIGINT) AS bytes, max(file_offset + line_len + 1) / 1e6 AS megabytes, 'UTF-8' AS encoding, count(*) AS total_lines FROM log")
+def source_info(spark, sf_dir):
+    """Size, encoding and lines of the log of all documents."""
+    return bytelog.source_info(spark, documents_log(spark, sf_dir)).drop("source_id")
+
+
+@query(r"""WITH ended AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS t FROM documents WHERE text <> ''),
+  whole AS (SELECT string_agg('<' || doc_id || '>' || t[:-2], '' ORDER BY doc_id) || 'the end' AS t FROM ended),
+  split AS (SELECT unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS line_number FROM whole)
+  SELECT line_number, CAST(sum(strlen(raw) + 1) OVER (ORDER BY line_number) - strlen(raw) - 1 AS BIGINT) AS file_offset, md5(regexp_replace(raw, '\r$', '')) AS digest FROM split""")
+def log_edits(spark, sf_dir):
+    """S17, T-R5: edits all over the log: an insertion before every document, its last line end gone, an append."""
+    path, places = documents_log(spark, sf_dir), _places_in_log(spark, sf_dir)
+    before = places.select(F.col("start").alias("offset"), F.lit(0).alias("old_len"), F.encode(F.format_string("<%d>", "doc_id"), "UTF-8").alias("new_bytes"), F.lit(1).alias("seq"))
+    after = places.select((F.col("start") + F.col("size") - 1).alias("offset"), F.lit(1).alias("old_len"), F.encode(F.lit(""), "UTF-8").alias("new_bytes"), F.lit(0).alias("seq"))
+    end = places.agg(F.max(F.col("start") + F.col("size")).alias("offset")).select("offset", F.lit(0).alias("old_len"), F.encode(F.lit("the end"), "UTF-8").alias("new_bytes"), F.lit(2).alias("seq"))
+    rewrite.apply_edits(spark, path, f"{path}.edited", before.union(after).union(end), range_bytes=1 << 20)
+    found = bytelog.read_lines(spark, f"{path}.edited", 1 << 20)
+    return found.select("line_number", "file_offset", F.md5("raw").alias("digest"))
+
+
+@query(r"""WITH ended AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN text ELSE text || chr(10) END AS t FROM documents WHERE text <> ''),
+  whole AS (SELECT string_agg(t, '' ORDER BY doc_id) AS t FROM ended),
+  cut AS (SELECT regexp_extract_all(t, '[a-z]+[.!]?\n+[A-Z][a-z]*') AS found, string_split_regex(t, '[a-z]+[.!]?\n+[A-Z][a-z]*') AS between FROM whole),
+  each AS (SELECT unnest(found) AS m, unnest(between[:len(found)]) AS b, generate_subscripts(found, 1) AS i FROM cut)
+  SELECT CAST(sum(strlen(b) + strlen(m)) OVER (ORDER BY i) - strlen(m) AS BIGINT) AS byte_offset, CAST(strlen(m) AS BIGINT) AS match_len FROM each""")
+def log_matches_over_lines(spark, sf_dir):
+    """matches that go over line ends, in the log of all documents."""
+    pattern = file_search.file_pattern(r"[a-z]+[.!]?\n+[A-Z][a-z]*", use_regex=True, case_sensitive=True)
+    return file_search.file_matches(spark, documents_log(spark, sf_dir), pattern, range_bytes=1 << 20).drop("source_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()} | BYTE_QUERIES
 

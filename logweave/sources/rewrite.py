@@ -6,11 +6,15 @@ input and output may be the same path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import Pattern, java_template
-from logweave.sources.bytelog import RANGE, scan
+from logweave.sources.bytelog import CHUNK, RANGE, Source, file_ranges, scan, sources_at
+from logweave.storage import checkpoint
 
 
 def _write(rows: DataFrame, data: Column, out: str) -> None:
@@ -32,20 +36,86 @@ def replace_all(spark: SparkSession, path: str, out: str, pattern: Pattern, temp
     _write(rows, F.col("data") if pattern.empty else data, out)
 
 
+PIECES = "block long, at long, place long, drop long, new_bytes binary, start long, end long, file string"
+
+
+def _pieces(edits: DataFrame, ranges: DataFrame, size: int, range_bytes: int) -> DataFrame:
+    """The edits, cut at the borders of ranges: what each range leaves out and puts in. An edit puts its bytes in where it
+    begins; one at the very end of the file belongs to the last range."""
+    last = max(0, -(-size // range_bytes) - 1)
+    begin = F.least(F.floor(F.col("offset") / range_bytes), F.lit(last))
+    end = F.greatest(begin, F.floor((F.col("offset") + F.col("old_len") - 1) / range_bytes))
+    cut = edits.select("*", F.explode(F.sequence(begin, end)).alias("block"))
+    low, high = F.greatest("offset", F.col("block") * range_bytes), F.least(F.col("offset") + F.col("old_len"), (F.col("block") + 1) * range_bytes)
+    own = cut.select("block", low.alias("at"), "place", F.greatest(high - low, F.lit(0)).alias("drop"), F.when(F.col("block") == begin, F.col("new_bytes")).alias("new_bytes"), F.col("old_len").alias("whole"))
+    return own
+
+
+def _check(edits: DataFrame, pieces: DataFrame, size: int) -> None:
+    """Raise for edits outside the file and for those that overlap, which cannot both hold."""
+    wrong = edits.where((F.col("offset") < 0) | (F.col("old_len") < 0) | (F.col("offset") + F.col("old_len") > size) | F.col("offset").isNull() | F.col("old_len").isNull())
+    if not wrong.isEmpty():
+        raise ValueError(f"edits outside the file of {size} bytes: {[tuple(r) for r in wrong.select('offset', 'old_len').limit(3).collect()]}")
+    order = Window.partitionBy("block").orderBy("at", "whole", "place").rowsBetween(Window.unboundedPreceding, -1)
+    clash = pieces.withColumn("covered", F.max(F.col("at") + F.col("drop")).over(order)).where(F.col("covered") > F.col("at"))
+    if not clash.isEmpty():
+        raise ValueError(f"edits overlap at {[r.at for r in clash.select('at').limit(3).collect()]}")
+
+
 def apply_edits(spark: SparkSession, path: str, out: str, edits: DataFrame, range_bytes: int = RANGE) -> None:
-    """Apply ``edits`` (offset, old_len, new_bytes) to a file; each lies within one line, its line end included.
+    """Apply ``edits`` (offset, old_len, new_bytes) to a file, wherever they are: inside a line, over several lines, at
+    the end of the file (an append), side by side.
 
-    Offsets are those of the file as it is. Edits of a line are applied from the last to the first.
+    Offsets are those of the file as it is. Edits are dealt to ranges of bytes and sorted there; a task copies its range
+    and puts them in as it goes along. Of several that insert at one place the order is that of a column ``seq``, if
+    there is one, else that of their bytes. Edits that overlap and those outside the file are refused, before anything is written.
     """
-    rows = scan(spark, path, range_bytes, with_data=True)
-    width = F.octet_length("data")
-    own = edits.join(rows.select("block", "line_in_block", "file_offset", width.alias("width")), (F.col("offset") >= F.col("file_offset")) & (F.col("offset") < F.col("file_offset") + F.col("width")))
-    queued = own.groupBy("block", "line_in_block").agg(F.sort_array(F.collect_list(F.struct("offset", "old_len", "new_bytes")), asc=False).alias("edits"))
-    joined = rows.join(queued, ["block", "line_in_block"], "left").repartition("block").sortWithinPartitions("block", "line_in_block")
+    ((_, parts),) = sources_at(path)
+    size = sum(part.size for part in parts)
+    order = [F.col("seq")] if "seq" in edits.columns else []
+    own = checkpoint(edits.select(F.col("offset").cast("long").alias("offset"), F.col("old_len").cast("long").alias("old_len"), F.coalesce("new_bytes", F.lit(b"")).alias("new_bytes"), *order))
+    place = F.row_number().over(Window.partitionBy("offset").orderBy("old_len", *order, "new_bytes")).cast("long")
+    own = own.withColumn("place", place)
+    ranges = file_ranges(spark, path, range_bytes)
+    pieces = checkpoint(_pieces(own, ranges, size, range_bytes))
+    _check(own, pieces, size)
+    none = [F.lit(None).cast(kind) for kind in ("long", "long", "string")]
+    heads = ranges.select("block", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("drop"), F.lit(None).cast("binary").alias("new_bytes"), "start", "end", "file")
+    if not size:  # an empty file has one range without bytes
+        heads = spark.createDataFrame([(0, -1, 0, 0, None, 0, 0, path)], PIECES)
+    both = heads.union(pieces.select("block", "at", "place", "drop", "new_bytes", *none))
+    dealt = both.repartition("block").sortWithinPartitions("block", "at", F.col("drop") > 0, "place")
+
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, at = None, 0
+
+        def rows(data: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+            for x in data:
+                yield pa.RecordBatch.from_arrays([pa.array([head["block"]], pa.int64()), pa.array([x], pa.binary())], names=["block", "data"])
+
+        def copied(to: int) -> Iterator[bytes]:
+            with Source(head["file"]) as f:
+                f.seek(at)
+                left = to - at
+                while left > 0:
+                    data = f.read(min(CHUNK, left))
+                    if not data:
+                        raise OSError(f"{head['file']} has become shorter")
+                    left -= len(data)
+                    yield data
 
-    def splice(data: Column, e: Column) -> Column:
-        at = (e["offset"] - F.col("file_offset")).cast("int")
-        return F.concat(F.substring(data, F.lit(1), at), e["new_bytes"], F.substring(data, at + e["old_len"].cast("int") + 1, F.lit(2**31 - 1)))
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file"] is not None:
+                    if head is not None:
+                        yield from rows(copied(head["end"]))
+                    head, at = row, row["start"]
+                    continue
+                yield from rows(copied(row["at"]))
+                if row["new_bytes"]:
+                    yield from rows(iter([row["new_bytes"]]))
+                at = row["at"] + row["drop"]
+        if head is not None:
+            yield from rows(copied(head["end"]))
 
-    none = F.array().cast("array<struct<offset:bigint,old_len:bigint,new_bytes:binary>>")
-    _write(joined, F.aggregate(F.coalesce("edits", none), F.col("data"), splice), out)
+    _write(dealt.mapInArrow(splice, "block long, data binary"), F.col("data"), out)

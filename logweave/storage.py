@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _ours: dict[str, SparkSession] = {}
@@ -27,12 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_dir(spark: SparkSession) -> str:
-    """The folder of this application in the shared one; it goes when the driver's program ends."""
+    """The folder of this application in the shared one; it goes when the session stops or the driver's program ends."""
     path = f"{shared_dir(spark)}/logweave-{spark.sparkContext.applicationId}"
-    _ours.setdefault(path, spark)
+    if path not in _ours:
+        _ours[path] = spark
+        _leave_before_stop(spark.sparkContext)
     return path
 
 
+def _leave_before_stop(context: SparkContext) -> None:
+    """Delete the folders of an application when its context stops: afterwards its filesystems are gone."""
+    stop = context.stop
+
+    def stopped() -> None:
+        for path in [p for p, spark in _ours.items() if spark.sparkContext is context]:
+            with contextlib.suppress(Exception):  # the JVM may have died before
+                _delete(_ours[path], path)
+            del _ours[path]
+        stop()
+
+    context.stop = stopped
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

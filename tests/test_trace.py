@@ -63,28 +63,47 @@ def questions(seed, n):
     return out
 
 
-@pytest.mark.parametrize("max_idle", [3, 10**6])
-def test_forward(spark, insns, max_idle):
+@pytest.mark.parametrize(("max_idle", "width"), [(3, 7), (3, 20_000), (10**6, 5), (None, 16), (1, 1)])
+def test_forward(spark, insns, max_idle, width):
     asked = questions(5, 40)
     found = {}
-    for r in dataflow.forward(insns, ask(spark, asked).drop("skip_start"), max_idle=max_idle).collect():
+    for r in dataflow.forward(insns, ask(spark, asked).drop("skip_start"), max_idle=max_idle, width=width).collect():
         found.setdefault(r.query_id, []).append(r)
     for i, (source, loc, start, _) in enumerate(asked):
-        rows, stop, wrong = model.forward(STEPS[source], loc, start, max_idle)
+        rows, stop, wrong = model.forward(STEPS[source], loc, start, max_idle or 10**6)
         got = found[i]
         assert sorted((r.idx, r.locs) for r in got if r.kind == "hit") == rows
         assert [r.locs for r in got if r.kind == "stop"] == [[stop]]
         assert sorted((r.idx, r.addr, r.expected, r.actual) for r in got if r.kind == "mismatch") == wrong
 
 
-def test_forward_stops_at_the_end_of_a_window(spark, insns):
+@pytest.mark.parametrize("width", [6, 20_000])
+def test_forward_stops_at_the_end_of_a_window(spark, insns, width):
     asked = ask(spark, [(1, "r31", 0, False)]).drop("skip_start")
     at = {r.idx: r.file_offset for r in insns.where("source_id = 1").select("idx", "file_offset").collect()}
-    got = dataflow.forward(insns, asked, window_bytes=at[30]).collect()
+    got = dataflow.forward(insns, asked, window_bytes=at[30], width=width).collect()
     last = next(r for r in got if r.kind == "stop")
     assert (last.idx, last.locs) == (30, ["WindowEnd"]) and max(r.idx for r in got) == 30
 
 
+def test_forward_along_a_chain_of_100000_rows(spark):
+    """A value handed on from each row to the next one, in rounds by the logarithm of the number of ranges."""
+    n = 100_000
+    access = "array<struct<addr:bigint,val:bigint,inferred:boolean>>"
+    i = F.col("id")
+    name = lambda k: F.concat(F.lit("r"), (k % 29).cast("string"))
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("source_id"), i.alias("idx"), (10 * i).alias("file_offset"), F.array(name(i)).alias("touched"), F.array(name(i + 1)).alias("clears"),
+        F.array(F.struct(name(i).alias("in_loc"), name(i + 1).alias("out_loc"))).alias("flow"), F.lit("DataMove").alias("category"), F.array().cast(access).alias("reads"), F.array().cast(access).alias("writes"),
+    )
+    asked = spark.createDataFrame([(1, 1, "r1", 0), (2, 1, "r5", 0), (3, 1, "r7", n + 5)], "query_id long, source_id long, loc string, start_idx long")
+    rounds = []
+    found = dataflow.forward(rows, asked, width=1000, window_bytes=None, checkpoint=lambda df: rounds.append(1) or checkpoint(df))
+    counts = {(r.query_id, r.kind): (r.n, r.last) for r in found.groupBy("query_id", "kind").agg(F.count("*").alias("n"), F.max("idx").alias("last")).collect()}
+    # r1 is handed on by every row; r5 is defined anew in row 4, before it is used; the third start is behind the end
+    assert counts == {(1, "hit"): (n, n - 1), (1, "stop"): (1, n - 1), (2, "hit"): (1, 0), (2, "stop"): (1, 4)} and len(rounds) <= 20
+
+
 def test_backward(spark, insns):
     asked = questions(6, 40)
     trail, left = dataflow.backward(insns, ask(spark, asked), checkpoint)
