@@ -311,11 +311,22 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
         both = both.join(brief.toDF("id", "n_b", "sketch_b"), "id").join(brief.toDF("centre", "n_a", "sketch_a"), "centre")
         return _likely(both, percent).select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
-    def parted(rows: DataFrame, group: str, by: str) -> DataFrame:
-        """``rows`` of the groups that hold several values of ``by``, with ``centre``, the least id of the group."""
-        several = rows.groupBy(group).agg(F.min(by).alias("least"), F.max(by).alias("most"), F.min("id").alias("centre")).where("least <> most")
+    def parted(rows: DataFrame, group: str, by: str, once: bool = False) -> DataFrame:
+        """``rows`` of the groups that hold several values of ``by``, with ``centre``, a member drawn for each group; with
+        ``once`` of groups with the same members one stays."""
+        mark = F.xxhash64("id")
+        drawn = F.min_by("id", F.xxhash64("id", group)).alias("centre")
+        several = rows.groupBy(group).agg(F.min(by).alias("least"), F.max(by).alias("most"), drawn, F.count("*").alias("size"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
+        several = several.where("least <> most").select(group, "centre", "size", "sum", "xor")
+        if once:
+            several = several.groupBy("size", "sum", "xor").agg(F.min(F.struct(group, "centre")).alias("one")).select("one.*")
         return rows.join(several.select(group, "centre"), group)
 
+    def sketched(rows: DataFrame, group: list[str]) -> DataFrame:
+        """``rows`` (id, component, ``group``) with n and sketch, which are sought once for each class."""
+        own = rows.groupBy("id", "component").agg(F.collect_list(F.struct(*group)).alias("groups")).join(brief, "id")
+        return own.select("id", "component", "n", "sketch", F.explode("groups").alias("g")).select("id", "component", "n", "sketch", "g.*")
+
     # 3. stars
     buckets = classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("key", "centre")
@@ -328,7 +339,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     component = F.coalesce("component", "id").alias("component")
     open_ = parted(points.select("key", "band", "id").join(first, "id", "left").select("key", "band", "id", component), "key", "component")
     keys = F.explode(_longer(F.col("key"), F.col("band"), F.col("sketch"))).alias("key")
-    longer = written(parted(open_.drop("centre").join(brief, "id").select("id", "component", keys), "key", "component"), "longer")
+    longer = written(parted(sketched(open_, ["key", "band"]).select("id", "component", "n", "sketch", keys), "key", "component", once=True), "longer")
     discard(points)
     placed = written(longer.select("id", "component").distinct(), "placed")
 
@@ -339,8 +350,8 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
 
     alike = written(between(stars(longer.where("id <> centre"))), "alike")
     near = written(components(alike), "near").toDF("component", "family")
-    left = longer.select("key", "id", "component").join(near, "component", "left").select("key", "id", F.coalesce("family", "component").alias("component"))
-    left = written(parted(left, "key", "component").drop("centre").join(brief, "id"), "left")
+    left = longer.drop("centre").join(near, "component", "left").select("key", "id", "n", "sketch", F.coalesce("family", "component").alias("component"))
+    left = written(parted(left, "key", "component", once=True), "left")
     more = in_blocks(left, "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
     alike_more = written(alike.union(between(more)), "alike")
     discard(longer, left, more, alike)
