@@ -312,11 +312,10 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
         return _likely(both, percent).select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
     def parted(rows: DataFrame, group: str, by: str, once: bool = False) -> DataFrame:
-        """``rows`` of the groups that hold several values of ``by``, with ``centre``, a member drawn for each group; with
-        ``once`` of groups with the same members one stays."""
+        """``rows`` of the groups that hold several values of ``by``, with ``centre``, the least id of the group (one class is
+        that of many groups, so few pairs are stars); with ``once`` of groups with the same members one stays."""
         mark = F.xxhash64("id")
-        drawn = F.min_by("id", F.xxhash64("id", group)).alias("centre")
-        several = rows.groupBy(group).agg(F.min(by).alias("least"), F.max(by).alias("most"), drawn, F.count("*").alias("size"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
+        several = rows.groupBy(group).agg(F.min(by).alias("least"), F.max(by).alias("most"), F.min("id").alias("centre"), F.count("*").alias("size"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
         several = several.where("least <> most").select(group, "centre", "size", "sum", "xor")
         if once:
             several = several.groupBy("size", "sum", "xor").agg(F.min(F.struct(group, "centre")).alias("one")).select("one.*")

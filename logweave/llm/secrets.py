@@ -8,7 +8,9 @@ uniform choice of characters; candidates above a threshold become spans of kind
 runs of LEAST characters of the alphabet or more that have a letter and a digit: shorter runs and plain
 words never reach the threshold, runs of digits only would, but number something and open nothing.
 
-Credentials are written nowhere: the sample goes to the driver, and a second pass over the texts scores.
+No table and no result holds credentials: the sample goes to the driver, and a second pass over the texts scores. On its
+way the sample (at most ``sample`` of each kind from a task) is in Spark's shuffle files and may be spilled; where the executors'
+disks are not to be trusted, ``spark.io.encryption.enabled`` covers both.
 
 Defined cases: a null text counts as empty; a text without secrets has no spans; whole texts are
 scanned, however long; repeated rows give repeated results; without any labelled credential there are
