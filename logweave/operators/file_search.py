@@ -17,15 +17,17 @@ within ``look`` bytes before its range; matches themselves may have any length.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.sources.bytelog import RANGE, Source, file_ranges
+from logweave.sources.bytelog import RANGE, Source, file_ranges, sources_at
 from logweave.storage import checkpoint as written
 
 LOOK = 1 << 16
+Checkpoint = Callable[[DataFrame], DataFrame]
 FOUND = "source_id string, block long, byte_offset long, match_len long"
 
 
@@ -110,13 +112,10 @@ def matches_in_range(path: str, start: int, end: int, entry: int, pattern, look:
             reach *= 2
 
 
-def file_matches(spark: SparkSession, path: str, pattern, range_bytes: int = RANGE, look: int = LOOK, checkpoint: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """(source_id, byte_offset, match_len) of every match of ``pattern`` in the files at ``path``.
-
-    A file is one text; files of a folder are texts of their own, also the parts of a folder that was written as one source.
-    """
+def _search(ranges: DataFrame, pattern, look: int, checkpoint: Checkpoint) -> DataFrame:
+    """The matches that start in ``ranges`` (file, block, start, end, from): those of a file follow each other, and nothing
+    before byte ``from`` of it is searched."""
     text, flags = pattern.pattern, pattern.flags
-    ranges = checkpoint(file_ranges(spark, path, range_bytes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -133,16 +132,50 @@ def file_matches(spark: SparkSession, path: str, pattern, range_bytes: int = RAN
         spread = rows.repartition(F.col("file"), F.col("block"))  # ranges are few rows with much work each
         return checkpoint(spread.mapInArrow(search, FOUND))
 
-    entries = ranges.withColumn("entry", F.col("start"))
+    ranges = checkpoint(ranges)
+    entries = ranges.withColumn("entry", F.greatest("start", "from"))
     found = searched(entries)
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         reached = found.groupBy(F.col("source_id").alias("file"), "block").agg(F.max(F.col("byte_offset") + F.col("match_len")).alias("reached"))
-        now = ranges.join(reached, ["file", "block"], "left").select(*ranges.columns, F.greatest("start", F.coalesce(F.max("reached").over(order), F.lit(0))).alias("entry"))
+        now = ranges.join(reached, ["file", "block"], "left").select(*ranges.columns, F.greatest("start", "from", F.coalesce(F.max("reached").over(order), F.lit(0))).alias("entry"))
         now = checkpoint(now)
         moved = checkpoint(now.join(entries.select("file", "block", F.col("entry").alias("was")), ["file", "block"]).where("entry <> was").drop("was"))
         if moved.isEmpty():
-            return found.select("source_id", "byte_offset", "match_len")
+            return found
         kept = found.join(moved.select(F.col("file").alias("source_id"), "block"), ["source_id", "block"], "left_anti")
         found = checkpoint(kept.select(found.columns).union(searched(moved)))
         entries = now
+
+
+def file_matches(spark: SparkSession, path: str, pattern, range_bytes: int = RANGE, look: int = LOOK, checkpoint: Checkpoint = written) -> DataFrame:
+    """(source_id, byte_offset, match_len) of every match of ``pattern`` in the sources at ``path``; each is one text."""
+    ranges = file_ranges(spark, path, range_bytes).withColumn("from", F.lit(0).cast("long"))
+    return _search(ranges, pattern, look, checkpoint).select("source_id", "byte_offset", "match_len")
+
+
+def first_matches(
+    spark: SparkSession, path: str, pattern, limit: int = 1, range_bytes: int = RANGE, look: int = LOOK, wave: int = 4, checkpoint: Checkpoint = written,
+) -> tuple[DataFrame, int]:
+    """The first ``limit`` matches in order of source and offset, and how many ranges were searched for them.
+
+    Ranges are searched in order, in waves that double, until there are enough matches: those of a wave are final before
+    the next one begins, so a match near the beginning of a large file costs the first wave only.
+    """
+    sizes = sorted((source, sum(part.size for part in parts)) for source, parts in sources_at(path))
+    counts = [-(-size // range_bytes) for _, size in sizes]
+    firsts = spark.createDataFrame([(source, sum(counts[:i])) for i, (source, _) in enumerate(sizes)], "file string, first long")
+    ranges = checkpoint(file_ranges(spark, path, range_bytes).join(firsts, "file").withColumn("at", F.col("first") + F.col("block")).drop("first"))
+    done, total, last, begin = 0, 0, "", 0
+    found: list[DataFrame] = []
+    while done < sum(counts) and total < limit:
+        part = ranges.where((F.col("at") >= done) & (F.col("at") < done + wave)).drop("at")
+        part = part.withColumn("from", F.when(F.col("file") == last, F.lit(begin)).otherwise(0).cast("long"))
+        found.append(_search(part, pattern, look, checkpoint))
+        ends = found[-1].groupBy("source_id").agg(F.count("*").alias("n"), F.max(F.col("byte_offset") + F.col("match_len")).alias("reached")).orderBy("source_id").collect()
+        total += sum(r.n for r in ends)
+        if ends:
+            last, begin = ends[-1].source_id, ends[-1].reached
+        done, wave = done + wave, 2 * wave
+    every = reduce(DataFrame.union, found) if found else spark.createDataFrame([], FOUND)
+    return every.orderBy("source_id", "byte_offset").limit(limit).select("source_id", "byte_offset", "match_len"), min(done, sum(counts))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from logweave.functions.dims import register_name
 from logweave.operators.trace import call_display
+from logweave.sources.bytelog import register
 
+#: Labels of a report: fixed values.
 STOP_LABELS = {"AllTaintCleared": "all taint cleared", "ScanLimitReached": "scan limit reached", "EndOfTrace": "end of trace", "WindowEnd": "end of the window", "DepthLimitReached": "depth limit reached", "Cancelled": "cancelled"}
 FILTERED = ("raw_line", "module_offset", "addr", "asm", "tainted_text")
 
@@ -103,3 +105,10 @@ def report(hits: DataFrame, summary: DataFrame, boundary: DataFrame, mismatches:
     body = F.array(F.concat(F.lit("["), F.col("line_number").cast("string"), F.lit("] "), F.col("raw_line")), F.concat(F.lit("      tainted: "), F.col("tainted_text")), F.lit(""))
     rows = rows.union(hits.select(F.lit(5), "idx", F.posexplode(body)))
     return rows.orderBy("part", "idx", "row").select("line")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Write the ``lines`` of a report, in their order, as one source in place of what is at ``path``."""
+    register(lines.sparkSession)
+    data = F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("data")
+    lines.select(F.spark_partition_id().cast("long").alias("block"), data).write.format("bytelog").mode("overwrite").save(path)

@@ -41,7 +41,7 @@ def run(
     own = lines.where(F.col("source_id") == F.lit(source_id))
     order, begin = ("line_number", line_number) if offset is None else ("file_offset", offset)
     text = own.where(F.col(order) >= begin)
-    first = trace.parse_trace(trace.heads(text), dense=False).agg(F.min_by(F.struct("line_number", "file_offset"), "line_number").alias("at")).first().at
+    first = trace.heads(text).agg(F.min_by(F.struct("line_number", "file_offset"), "line_number").alias("at")).first().at
     if first is None:
         raise ValueError("no instruction at or after the start")
     if mode == "backward":

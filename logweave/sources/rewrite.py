@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import Pattern, java_template
-from logweave.sources.bytelog import CHUNK, RANGE, Source, file_ranges, scan, sources_at
+from logweave.sources.bytelog import CHUNK, RANGE, Source, file_ranges, register, scan, sources_at
 from logweave.storage import checkpoint
 
 
 def _write(rows: DataFrame, data: Column, out: str) -> None:
+    register(rows.sparkSession)
     rows.select("block", data.alias("data")).write.format("bytelog").mode("overwrite").save(out)
 
 

@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import functions as F
 
 from logweave.functions.text import check_pattern, compile_pattern
-from logweave.operators.file_search import file_matches, file_pattern, matches_in_range
+from logweave.operators.file_search import file_matches, file_pattern, first_matches, matches_in_range
 from logweave.operators.ordered import as_of, dense_index, last_before, sum_before
 from logweave.sources import bytelog, encoding, index, rewrite
 from logweave.streaming import tail
@@ -327,6 +327,21 @@ def test_matches_of_a_file_and_of_parts(spark, tmp_path):
     assert regex.compile("x").pattern == "x"
 
 
+def test_first_matches_stop_early(spark, tmp_path):
+    os.mkdir(tmp_path / "logs")
+    texts = [b"none here\n" * 40, b"x one\ntwo " + b"y" * 900 + b" one\ntwo", b"one" + b"\ntwo" * 50 + b" one\ntwo\n" + b"z" * 5000]
+    for k, data in enumerate(texts):
+        (tmp_path / "logs" / f"{k}.log").write_bytes(data)
+    for query in (("one\ntwo", False), (r"one[\s\S]*?two", True), (r"(?:\ntwo)+", True), ("nowhere", False)):
+        pattern = file_pattern(*query)
+        every = [(k, *m) for k, data in enumerate(texts) for m in plain_matches(data, pattern)]
+        for limit in (1, 2, 50):
+            got, searched = first_matches(spark, str(tmp_path / "logs"), pattern, limit, range_bytes=50, look=16, wave=2)
+            assert [(int(r.source_id[-5]), r.byte_offset, r.match_len) for r in got.collect()] == every[:limit]
+            assert searched <= 14 or limit > 1 or not every
+            assert searched > 100 or len(every) >= limit
+
+
 # --- generations of a log
 
 

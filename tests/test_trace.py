@@ -163,6 +163,30 @@ def test_job(spark, text_lines, insns, mode):
         job.run(text_lines, source, name, mode, checkpoint, line_number=10**9)
 
 
+def test_a_report_is_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"line {i} é") for i in range(500)], "at long, line string").repartition(5).orderBy("at").select("line")
+    for _ in range(2):  # the second one takes the place of the first
+        hits.write_report(rows, str(tmp_path / "report"))
+    parts = sorted(x for x in (tmp_path / "report").iterdir() if x.name.startswith("part-"))
+    assert b"".join(x.read_bytes() for x in parts).decode() == "".join(f"line {i} é\n" for i in range(500))
+
+
+def test_tables_go_when_the_session_stops(tmp_path):
+    """In a process of its own, as the session of these tests goes on."""
+    import subprocess
+    import sys
+
+    program = f"""
+from pyspark.sql import SparkSession
+from logweave.storage import checkpoint
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert checkpoint(spark.range(5)).count() == 5
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", program], check=True, timeout=300)
+    assert not [x for x in tmp_path.iterdir() if x.name.startswith("logweave-")]
+
+
 def test_addresses_sort_as_unsigned_numbers(spark):
     rows = [["m200", "r30", "m1000", "mffffffffffffff00", "r4", "m10"]]
     df = spark.createDataFrame([(x,) for x in rows], "locs array<string>")
