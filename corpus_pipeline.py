@@ -14,7 +14,10 @@ LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language; keeps all others as they are."""
+    """Rejects documents without a language; keeps all others as they are.
+
+    Null and empty texts and those without a letter have none; rows that are there twice are judged alike, an empty
+    table stays empty."""
     return langid.keep_identified(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
@@ -25,17 +28,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; keeps every document."""
+    """Masks secrets in the texts; keeps every document, null and empty texts as they are."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source comes near its target."""
+    """Repeats or leaves out documents so that each source comes near its target; a null source is a source, and equal
+    rows are one unit with a count. Texts without a word weigh nothing and may be left out or stay."""
     return mixing.repeat_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and digests of them and of what they decode to."""
+    """Ids of every document, and digests of them and of what they decode to; a null text is an empty one."""
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
