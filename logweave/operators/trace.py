@@ -23,7 +23,13 @@ def parse_trace(lines: DataFrame, dense: bool = True) -> DataFrame:
     from 0; without ``dense`` it is the line number, which orders them alike at no cost.
     """
     typed = lines.select("source_id", "line_number", "file_offset", "line_len", "raw", T.kind(F.col("raw")).alias("kind")).where("kind IS NOT NULL")
-    rows = attach_accesses(typed).withColumn("asm_text", T.asm_of(F.col("raw")))
+    rows = typed_instructions(attach_accesses(typed))
+    return dense_index(rows, ["source_id"], "line_number", "idx") if dense else rows.withColumn("idx", F.col("line_number"))
+
+
+def typed_instructions(attached: DataFrame, *others: str) -> DataFrame:
+    """Instructions and calls with their accesses, typed; ``others`` are columns to keep."""
+    rows = attached.withColumn("asm_text", T.asm_of(F.col("raw")))
     rows = rows.withColumn("mnemonic", F.when(F.col("kind") == "EXT", "").otherwise(T.mnemonic(F.col("asm_text"))))
     rows = rows.withColumn("category", F.when(F.col("kind") == "EXT", "ExternalCall").otherwise(dims.category(F.col("mnemonic"))))
     rows = rows.withColumn("operands", T.operands_text(F.col("asm_text"))).withColumn("ops", T.operands(F.col("operands")))
@@ -31,7 +37,7 @@ def parse_trace(lines: DataFrame, dense: bool = True) -> DataFrame:
     none = F.array().cast("array<smallint>")
     ops, name, of = F.col("ops"), F.col("mnemonic"), F.col("category")
     rows = rows.select(
-        "source_id", "line_number", "file_offset", "line_len", "raw",
+        "source_id", *others, "line_number", "file_offset", "line_len", "raw",
         T.module_offset(F.col("raw")).alias("module_offset"), T.absolute_address(F.col("raw")).alias("abs_addr"),
         F.when(~call, T.hex_value(F.regexp_extract("raw", T.INSN, 1))).alias("rel_addr"),
         "mnemonic", T.clean_asm(F.col("asm_text")).alias("asm"), "operands", "category",
@@ -41,8 +47,7 @@ def parse_trace(lines: DataFrame, dense: bool = True) -> DataFrame:
         F.when(call, 0).otherwise(T.pair_size(ops, name)).alias("pair_reg_size"),
         T.writeback_base(ops, of).isNotNull().alias("has_writeback_base"), "reads", "writes",
     )
-    rows = infer_pairs(rows)
-    return dense_index(rows, ["source_id"], "line_number", "idx") if dense else rows.withColumn("idx", F.col("line_number"))
+    return infer_pairs(rows)
 
 
 def attach_accesses(typed: DataFrame) -> DataFrame:
