@@ -16,6 +16,8 @@ from logweave.plans.events_trace import TRACE_SQL, events_trace
 from logweave.plans.orders_trace import ORDERS_BACKWARD_SQL, ORDERS_FORWARD_SQL, ORDERS_SQL, orders_trace
 from logweave.sources import bytelog, encoding, index, rewrite
 from logweave.storage import checkpoint, own_dir
+from logweave.streaming import flow
+from logweave.streaming.tail import tail_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -801,6 +803,44 @@ def log_matches_over_lines(spark, sf_dir):
     return file_search.file_matches(spark, documents_log(spark, sf_dir), pattern, range_bytes=1 << 20).drop("source_id")
 
 
+def orders_log(spark: SparkSession, sf_dir: str) -> str:
+    """The second trace as one log in the shared folder, with a broken line at its end, which ends the last instruction; gives its path."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    end = spark.range(1).select(F.lit(2**62).alias("source_id"), F.lit(0).cast("long").alias("line_number"), F.lit("libo.so!0 0x0: lost").alias("raw"))
+    rows = orders_lines(spark, sf_dir).select("source_id", "line_number", "raw").union(end)
+    rows = rows.repartitionByRange(parts, "source_id", "line_number").sortWithinPartitions("source_id", "line_number")
+    bytelog.register(spark)
+    path = f"{own_dir(spark)}/orders-{uuid.uuid4().hex}.log"
+    rows.select(F.spark_partition_id().cast("long").alias("block"), F.encode(F.concat("raw", F.lit("\n")), "UTF-8").alias("data")).write.format("bytelog").mode("overwrite").save(path)
+    return path
+
+
+#: Bytes of a micro-batch.
+STREAM_BYTES = 8 << 20
+
+#: All orders as one source, and the base register x20 followed from its first row on.
+ONE_LOG_SQL = ORDERS_FORWARD_SQL.replace("o_orderkey // 4000 AS source_id, (o_orderkey % 4000) * 4 + 1 AS line_number", "0 AS source_id, o_orderkey * 4 + 1 AS line_number").replace("'m2000'", "'r20'")
+
+
+@query(f"""{ONE_LOG_SQL}, placed AS (SELECT line_number, row_number() OVER (ORDER BY line_number) - 1 AS idx FROM insn)
+  SELECT p.idx, coalesce(string_agg(h.loc, ',' ORDER BY h.loc), '') AS locs FROM trail t JOIN placed p ON p.line_number = t.idx
+  LEFT JOIN hot h ON h.idx <= t.idx AND (h.until IS NULL OR t.idx < h.until) GROUP BY ALL""")
+def forward_stream(spark, sf_dir):
+    """A value forward through the log of all orders as a stream with state."""
+    path = orders_log(spark, sf_dir)
+    asked = spark.createDataFrame([(1, path, "r20", 0)], "query_id long, source_id string, loc string, start_idx long")
+    out = f"{own_dir(spark)}/forward-{uuid.uuid4().hex}"
+    insns = flow.instructions(tail_lines(spark, path, STREAM_BYTES))
+    found = flow.forward_stream(insns, asked, max_idle=None, window_bytes=None)
+    run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start()
+    try:
+        run.processAllAvailable()  # a trigger for what is available would end after one batch of this source
+    finally:
+        run.stop()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows").where("kind = 'hit'")
+    return rows.select("idx", F.array_join("locs", ",").alias("locs"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in QUERIES.items()} | BYTE_QUERIES
 
