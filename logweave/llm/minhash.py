@@ -7,11 +7,11 @@
 3. A band bucket gives star-shaped candidates: its smallest class against each other one. Candidates
    whose sketches agree enough are confirmed on the full sets.
 4. A star can miss a link between two of its points. So classes that share a bucket and are still in
-   different components get longer keys: that of the bucket with a few more bins, in several ways that differ from
-   band to band. Linked classes share one of these whenever they share a bucket, but for a rest that is smaller than
-   what the bands themselves miss; classes that merely share a passage seldom do, so work stays in proportion to
-   rows. What shares a longer key forms families: first by stars again, by sketch, then by sketch in blocks of bounded size
-   between the families that are left in a bucket. Within a family classes of different components are
+   different components are read again. Their shingles get one order, rare ones first, and each class is keyed by
+   the first ones of its set: as many as its set can have apart from a linked one, and one more. Linked sets share one of these
+   whatever the order is, so nothing is lost here; the order only keeps groups small: near copies that do not link have that many rare
+   shingles of their own. What shares a key forms families: first by stars again, by sketch, then by sketch in blocks of bounded size
+   between the families that are left in a group. Within a family classes of different components are
    confirmed on the full sets, by a star first and then, if it leaves several components, in bounded blocks. Only links leave a
    block, never its pairs.
 5. Components follow by contracting edges until none is left; a component is named by its smallest id.
@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import discard, map_columns, written
@@ -47,6 +47,8 @@ LONGER, LONGER_BINS = 8, 4
 DEVIATIONS = 4.7
 #: Members of a block and words in it, at most (a single longer document makes a block of its own).
 BLOCK, BLOCK_WORDS = 512, 1_000_000
+#: Slots of the table of counts that orders shingles; any order is right, a finer one makes smaller groups.
+SLOTS = 1 << 20
 MEMO = 200_000
 
 _ODD = np.random.default_rng(20_011).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +134,8 @@ def _longer_bins() -> np.ndarray:
 
 
 def longer_keys(keys: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The longer keys of buckets of sketches (a row each)."""
+    """The longer keys of buckets of sketches (a row each): a way to part large buckets that :func:`grouped` does without,
+    since keys by shingles lose no link and take fewer rows."""
     picked = np.take_along_axis(sketch[:, None, :], _longer_bins()[bands], axis=2)
     added = np.ascontiguousarray(picked).view(np.uint32)[:, :, 0].astype(np.uint64)
     return _mix(_mix(added + np.arange(LONGER, dtype=np.uint64) * _ODD[-2]) + keys.view(np.uint64)[:, None]).view(np.int64)
@@ -161,6 +164,49 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_columns(docs, ["id", "mark", "text"], "id long, mark long, n long, print binary, bands array<long>, sketch binary", sketch)
 
 
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Of texts (id, text): ``id`` and ``hashes``, the bytes of the shingle set."""
+
+    def hashed(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
+        return [ids, pa.array([shingle_set(text, width).tobytes() for text in texts.to_pylist()], pa.binary())]
+
+    return map_columns(texts, ["id", "text"], "id long, hashes binary", hashed)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` (hashes) fall into each of SLOTS slots.
+
+    Tasks count their sets and Spark sums the counts; what reaches the driver is a row for each slot at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                total[_slots(np.frombuffer(raw.as_buffer(), np.uint64))] += 1  # slots that a set has twice count once
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, those of low counts first.
+
+    A linked set holds ``percent`` in a hundred of the shingles at least. So of those before the first one that both hold
+    there are no more than the rest, and that one is among the first of both sets.
+    """
+    n = (100 - percent) * len(hashes) // 100 + 1
+    return hashes[np.lexsort((hashes, counts[_slots(hashes)]))[:n]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of ``edges`` (a, b); a component is named by its smallest id.
 
@@ -284,6 +330,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     the row that stands for a component has its ``component_id`` and its ``head_mark``. Also the written tables
     that this is made from."""
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"), F.col(f"`{text_col}`").alias("text"))
+    spark = docs.sparkSession
     rows = written(sketches(keyed, width), "sketches")
     own_row = F.struct("id", "mark")
     classes = rows.where("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min(own_row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -321,13 +368,22 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
             several = several.groupBy("size", "sum", "xor").agg(F.min(F.struct(group, "centre")).alias("one")).select("one.*")
         return rows.join(several.select(group, "centre"), group)
 
-    def sketched(rows: DataFrame, group: list[str]) -> DataFrame:
-        """``rows`` (id, component, ``group``) with n and sketch, which are sought once for each class."""
-        own = rows.groupBy("id", "component").agg(F.collect_list(F.struct(*group)).alias("groups")).join(brief, "id")
-        return own.select("id", "component", "n", "sketch", F.explode("groups").alias("g")).select("id", "component", "n", "sketch", "g.*")
+    def keyed_by_shingles(open_: DataFrame) -> DataFrame:
+        """(key, id, component): the classes of ``open_`` (id, component) by the first shingles of their sets."""
+        sets = written(shingle_sets(texts_of(open_.select("id")), width), "sets")
+        counts = spark.sparkContext.broadcast(slot_counts(sets))  # a number for each slot
+
+        def keys(ids: pa.Array, hashes: pa.Array) -> list[pa.Array]:
+            found = [first_shingles(np.frombuffer(raw.as_buffer(), np.uint64), counts.value, percent).view(np.int64) for raw in hashes]
+            return [ids, pa.array(found, pa.list_(pa.int64()))]
+
+        firsts = map_columns(sets, ["id", "hashes"], "id long, keys array<long>", keys)
+        found = written(firsts.join(open_, "id").select(F.explode("keys").alias("key"), "id", "component"), "keys")
+        discard(sets)
+        return found
 
     # 3. stars
-    buckets = classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
+    buckets = classes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").select("key", "centre")
     points = written(buckets.join(centres, "key").where("id <> centre"), "points")
     links = confirmed(stars(points))
@@ -336,24 +392,27 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
 
     # 4. what the stars leave open
     component = F.coalesce("component", "id").alias("component")
-    open_ = parted(points.select("key", "band", "id").join(first, "id", "left").select("key", "band", "id", component), "key", "component")
-    keys = F.explode(_longer(F.col("key"), F.col("band"), F.col("sketch"))).alias("key")
-    longer = written(parted(sketched(open_, ["key", "band"]).select("id", "component", "n", "sketch", keys), "key", "component", once=True), "longer")
+    at = points.select("key", "id").join(first, "id", "left").select("key", "id", component)
+    several = at.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    open_ = written(at.join(several, "key", "left_semi").select("id", "component").distinct(), "open")
     discard(points)
-    placed = written(longer.select("id", "component").distinct(), "placed")
+    by_shingle = keyed_by_shingles(open_)
+    shared = written(parted(by_shingle, "key", "component", once=True), "shared")
+    discard(open_, by_shingle)
+    placed = written(shared.select("id", "component").distinct(), "placed")
 
     def between(links: DataFrame) -> DataFrame:
         """Edges of components for the rows (a, b) of ``links`` between classes of ``placed``."""
         one = links.join(placed.toDF("a", "one"), "a")
         return one.join(placed.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
 
-    alike = written(between(stars(longer.where("id <> centre"))), "alike")
+    alike = written(between(stars(shared.where("id <> centre"))), "alike")
     near = written(components(alike), "near").toDF("component", "family")
-    left = longer.drop("centre").join(near, "component", "left").select("key", "id", "n", "sketch", F.coalesce("family", "component").alias("component"))
-    left = written(parted(left, "key", "component", once=True), "left")
+    left = shared.drop("centre").join(near, "component", "left").select("key", "id", F.coalesce("family", "component").alias("component"))
+    left = written(parted(left, "key", "component", once=True).join(brief, "id"), "left")
     more = in_blocks(left, "key", ["sketch"], lambda part, apart: _alike(part, apart, percent))
     alike_more = written(alike.union(between(more)), "alike")
-    discard(longer, left, more, alike)
+    discard(shared, left, more, alike)
     found = first
     if not alike_more.isEmpty():
         grown = written(components(alike_more), "grown").toDF("component", "family")
@@ -426,13 +485,6 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
 
 
-def _longer(key: Column, band: Column, sketch: Column) -> Column:
-    def keys(key: pd.Series, band: pd.Series, sketch: pd.Series) -> pd.Series:
-        return pd.Series(list(longer_keys(key.to_numpy(np.int64), band.to_numpy(np.int64), _stacked(sketch))))
-
-    return F.pandas_udf(keys, "array<long>")(key, band, sketch)
-
-
 def _alike(part: pd.DataFrame, apart: np.ndarray, percent: int) -> np.ndarray:
     sketch, n = _stacked(part.sketch), part.n.to_numpy()
     links = np.zeros_like(apart)

@@ -596,6 +596,39 @@ def test_longer_keys_miss_no_more_than_bands(common, one, other):
     assert missed <= 3
 
 
+@pytest.mark.parametrize(("percent", "n"), [(85, 6), (85, 20), (85, 140), (80, 5), (80, 100)])
+def test_linked_sets_share_one_of_their_first_shingles(percent, n):
+    """Pairs at the threshold, in any order of the shingles: random counts, equal ones, and common shingles last."""
+    rng = np.random.default_rng(n)
+    for _ in range(300):
+        counts = rng.integers(0, rng.choice([1, 3, 1000]), minhash.SLOTS) if n < 10 else rng.permutation(minhash.SLOTS)
+        every = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        apart = (100 - percent) * len(every) // 100
+        order, one = rng.permutation(every), rng.integers(0, apart + 1)
+        sets = [np.sort(order[one:]), np.sort(order[: len(order) - (apart - one)])]
+        counts[minhash._slots(order[apart:])] += rng.integers(0, 2) * 10_000_000
+        first, other = (minhash.first_shingles(x, counts, percent) for x in sets)
+        assert len(np.intersect1d(first, other)) > 0
+
+
+def test_groups_of_near_copies_without_links_stay_small(spark, monkeypatch):
+    """Rows that are compared stay in proportion to the documents where very many share buckets and do not link."""
+    made = {}
+    keep = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: (lambda t: (made.__setitem__(name, max(made.get(name, 0), t.count())), t)[1])(keep(df, name)))
+    rng = random.Random(5)
+    base = words(rng, 150).split()
+    rows = []
+    for i in range(200):
+        text = list(base)
+        for at in rng.sample(range(0, 150, 5), 5):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, 3).collect()
+    assert len(got) == 200 and all(r.kept for r in got)
+    assert max(made.values()) <= 40 * 200
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200)], "a long, b long")
     found = {r.id: r.component for r in minhash.components(edges).collect()}
