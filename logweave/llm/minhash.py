@@ -48,7 +48,7 @@ DEVIATIONS = 4.7
 #: Members of a block and words in it, at most (a single longer document makes a block of its own).
 BLOCK, BLOCK_WORDS = 512, 1_000_000
 #: Slots of the table of counts that orders shingles; any order is right, a finer one makes smaller groups.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 MEMO = 200_000
 
 _ODD = np.random.default_rng(20_011).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
