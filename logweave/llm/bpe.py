@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logweave.llm.common import map_columns
+from logweave.llm.common import held, map_columns
 
 #: Entries that the memo of pieces and the memo of token pairs may hold in one Python worker.
 MEMO = 200_000
@@ -170,10 +170,9 @@ class BytePairCodec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> BytePairCodec:
-    """The codec of a rank file; built once in a Python worker."""
-    return BytePairCodec(read_ranks(path), pattern)
+    """The codec of a rank file; held by a Python worker."""
+    return held(("bpe", path, pattern), lambda: BytePairCodec(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

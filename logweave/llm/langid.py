@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import discard, map_columns, written
+from logweave.llm.common import discard, held, map_columns, written
 
 UNKNOWN = "und"
 #: Labelled documents of each language to learn from, about, and trigrams kept for each, at most.
@@ -241,16 +241,9 @@ class Labeller:
         return found
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def labeller(model: LanguageModel, switch: float = SWITCH) -> Labeller:
     """The labeller of a model, whose memo of words outlives a task in its Python worker."""
-    key = f"{model.name} {switch}"
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(model, switch)
-    return _labellers[key]
+    return held(("langid", model.name, switch), lambda: Labeller(model, switch))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import discard, map_columns, written
+from logweave.llm.common import discard, held, map_columns, written
 
 #: Bands and bins in a band: at a similarity of 0.85, 1 - (1 - 0.85**5)**32 = 1 - 7e-9 of the pairs meet.
 BANDS, ROWS = 32, 5
@@ -64,12 +64,9 @@ class _WordHashes(dict):
         return found
 
 
-_hash_of = _WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word; words repeat, so hashes are memoised."""
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held("minhash words", _WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -1,7 +1,13 @@
 """The pipeline's stages against plain versions of their decisions."""
 
+import gc
+import time
+import weakref
+
+import numpy as np
+
 import corpus_pipeline
-from logweave.llm import minhash
+from logweave.llm import common, langid, minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +64,17 @@ def test_rows_that_share_an_id_stay_unless_they_are_near(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (1, two)] and kept.columns == docs.columns
+
+
+def test_workers_drop_what_earlier_stages_held(monkeypatch):
+    """A Python worker runs tasks of all stages; memos of a stage go when those of the next one are made."""
+    monkeypatch.setattr(common, "IDLE", 0.0, raising=False)
+    model = langid.LanguageModel(["a", "b"], {" x ": 0}, np.zeros((2, 2)), {n: np.array([True, True]) for n in [*langid.SCRIPTS, "other"]})
+    language = langid.labeller(model)
+    language.predict(["x yz"])
+    held = weakref.ref(language)
+    del language
+    time.sleep(0.01)
+    minhash.shingle_set("x yz x")
+    gc.collect()
+    assert held() is None
