@@ -53,6 +53,13 @@ def drop_idle(but: Hashable = None) -> None:
         libc.malloc_trim(0)
 
 
+def used_since(began: float) -> None:
+    """What was asked for since ``began`` was used until now."""
+    for own in _held.values():
+        if own[1] >= began:
+            own[1] = time.monotonic()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,7 +74,10 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[...,
             if batch.num_rows:
                 for at in range(0, batch.num_rows, rows):
                     part = batch.slice(at, rows)
-                    yield pa.RecordBatch.from_arrays(f(*part.columns), names=names)
+                    began = time.monotonic()
+                    found = f(*part.columns)
+                    used_since(began)
+                    yield pa.RecordBatch.from_arrays(found, names=names)
 
     from pyspark.sql.types import _parse_datatype_string
 

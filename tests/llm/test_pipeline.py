@@ -66,6 +66,17 @@ def test_rows_that_share_an_id_stay_unless_they_are_near(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (1, two)] and kept.columns == docs.columns
 
 
+def test_what_a_long_batch_uses_is_not_idle(monkeypatch):
+    monkeypatch.setattr(common, "IDLE", 0.1)
+    first = common.held("first", list)
+    began = time.monotonic()
+    second = common.held("second", list)
+    time.sleep(0.2)
+    common.used_since(began)
+    common.drop_idle()
+    assert common.held("second", list) is second and common.held("first", list) is not first
+
+
 def test_workers_drop_what_earlier_stages_held(monkeypatch):
     """A Python worker runs tasks of all stages; memos of a stage go when those of the next one are made."""
     monkeypatch.setattr(common, "IDLE", 0.0, raising=False)
