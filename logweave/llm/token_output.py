@@ -22,11 +22,13 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,21 @@ HEADER = struct.Struct("<8sqqqqq")  # magic, shard, first block, documents, ids,
 #: Ids of a file and of a block of the table before it, about; ids that are coded at once (a multiple of four).
 FILE_IDS, BLOCK_IDS = 8_000_000, 250_000
 WINDOW = 1 << 19
-MEMO = 200_000
-#: Marks that often close a word; the pre-tokenizer cuts between a letter and such a mark.
-CLOSING = '.,:;!?#*$%&|<>()"'
+#: Parts that a generation of the memo holds, about; bytes of the longest of them; bytes of texts that are cut together, about.
+MEMO, LONG, TEXT_BYTES = 200_000, 100, 1 << 21
+#: Texts with this (and with added tokens) are not cut: a control or what may be white space beyond ASCII, before white space.
+ODD = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][\x{9}-\x{d} ]"
+#: What is one piece for the pre-tokenizer, whatever stands beside it in a text that is cut there.
+ONE_PIECE = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ɿЀ-ѿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|[\t-\r]").fullmatch
+#: Letters of two bytes, and two signs among them.
+LETTERS = [*range(0xC0, 0x280), *range(0x400, 0x480)]
+#: Kinds of bytes. Letters are ASCII's and the first bytes of LETTERS.
+OTHER, LETTER, DIGIT, MARK, SPACE, BLANK = range(6)
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = MARK
+KINDS[[*b"0123456789"]] = DIGIT
+KINDS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA), 0xD0, 0xD1]] = LETTER
+KINDS[32], KINDS[9:14] = SPACE, BLANK
 NULL_ID = -(2**63)
 
 
@@ -132,35 +146,39 @@ def checksums(lengths: np.ndarray, windows: Iterator[np.ndarray], id_of: np.ndar
 
 
 class _Memo:
-    """Ids by text in two generations: when the young one is full it becomes the old one."""
+    """Ids by part in two generations: when the young one is full it becomes the old one."""
 
     def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """What is in neither generation; what is in the old one moves to the young."""
-        unknown = wanted.difference(self.young)
-        if len(self.young) + len(unknown) > MEMO:
-            self.old, self.young = self.young, {}
-            unknown = wanted
-        out = []
-        for text in unknown:
-            known = self.old.get(text)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, parts: list[bytes], learn: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct parts; ``learn`` gives those that neither generation has."""
+        found = list(map(self.young.get, parts))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in gaps:
+            known = found[i] = self.old.get(parts[i])
             if known is None:
-                out.append(text)
-            else:
-                self.young[text] = known
-        return out
+                unknown.append(i)
+        for i, ids in zip(unknown, learn([parts[i] for i in unknown]), strict=True):
+            found[i] = ids
+        if len(self.young) + len(gaps) > MEMO:
+            self.old, self.young = self.young, {}
+        self.young.update((parts[i], found[i]) for i in gaps if len(parts[i]) <= LONG)
+        return found
 
 
 class ChunkTokenizer:
-    """A tokenizer of the tokenizers library with memos.
-
-    A text is cut before each single space that has no white space beside it, and there between a letter
-    and closing marks. The library's byte-level pre-tokenizer always cuts at these places, so the ids of
-    the parts are the ids of the text. A part of letters only is one piece for the pre-tokenizer: it goes
-    straight to the library's merges. Ids are kept as bytes, four an id, so a text is a join.
+    """A tokenizer of the tokenizers library with a memo.
+
+    The UTF-8 bytes of many texts are cut together, with numpy, at places where the library's byte-level
+    pre-tokenizer always cuts: before white space, after a single blank that is no space, and where
+    letters, digits and marks meet. So the ids of the parts are the ids of the text. Letters are Latin
+    and Cyrillic ones here; other characters, and the apostrophe, stay with what they touch. Arrow finds
+    the distinct parts and puts their ids in the places of the parts. A part that is one piece for the
+    pre-tokenizer goes straight to the library's merges, others go to the library as they are, and so do
+    whole texts with added tokens or rare white space (ODD).
     """
 
     def __init__(self, path: str):
@@ -170,71 +188,82 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((token.content for token in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = range(0x250)  # how the byte-level alphabet spells Latin letters and the space
-        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in letters}
-        self.space = self.alphabet[32]
+        spelled = ["\ufffe"] * 256  # how the byte-level alphabet spells bytes; this one is no byte
+        for c in map(chr, [*range(128), *LETTERS]):
+            for byte, sign in zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True):
+                spelled[byte] = sign
+        self.alphabet = "".join(spelled)
         self.octets = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=-1))]
-        self.words, self.parts = _Memo(), _Memo()
-        self.uncut = re.compile("|".join([r"\s |\x00", *map(re.escape, added)])).search  # these texts go to the library whole
+        self.memo = _Memo()
+        self.uncut = "|".join([ODD, *map(re.escape, added)])  # these texts go to the library whole
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, part: str) -> bytes:
-        """The ids of a part of letters, spelled in the byte-level alphabet, where ASCII letters stay."""
-        bare = part[1:] if part[:1] == " " else part
-        spelled = self.space * (len(part) - len(bare)) + bare if bare.isascii() else part.translate(self.alphabet)
-        octets = self.octets
-        return b"".join([octets[t.id] for t in self.merge(spelled)])
-
-    def _learn_parts(self, parts: set[str]) -> None:
-        known = self.parts
-        plain = []
-        for part in known.missing(parts):
-            if (part.isalpha() or part[:1] == " " and part[1:].isalpha()) and max(part) < "\u0250":
-                known.young[part] = self._merged(part)
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part, from the library."""
+        merge, octets, alphabet = self.merge, self.octets, self.alphabet
+        found, others = [], []
+        for part in parts:
+            text = part.decode()
+            if ONE_PIECE(text):
+                found.append(b"".join([octets[t.id] for t in merge(charmap_decode(part, "strict", alphabet)[0])]))
             else:
-                plain.append(part)
-        for part, found in zip(plain, self._plain(plain), strict=True):
-            known.young[part] = found
-
-    def _learn(self, words: list[str]) -> None:
-        """Words as they stand between spaces; a leading NUL marks one that has no space before it."""
-        cut, marked = [], []
-        young, octets, merge, space = self.words.young, self.octets, self.merge, self.space
-        for word in words:
-            if word.isalpha() and word.isascii():  # a single piece, after its space
-                young[word] = b"".join([octets[t.id] for t in merge(space + word)])
-                continue
-            marked.append(word)
-            core = word.rstrip(CLOSING)
-            lead = core[1:] if core[:1] == "\x00" else " " + core
-            cut.append((lead, word[len(core) :]) if len(core) != len(word) and core[-1:].isalpha() else (word[1:] if word[:1] == "\x00" else " " + word, ""))
-        self._learn_parts({part for pair in cut for part in pair if part})
-        of = self.parts.young
-        for word, (part, marks) in zip(marked, cut, strict=True):
-            young[word] = (of[part] if part else b"") + (of[marks] if marks else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit numbers."""
-        whole = [i for i, text in enumerate(texts) if self.uncut(text)]
-        cut = [("\x00" + text).split(" ") for text in texts]
-        for i in whole:
-            cut[i] = []
-        new = self.words.missing(set().union(*cut))
-        self._learn(new)
-        get = self.words.young.__getitem__
-        found = [b"".join(map(get, words)) for words in cut]
-        for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+                others.append((len(found), text))
+                found.append(b"")
+        for (i, _), ids in zip(others, self._plain([text for _, text in others]), strict=True):
             found[i] = ids
-        for word in new:
-            if len(word) > 100:
-                del self.words.young[word]
         return found
 
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text (null: empty), as little-endian 32-bit numbers."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        apart = pc.match_substring_regex(column, self.uncut)
+        whole = np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()
+        raw, bounds = _octets(pc.if_else(apart, "", column) if whole else column)
+        starts = part_starts(raw, bounds)
+        ends = np.append(starts, len(raw)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        ids = pa.array(self.memo.ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn), pa.large_binary())
+        octets, at = _octets(ids.take(parts.indices))
+        cuts = at[np.searchsorted(starts, bounds)].tolist()
+        found = [octets[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+        for i, own in zip(whole, self._plain([column[i].as_py() for i in whole]), strict=True):
+            found[i] = own
+        return found
+
+
+def _octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a column of strings or bytes without nulls, and where each begins, and the end."""
+    kind = np.int64 if column.type == pa.large_binary() else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, kind)
+    bounds = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind().itemsize)
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def part_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where parts of UTF-8 texts begin; texts begin at ``bounds``, the last of which is the end of all."""
+    if not len(raw):
+        return np.empty(0, np.int64)
+    kind = KINDS[raw]
+    leads = np.flatnonzero((raw >= 0xC3) & (kind == LETTER))
+    second = raw[leads + 1]
+    kind[leads + 1] = LETTER
+    signs = leads[(raw[leads] == 0xC3) & ((second == 0x97) | (second == 0xB7))]  # the signs of multiplication and division
+    kind[signs] = kind[signs + 1] = OTHER
+    white = kind >= SPACE
+    before, after = kind[:-1], kind[1:]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = ~white[:-1] & (white[1:] | (before != after) & (before != OTHER) & (after != OTHER))
+    cut[2:] |= ~white[:-2] & (kind[1:-1] == BLANK) & ~white[2:] & (kind[2:] != OTHER)
+    cut[bounds[bounds < len(raw)]] = True
+    return np.flatnonzero(cut)
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -244,11 +273,12 @@ def tokenizer(path: str) -> ChunkTokenizer:
 # --- the output
 
 
-BLOCKS = "shard long, block long, documents long, ids long, doc_ids binary, lengths binary, tokens binary"
+BLOCKS = "shard long, block long, documents long, ids long, doc_ids binary, lengths binary, tokens binary, counts binary"
 
 
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents in ascending order of id: a shard is a range of ids, its blocks follow each other."""
+    """Blocks of documents in ascending order of id: a shard is a range of ids, its blocks follow each other.
+    ``counts`` has the distinct ids of a block and then how often each stands in it."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("mark"))
     ordered = own.repartitionByRange(parts, "id", "mark").sortWithinPartitions("id", "mark").drop("mark")  # equal ids are many ranges
@@ -264,15 +294,21 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 + 1 for x in ids], "<i8")
-            row = [shard, block, len(doc_ids), held, np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), end.join(ids) + end]
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+            tokens = end.join(ids) + end
+            found = np.bincount(np.frombuffer(tokens, "<u4"))
+            seen = np.flatnonzero(found)
+            counts = np.concatenate([seen, found[seen]]).astype("<u4").tobytes()
+            row = [shard, block, len(doc_ids), held, np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), tokens, counts]
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [text or "" for text in part.column(1).to_pylist()]
-                for key, found in zip(part.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
+                part, at = batch.slice(at, to - at), to
+                for key, found in zip(part.column(0).to_pylist(), tokenizer(path).encode(part.column(1)), strict=True):
                     n = len(found) // 4 + 1
                     if held and held + n > BLOCK_IDS:
                         yield flush()
@@ -289,21 +325,21 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 def ranked_ids(blocks: DataFrame) -> np.ndarray:
     """The ids of the corpus by falling frequency, ties to the smaller id.
 
-    Tasks count their blocks and Spark sums the counts; what reaches the driver is a row for each id of
-    the vocabulary at most.
+    Blocks come with their counts, tasks add them up and Spark sums what tasks have; what reaches the driver
+    is a row for each id of the vocabulary at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-                total = np.pad(total, (0, max(0, len(found) - len(total))))
-                total[: len(found)] += found
+                ids, found = np.frombuffer(raw.as_buffer(), "<u4").reshape(2, -1)
+                total = np.pad(total, (0, max(0, int(ids[-1]) + 1 - len(total))))  # ids ascend
+                total[ids] += found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    counts = blocks.select("tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = blocks.select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "id").toPandas()
     return found["id"].to_numpy(np.uint32)
 
@@ -352,7 +388,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str, id_col: s
         if held:
             yield flush()
 
-    files = blocks.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    files = blocks.drop("counts").mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
     discard(blocks)
     return files
 

@@ -502,6 +502,68 @@ def test_chunks_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(text, add_special_tokens=False).ids for text in texts]
 
 
+def test_cut_texts_equal_the_library():
+    """Texts full of places where a cut could be wrong, as Arrow columns: slices, nulls, empty ones."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), token_output.ChunkTokenizer(path)
+    rng = random.Random(8)
+    white = [" ", " ", "\t", "\n", "\r", "\x85", "\u00a0", "\u180e", "\u2003", "\u2028", "\u3000", "\x1c", "\x00", "\x7f"]
+    others = ["'", "'s", "'ll", "the", "S", "12", ",", "...", "$_", "é", "ß", "×", "÷", "ɿ", "ʀ", "Ж", "привет", "҂", "҃", "α", "日本", "²", "½", "\u0301", "🎉", "”", "<|", "|>", "<|endoftext|>"]
+    texts = [None, "", *white, *others]
+    while len(texts) < 6000:
+        few = rng.sample(white, 3) + rng.sample(others, rng.randint(1, 5))
+        texts.append("".join(rng.choice(few) for _ in range(rng.randint(0, 12))))
+    want = [plain.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        found = [x for at in range(0, len(texts), 700) for x in own.encode(column.slice(at, 700))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == want
+    assert own.encode(pa.array([], pa.string())) == own.encode([]) == []
+    assert own.encode(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_known_parts_do_not_go_to_the_library_again(monkeypatch):
+    """Nor do they where two blanks, an apostrophe or a hard space stand in the text."""
+    own, asked = token_output.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+    plain, merge = own._plain, own.merge
+    monkeypatch.setattr(own, "_plain", lambda texts: asked.extend(texts) or plain(texts))
+    monkeypatch.setattr(own, "merge", lambda part: asked.append(part) or merge(part))
+    texts = ["Some words,  two blanks.\n\nDon't ask again: \u00a0nothing is new!"]
+    first = own.encode(texts)
+    assert asked and not asked.clear()
+    assert own.encode(texts) == first and not asked
+    own.encode(["words! blanks, again?"])  # the same words with other marks
+    assert sorted(asked) == ["?", "words"]
+
+
+def test_encoding_takes_a_fraction_of_the_library():
+    """CPU time on texts like those of the check: an eighth of the words is new, many have accents and marks."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), token_output.ChunkTokenizer(path)
+    rng = random.Random(9)
+    syllables = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha ción mente ñ á í ê è ç eau ä ö ü ß ung sch heit".split()
+
+    def texts():
+        words = ["".join(rng.choices(syllables, k=rng.choice((1, 1, 1, 1, 2, 2, 2, 3, 4)))) + rng.choice(("", "", "", "", ",", ".", "***")) for _ in range(120_000)]
+        return [" ".join(words[at : at + 300]) for at in range(0, len(words), 300)]
+
+    own.encode(texts()), plain.encode_batch_fast(texts()[:50])
+    ratios = []
+    for _ in range(3):
+        part = texts()
+        began = time.process_time()
+        want = [x.ids for x in plain.encode_batch_fast(part, add_special_tokens=False)]
+        between = time.process_time()
+        found = [x for at in range(0, len(part), 128) for x in own.encode(part[at : at + 128])]
+        ratios.append((between - began) / (time.process_time() - between))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == want
+    assert max(ratios) > 2.5
+
+
 def test_coding_round_trip(monkeypatch):
     monkeypatch.setattr(token_output, "WINDOW", 64)
     rng = np.random.default_rng(3)
