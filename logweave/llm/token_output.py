@@ -40,7 +40,7 @@ HEADER = struct.Struct("<8sqqqqq")  # magic, shard, first block, documents, ids,
 FILE_IDS, BLOCK_IDS = 8_000_000, 250_000
 WINDOW = 1 << 19
 #: Parts that a generation of the memo holds, about; bytes of the longest of them; bytes of texts that are cut together, about.
-MEMO, LONG, TEXT_BYTES = 200_000, 100, 1 << 21
+MEMO, LONG, TEXT_BYTES = 400_000, 100, 1 << 22
 #: Texts with this (and with added tokens) are not cut: a control or what may be white space beyond ASCII, before white space.
 ODD = r"[\x{0}-\x{8}\x{e}-\x{1f}\x{7f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][\x{9}-\x{d} ]"
 #: What is one piece for the pre-tokenizer, whatever stands beside it in a text that is cut there.
