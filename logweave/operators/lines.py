@@ -10,30 +10,37 @@ from logweave.functions.text import sums_before
 LINES = ("source_id", "line_number", "file_offset", "line_len", "raw")
 
 
-def lines_of_texts(texts: DataFrame, id_col: str, text_col: str, line_ends: bool = False) -> DataFrame:
+def lines_of_texts(texts: DataFrame, id_col: str, text_col: str, line_ends: bool = False, empty_line: bool = False) -> DataFrame:
     """(source_id, line_number, file_offset, line_len, raw) of every line of every text.
 
     A text is one row, so its lines come from that row alone and nothing is shuffled. ``file_offset`` is
     in bytes, ``line_len`` without the line end; a text that ends in a line end has no further line. With
     ``line_ends`` a column ``line_end`` has what ends each line, so that the text can be put together again.
+    An empty text has no line, with ``empty_line`` one that is empty.
     """
     cut = F.split(text_col, "\n", -1)
     sizes = F.transform(cut, lambda line: F.octet_length(line) + 1)
     own = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), cut.alias("cut"), sums_before(sizes).alias("starts"))
     out = own.select("source_id", F.size("cut").alias("n"), F.posexplode(F.arrays_zip("cut", "starts")).alias("at", "line"))
     last = F.col("at") + 1 == F.col("n")
-    out = out.where(~last | (F.col("line.cut") != ""))
+    out = out.where(_is_line(F.col("line.cut"), empty_line))
     raw = F.regexp_replace("line.cut", r"\r\z", "")
     columns = [(F.col("at") + 1).cast("long").alias("line_number"), F.col("line.starts").alias("file_offset"), F.octet_length(raw).alias("line_len"), raw.alias("raw")]
     end = F.concat(F.when(F.col("line.cut").endswith("\r"), "\r").otherwise(""), F.when(last, "").otherwise("\n"))
     return out.select("source_id", *columns, *[end.alias("line_end")] * line_ends)
 
 
+def _is_line(cut: Column, empty_line: bool) -> Column:
+    """Whether piece ``at`` of ``n`` is a line: what is behind the last line end is none if it is empty."""
+    found = (F.col("at") + 1 < F.col("n")) | (cut != "")
+    return found | (F.col("n") == 1) if empty_line else found
+
+
 def rows_of_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(source_id, raw) of every line of every text, for what needs no places: all of it inside the JVM."""
     cut = F.split(text_col, "\n", -1)
     own = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "raw"))
-    return own.where((F.col("at") + 1 < F.col("n")) | (F.col("raw") != "")).select("source_id", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+    return own.where(_is_line(F.col("raw"), False)).select("source_id", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
 
 
 def checkpoints(lines: DataFrame, interval: int = 10_000_000) -> DataFrame:
