@@ -23,10 +23,10 @@ def splice(raw: Column, start: Column, length: Column, new: Column) -> Column:
     return F.make_valid_utf8(F.concat(head, F.encode(new, "UTF-8"), tail).cast("string"))
 
 
-def replace_single(lines: DataFrame, source_id: object, offset: int, old_len: int, new: str) -> DataFrame:
+def replace_single(lines: DataFrame, source_id: object, offset: int, old_len: int | Column, new: str) -> DataFrame:
     """(source_id, line_number, line_len, raw) with one byte range of a source replaced; the range lies within a
-    line. Offsets of what follows change, so none are given."""
-    inside = (F.col("source_id") == F.lit(source_id)) & (F.col("file_offset") <= offset) & (F.lit(offset + old_len) <= F.col("file_offset") + F.col("line_len"))
+    line, of whose columns its length may be made. Offsets of what follows change, so none are given."""
+    inside = (F.col("source_id") == F.lit(source_id)) & (F.col("file_offset") <= offset) & (F.lit(offset) + F.lit(old_len) <= F.col("file_offset") + F.col("line_len"))
     new_raw = splice(F.col("raw"), F.lit(offset) - F.col("file_offset"), F.lit(old_len), F.lit(new))
     return _edited(lines, F.when(inside, new_raw).otherwise(F.col("raw")))
 
