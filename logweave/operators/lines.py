@@ -36,11 +36,11 @@ def _is_line(cut: Column, empty_line: bool) -> Column:
     return found | (F.col("n") == 1) if empty_line else found
 
 
-def rows_of_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def rows_of_texts(texts: DataFrame, id_col: str, text_col: str, empty_line: bool = False) -> DataFrame:
     """(source_id, raw) of every line of every text, for what needs no places: all of it inside the JVM."""
     cut = F.split(text_col, "\n", -1)
     own = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("source_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "raw"))
-    return own.where(_is_line(F.col("raw"), False)).select("source_id", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+    return own.where(_is_line(F.col("raw"), empty_line)).select("source_id", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
 
 
 def checkpoints(lines: DataFrame, interval: int = 10_000_000) -> DataFrame:
