@@ -1,9 +1,10 @@
 """Exact top-k search by inner product, in tiles.
 
-Queries and vectors are packed into matrices of bounded size. A tile is the product of a block of queries
-and a block of vectors; each task keeps, for a block of queries, the best k of the tiles it has seen, and
-lists of tasks are merged per query in a tree. Vectors are dealt over shards, and every block of queries
-visits every shard once, so no task or driver holds all queries or all vectors.
+Queries and vectors are packed into matrices of bounded size. Vectors are dealt over shards by their bytes, and every
+block of queries visits every shard once. A task holds the vectors of one shard in the narrowest integers, in order of
+their ids, and takes blocks of queries one by one. A tile is the product of a block of queries and a slice of the
+shard; what it has beyond the k best of the tiles before is selected, and the lists of shards are merged per
+query in a tree. So a task holds one shard, one block and one tile, and the driver the number of bytes.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part, nor do rows with
 a null id; vectors are compared with those of their own length; a row is not compared with rows of its
@@ -21,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries and of a block of vectors.
-QUERIES, VECTORS = 512, 4096
-#: Products below this are summed exactly in double precision.
-EXACT = float(2**52)
+from logweave.storage import written
+
+#: Rows of a block of queries, and of a block of vectors and a tile.
+QUERIES, VECTORS = 512, 1024
+#: Bytes of the vectors of a shard, and shards that there are for fewer bytes if as many partitions are.
+SHARD, SHARDS = 64 << 20, 64
+#: Sums below these are exact in single and in double precision.
+EXACT = ((np.float32, float(2**23)), (np.float64, float(2**52)))
+#: Below every score.
+LOW = np.iinfo(np.int64).min
 #: Lists that a merge joins at once.
 FAN_IN = 16
 
@@ -36,19 +43,26 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return clean.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-BLOCK = "dim int, ids binary, matrix binary"
+BLOCK = "dim int, size long, ids binary, matrix binary"
+
+
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest integers that hold them."""
+    least, most = matrix.min(initial=0), matrix.max(initial=0)
+    return matrix.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
 
 
 def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of equal length, as matrices of 64-bit integers."""
+    """Blocks of at most ``rows`` vectors of equal length, as matrices of the narrowest integers; their bytes are ``size``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
             ids, matrix = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            columns = [pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()]), pa.array([matrix.astype("<i8").tobytes()])]
-            return pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "matrix"])
+            matrix = _narrow(matrix)
+            columns = [pa.array([dim], pa.int32()), pa.array([matrix.nbytes], pa.int64()), pa.array([ids.astype("<i8").tobytes()]), pa.array([matrix.tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, names=["dim", "size", "ids", "matrix"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, rows // 4):
@@ -68,66 +82,102 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(pack, BLOCK)
 
 
-def _product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products: by the fast product of doubles where no sum can round, else in integers."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    if most < EXACT:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of the best ``k`` of each row by (score, smaller id), without the row's own id."""
-    mask = ids[None, :] != own[:, None]
-    if scores.shape[1] > k:
-        # one more than k, as a row's own vector may be among them
-        least = -np.partition(-np.where(mask, scores, np.iinfo(np.int64).min + 1), k - 1, axis=1)[:, k - 1 : k]
-        mask &= scores >= least
-    row, column = np.nonzero(mask)
-    found, named = scores[row, column], ids[column]
-    order = np.lexsort((named, -found, row))
-    row, named, found = row[order], named[order], found[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return row[keep], named[keep], found[keep]
+def _read(dim: int, ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, "<i8")
+    return own, np.frombuffer(matrix, f"<i{len(matrix) // (len(own) * dim or 1) or 2}").reshape(len(own), dim)
+
+
+def _norm(matrix: np.ndarray) -> float:
+    """The largest length of a row, and a little more."""
+    return 1.001 * float(np.sqrt(np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64).max(initial=0)))
+
+
+def _tiles(held: list[tuple[np.ndarray, np.ndarray]], rows: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(ids, vectors, norm): slices of all that is held, in order of the ids."""
+    ids = np.concatenate([x[0] for x in held])
+    matrix = np.concatenate([x[1] for x in held])
+    held.clear()
+    order = np.argsort(ids, kind="stable")
+    ids, matrix = ids[order], matrix[order]
+    return [(ids[at : at + rows], part := matrix[at : at + rows], _norm(part)) for at in range(0, len(ids), rows)]
+
+
+def _product(queries: np.ndarray, vectors: np.ndarray, most: float, room: dict[type, np.ndarray]) -> np.ndarray:
+    """Exact inner products. ``most`` is the product of the largest lengths: no sum of terms is beyond it, so where floats
+    hold all integers up to it, none rounds; else the sums are of integers. ``room`` is used again by the next tile."""
+    kind = next((t for t, limit in EXACT if most < limit), np.int64)
+    out = room.setdefault(kind, np.empty((len(queries), len(vectors)), kind))[:, : len(vectors)]
+    return np.matmul(queries.astype(kind), vectors.astype(kind).T, out=out)
+
+
+def _search(own: np.ndarray, queries: np.ndarray, tiles: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): the best ``k`` of each query by (score, smaller id), without the query's own id.
+
+    Tiles come in order of ids, so what only equals the k-th best of earlier tiles is beyond it.
+    """
+    score, named = np.full((len(own), k), LOW), np.zeros((len(own), k), np.int64)
+    norm, waiting, size, room = _norm(queries), [], 0, {}
+
+    def settle() -> None:
+        row, vec, found = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        of = np.unique(row)
+        at, place = np.nonzero(score[of] > LOW)
+        kept = _merge([(of[at], named[of][at, place], score[of][at, place]), (row, vec, found)], k)
+        place = np.arange(len(kept[0])) - np.searchsorted(kept[0], kept[0])
+        named[kept[0], place], score[kept[0], place] = kept[1], kept[2]
+        waiting.clear()
+
+    for ids, vectors, length in tiles:
+        scores = _product(queries, vectors, norm * length, room)
+        first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for row in np.flatnonzero(first < last):
+            scores[row, first[row] : last[row]] = LOW
+        if (bar := score[:, k - 1 :]).min() == LOW and len(ids) > k:  # no list is full before the first tile
+            hit = (scores >= np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]) & (scores > LOW)
+        else:
+            hit = scores > bar.astype(scores.dtype)
+        some = np.flatnonzero(hit.any(axis=1))
+        if len(some):
+            at, column = np.nonzero(hit[some])
+            row = some[at]
+            waiting.append((row, ids[column], scores[row, column].astype(np.int64)))
+            size += len(row)
+        if waiting and (size >= score.size or bar.min() == LOW):
+            settle()
+            size = 0
+    if waiting:
+        settle()
+    row, place = np.nonzero(score > LOW)
+    return own[row], named[row, place], score[row, place]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERIES, vector_rows: int = VECTORS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` (id, v) its best ``k`` of ``vectors`` (id, v)."""
-    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(_blocks(vectors, vector_rows), "topk-vectors")
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-size // SHARD), min(SHARDS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     single = queries.groupBy("id").agg(F.min("v").alias("v"))
-    asked = _blocks(single, query_rows).select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    given = _blocks(vectors, vector_rows).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    tiles = given.join(asked, ["shard", "dim"]).select("dim", "q_ids", "q", "ids", "matrix")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for q_ids, lists in held.items():
-                own = np.frombuffer(q_ids, "<i8")
-                row, named, found = _merge(lists, k)
-                columns = [pa.array(own[row]), pa.array(named), pa.array(found)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+    asked = _blocks(single, query_rows).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(True).alias("asked"), "ids", "matrix")
+    given = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"), "dim", F.lit(False).alias("asked"), "ids", "matrix")
+    dealt = given.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "asked")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tiles = None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, q_ids, q, ids, matrix = (batch.column(c)[i].as_py() for c in range(5))
-                own, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                scores = _product(np.frombuffer(q, "<i8").reshape(len(own), dim), np.frombuffer(matrix, "<i8").reshape(len(ids), dim))
-                lists = held.setdefault(q_ids, [])
-                lists.append(_best(scores, ids, own, k))
-                size += len(lists[-1][0])
-                if len(lists) == FAN_IN:
-                    held[q_ids] = [_merge(lists, k)]
-                if size > 2_000_000:
-                    yield from out()
-                    held.clear()
-                    size = 0
-        yield from out()
-
-    lists = tiles.mapInArrow(multiply, "query_id long, vec_id long, score long")
+                dim, asks, ids, matrix = (batch.column(c)[i].as_py() for c in range(1, 5))
+                if dim != now:
+                    now, held, tiles = dim, [], []
+                if not asks:
+                    held.append(_read(dim, ids, matrix))
+                    continue
+                if held:
+                    tiles = _tiles(held, vector_rows)
+                if tiles:
+                    columns = _search(*_read(dim, ids, matrix), tiles, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+
+    lists = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     fan = 1
     while fan * FAN_IN < shards:  # a level of the tree: lists of FAN_IN groups of shards become one
         fan *= FAN_IN

@@ -265,6 +265,27 @@ def test_top_k(spark):
     assert topk.top_k(q.limit(0), q.limit(0), 10).count() == 0
 
 
+def test_top_k_holds_a_shard_and_no_pairs_of_blocks(spark, monkeypatch):
+    """Vectors go to as many shards as their bytes take, and no table has rows of a block of queries beside a block of vectors."""
+    rng = np.random.default_rng(8)
+    small = [[int(x) for x in v] for v in rng.integers(-3, 4, (300, 4))]  # many ties, over tiles and shards
+    large = [[int(x) for x in v] for v in rng.integers(-(2**20), 2**20, (60, 4))] + [[2**27 + i, 1, 2, -(2**27)] for i in range(20)]
+    rows = list(enumerate(small + large)) + [(0, small[0]), (100, small[100])]
+    df = spark.createDataFrame(rows, "id long, v array<bigint>")
+    monkeypatch.setattr(topk, "SHARD", 256)
+    monkeypatch.setattr(topk, "SHARDS", 1)
+    found = topk.top_k(df, df.where("id % 20 = 0"), 7, 8, 16)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    want = set()
+    for a, va in {i: v for i, v in rows if i % 20 == 0}.items():
+        best = sorted((-sum(x * y for x, y in zip(va, vb, strict=True)), b) for b, vb in rows if b != a)[:7]
+        want |= {(a, rank + 1, b, -s) for rank, (s, b) in enumerate(best)}
+    got = found.collect()
+    # repeated rows are repeated candidates
+    assert len(got) == 19 * 7 and {tuple(r) for r in got} == want
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(docs, where=~langid.held_out())
