@@ -115,3 +115,14 @@ def test_job_over_a_file(spark, tmp_path, mode):
     first = start if mode == "forward" else 0  # forward parses what follows the start
     got = sorted(r.idx for r in found.hits.collect())
     assert got == sorted(want) or [i - got[0] + first for i in got] == sorted(want)
+
+
+def test_rows_reach_state_packed_and_in_order(spark):
+    """A row for each key and Arrow batch, whatever the types; unpacked, all rows of a key in order."""
+    rows = [(k, 1000 - i, f"é{i}" if i % 3 else None, [i, None] if i % 2 else []) for i in range(500) for k in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "k string, at long, raw string, vals array<long>").repartition(3)
+    packs = flow._packed(df, ["k"]).collect()
+    assert len(packs) <= 9 and {p.k for p in packs} == {"a", "b", None}
+    for key in ("a", "b", None):
+        got = [tuple(r.values()) for r in flow._ordered(iter([p for p in packs if p.k == key]), "at")]
+        assert got == sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
